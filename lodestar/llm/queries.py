@@ -7,21 +7,63 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import pivot_index, simhash
+from lodestar.llm import bwt_dedup, media_shards, packing, pivot_index, simhash, token_table, warc_chunks
 from lodestar.session import table
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public vocabulary file, on each machine the same; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_index.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_media_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_shards.media_columns(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
+        "width", "height", "bits", "shard", "offset",
+    )
+
+
+def op3_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bwt_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
+
+
+def op6_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = warc_chunks.plan(table(spark, sf_dir, "pages"))
+    chunks = warc_chunks.read_chunks(warc_chunks.write_archives(planned))
+    return warc_chunks.resolve(chunks).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_table.read_shards(token_table.write_shards(docs, tokenizer_file("word_bpe_49k.json"), end_id=2))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pivot_index": op1_pivot_index, "op8_simhash": op8_simhash}
+    return {
+        "op1_pivot_index": op1_pivot_index,
+        "op2_media_shards": op2_media_shards,
+        "op3_bwt_dedup": op3_bwt_dedup,
+        "op5_packing": op5_packing,
+        "op6_warc_chunks": op6_warc_chunks,
+        "op7_token_table": op7_token_table,
+        "op8_simhash": op8_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
@@ -41,4 +83,13 @@ WITH RECURSIVE v AS (
 SELECT t.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(c.component_id, t.vec_id) AS component_id,
   coalesce(c.component_id, t.vec_id) = t.vec_id AS kept
 FROM embeddings t LEFT JOIN n ON n.u = t.vec_id LEFT JOIN c ON c.vec_id = t.vec_id""",
+        # The records that the archives must give back.
+        "op6_warc_chunks": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha256(b) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT d.page_id, d.payload_bytes, d.payload_digest,
+  CASE WHEN f.first_id <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f.first_id <> d.page_id THEN f.first_id END AS refers_to
+FROM d LEFT JOIN f ON f.payload_digest = d.payload_digest AND d.payload_bytes >= 100""",
     }
