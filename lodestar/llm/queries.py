@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bwt_dedup, media_shards, packing, pivot_index, simhash, token_table, warc_chunks
+from lodestar.llm import (
+    bwt_dedup,
+    media_shards,
+    nbsvm,
+    packing,
+    pivot_index,
+    rank_lang,
+    simhash,
+    temperature_mix,
+    token_table,
+    warc_chunks,
+)
+from lodestar.llm.common import split_of
 from lodestar.session import table
 
 
@@ -34,6 +46,12 @@ def op3_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op4_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mixture at 95 % of the greatest entropy takes of all documents, in every epoch."""
+    taken = temperature_mix.select_rows(table(spark, sf_dir, "documents"))
+    return taken.select("doc_id", "source", "epoch", "block", "n_tokens", "token_start", "copies", "weight")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
 
@@ -54,15 +72,29 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_rank_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_lang.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = nbsvm.fit(docs, table(spark, sf_dir, "labels"))
+    scored = nbsvm.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (split_of(F.col("doc_id")) == 2).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pivot_index": op1_pivot_index,
         "op2_media_shards": op2_media_shards,
         "op3_bwt_dedup": op3_bwt_dedup,
+        "op4_temperature_mix": op4_temperature_mix,
         "op5_packing": op5_packing,
         "op6_warc_chunks": op6_warc_chunks,
         "op7_token_table": op7_token_table,
         "op8_simhash": op8_simhash,
+        "op9_rank_lang": op9_rank_lang,
+        "op10_nbsvm": op10_nbsvm,
     }
 
 
