@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.plans import spatial_queries  # noqa: F401
+from lodestar.plans import spatial_queries, stat_queries  # noqa: F401
 from lodestar.plans.registry import ORACLES, QUERIES, Query
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["d3_point_stats"](spark, sf_dir) if True else QUERIES["e12_criteria_score"](spark, sf_dir)
+    return QUERIES["e12_criteria_score"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
