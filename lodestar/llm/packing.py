@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.tokens import Encoder
+from lodestar.llm.tokens import encoder
 from lodestar.session import cut, prepare
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -105,7 +105,7 @@ def pack(
     end = np.array([end_id], "<u4").tobytes()
 
     def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
+        words, part = encoder(tokenizer), TaskContext.get().partitionId()
         rows = _Rows(part << 32)
         packer = Packer(size, open_windows, min_cut, rows.close)
 
@@ -120,7 +120,7 @@ def pack(
 
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text or "") + end
+                ids = words.encode(text or "") + end
                 packer.add(doc, 0, ids, len(ids) // 4)
             yield out([])
         yield out([p for w in packer.windows for p in w])

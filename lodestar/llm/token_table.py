@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.storage import fresh, locate
-from lodestar.llm.tokens import Encoder
+from lodestar.llm.tokens import encoder
 from lodestar.session import cut, prepare, scratch
 
 MAGIC, FOOTER = b"LSST0001", struct.Struct("<6QII8s")
@@ -167,8 +167,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shard_bytes: int
     folder = scratch(spark, "token-table")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
-        end, width = np.array([end_id], "<u4").tobytes(), 2 if max(encoder.vocabulary - 1, end_id) < 1 << 16 else 4
+        words, part = encoder(tokenizer), TaskContext.get().partitionId()
+        end, width = np.array([end_id], "<u4").tobytes(), 2 if max(words.vocabulary - 1, end_id) < 1 << 16 else 4
         writer, path, out = None, "", []
 
         def close() -> None:
@@ -181,7 +181,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shard_bytes: int
                     path = fresh(folder, part, ".lsst")
                     fs, at = locate(path)
                     writer = Writer(fs.open_output_stream(at), width)
-                writer.add(key_of(doc), np.frombuffer(encoder.encode(text or "") + end, "<u4"))
+                writer.add(key_of(doc), np.frombuffer(words.encode(text or "") + end, "<u4"))
                 if writer.at >= shard_bytes:
                     close()
                     writer = None

@@ -28,7 +28,7 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """encode(text) gives the ids as little-endian unsigned 32-bit integers; special strings count as plain text."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -63,6 +63,12 @@ class Encoder:
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
+        if chunk and max(chunk) <= "\u00ff":  # Latin letters: lower-casing is plain and nothing composes
+            body = chunk[1:] if self.spaced and chunk[0] == " " else chunk
+            if body.isalpha():
+                return self._word(chunk if self.spaced else chunk.lower())
+            if body[-1:] in (",", ".") and body[:-1].isalpha():
+                return self._word(chunk[:-1] if self.spaced else chunk[:-1].lower()) + self._word(body[-1])
         plain = self.normalizer.normalize_str(chunk) if self.dropped else chunk
         return b"".join([self._word(w) for w in self.pattern.findall(plain)])
 
@@ -79,7 +85,16 @@ class Encoder:
         known = self.chunks
         if len(known) >= self.most:
             known.clear()
-        for p in parts:
-            if p not in known:
-                known[p] = self._chunk(p)
-        return b"".join([known[p] for p in parts])
+        for p in set(parts).difference(known):
+            known[p] = self._chunk(p)
+        return b"".join(map(known.__getitem__, parts))
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder for each worker process: its tables of words serve all the tasks that the process runs."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
