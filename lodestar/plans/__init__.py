@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.plans import spatial_queries, stat_queries  # noqa: F401
+from lodestar.plans import spatial_queries, stat_queries, table_queries  # noqa: F401
 from lodestar.plans.registry import ORACLES, QUERIES, Query
 
 
