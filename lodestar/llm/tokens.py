@@ -2,7 +2,8 @@
 
 The vocabularies that this module speeds up split a text into words before any merge, and a word's ids depend on the
 word alone. So the ids of a text are those of its words in order. Words are kept in bounded tables; the merges
-of a new word are the library's. Any other kind of tokenizer file encodes whole texts by the library.
+of a new word are the library's. A text with a character that the word pattern classes otherwise than the library, and
+any text under another kind of tokenizer file, is encoded whole by the library.
 """
 
 from __future__ import annotations
@@ -50,6 +51,7 @@ class Encoder:
         self.pattern = regex.compile(BYTE_LEVEL if self.spaced else steps[0]["pattern"]["Regex"]) if self.by_word else None
         self.model, self.normalizer, self.letters = self.whole.model, self.whole.normalizer, _byte_letters()
         self.most, self.words, self.chunks = most, {}, {}
+        self.fine, self.odd = set(map(chr, range(128))), set()
 
     def _word(self, word: str) -> bytes:
         ids = self.words.get(word)
@@ -72,8 +74,21 @@ class Encoder:
         plain = self.normalizer.normalize_str(chunk) if self.dropped else chunk
         return b"".join([self._word(w) for w in self.pattern.findall(plain)])
 
+    def _judge(self, chars: set[str]) -> None:
+        """Whether both libraries put new characters in the same classes; their versions of Unicode may differ."""
+        for c in chars:
+            probes = [f"a{c}", f"1{c}", f":{c}", f"{c} {c}a"]
+            whole = [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch(probes, add_special_tokens=False)]
+            plain = [self.normalizer.normalize_str(p) if self.dropped else p for p in probes]
+            same = [b"".join(map(self._word, self.pattern.findall(p))) for p in plain] == whole
+            (self.fine if same else self.odd).add(c)
+
     def encode(self, text: str) -> bytes:
-        if not self.by_word:
+        if self.by_word and not text.isascii():
+            seen = set(text)
+            if not seen <= self.fine:
+                self._judge(seen - self.fine - self.odd)
+        if not self.by_word or (self.odd and not self.odd.isdisjoint(text)):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if self.spaced:
             if "  " in text:  # a word border then depends on the run of spaces
