@@ -102,24 +102,26 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = None)
     return label
 
 
-def spread_lists(postings: DataFrame, key: str, item: str, block: int) -> DataFrame:
+def spread_lists(postings: DataFrame, key: str, item: str, block: int, most: int = 100_000) -> DataFrame:
     """Give every list of an inverted index groups (key, `i`, `j`) of about two blocks in which each pair meets.
 
-    Lists of one item are dropped (they hold no pair). A list of more than `block` items is cut by a hash of the
-    item into blocks; an item goes to the group of every pair of blocks that has its own, so no group outgrows
-    two blocks however long the list is. Column `own` is the item's block.
+    A list of more than `block` items is cut by a hash of the item into blocks (`own`); an item goes to the group of every
+    pair of blocks that has its own, so no group outgrows two blocks however long the list is. The long lists
+    are sent to every task if they are `most` at most (counted), else joined by a shuffle.
     """
-    sizes = postings.groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1")
-    blocks = F.ceil(F.col("__n") / F.lit(block)).cast("int")
+    sizes = postings.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > block)
+    long = cut(sizes, "lists").withColumn("__b", F.ceil(F.col("__n") / F.lit(block)).cast("int")).drop("__n")
+    if long.limit(most + 1).count() <= most:
+        long = F.broadcast(long)
     own = F.pmod(F.xxhash64(item, F.lit(7)), F.col("__b").cast("long")).cast("int")
     return (
-        postings.join(sizes, key)
-        .withColumn("__b", blocks)
+        postings.join(long, key, "left")
+        .withColumn("__b", F.coalesce("__b", F.lit(1)))
         .withColumn("own", own)
         .withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__b") - 1)))
         .withColumn("i", F.least("own", "__o"))
         .withColumn("j", F.greatest("own", "__o"))
-        .drop("__n", "__b", "__o")
+        .drop("__b", "__o")
     )
 
 

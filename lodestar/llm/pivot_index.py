@@ -1,6 +1,6 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-Reference points (pivots) are a bounded sample of the vectors. A vector is described by its nearest `prefix` pivots
+Reference points (pivots) are a bounded sample of the vectors, no two of them close. A vector is described by its nearest `prefix` pivots
 in order of distance. Vectors at a small angle share most of these, so the inverted lists are keyed by pairs of pivots
 (a vector is posted under every pair of its prefix): two vectors that meet in a list share two pivots at least, and the
 lists stay short because pivots grow as the square root of the vectors (up to `max_pivots`). In a list the shared-pivot
@@ -44,13 +44,22 @@ def usable(vec: F.Column) -> F.Column:
     return F.coalesce(vec.isNotNull() & fine & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def pivots(classes: DataFrame, count: int) -> dict[int, np.ndarray]:
-    """Up to `count` vectors for each of the 8 commonest vector lengths, drawn by a hash of the value; bounded."""
+def pivots(classes: DataFrame, count: int, apart: float = 0.7) -> dict[int, np.ndarray]:
+    """Up to `count` vectors for each of the 8 commonest vector lengths, from 4 x count drawn by a hash of the value; bounded.
+
+    A vector is skipped if its cosine to a chosen one is over `apart`: pivots of one dense group would all be as near as
+    one another to its members, and their order there would be noise.
+    """
     lengths = [r[0] for r in classes.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(8).collect()]
     out = {}
     for d in lengths:
-        rows = classes.where(F.size("vec") == d).orderBy(F.xxhash64("vec", F.lit(11)), "cls").limit(count).select("vec").collect()
-        out[d] = _unit(pa.array([r[0] for r in rows], pa.list_(pa.float64())))[0]
+        rows = classes.where(F.size("vec") == d).orderBy(F.xxhash64("vec", F.lit(11)), "cls").limit(4 * count).select("vec").collect()
+        unit = _unit(pa.array([r[0] for r in rows], pa.list_(pa.float64())))[0]
+        chosen = np.empty((0, d))
+        for u in unit:
+            if len(chosen) < count and (not len(chosen) or (chosen @ u).max() <= apart):
+                chosen = np.vstack([chosen, u])
+        out[d] = chosen
     return out
 
 
