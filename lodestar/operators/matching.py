@@ -52,9 +52,12 @@ def compatibility_form(a: pd.Series) -> pd.Series:
 def fuzzy_join(left: DataFrame, right: DataFrame, left_name: str, right_name: str, floor: float) -> DataFrame:
     """Best right row for each left row by similarity of names at `floor` or more; exact matches first.
 
-    Candidates share a gram of three characters of the squashed names (an equality join), so names are not compared all
-    with all. Names of under three characters match exactly or not at all. Both sides need an `id`.
+    Candidates share a gram of three characters of the squashed names. A pair at the floor differs by at most
+    2 (1 - f) / f x length single-character edits, each of which spoils three grams; so of each name only its rarest
+    3 x edits + 1 grams are joined, and common grams make no pairs where a name has rare ones. Names of under three
+    characters match exactly or not at all. Both sides need an `id`.
     """
+    f = floor / 100
 
     def grams(df: DataFrame, name: str, tag: str) -> DataFrame:
         key = F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
@@ -62,7 +65,15 @@ def fuzzy_join(left: DataFrame, right: DataFrame, left_name: str, right_name: st
         at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(f"{tag}_key") - 2))
         return k.withColumn("gram", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring(F.col(f"{tag}_key"), i, F.lit(3))))))
 
-    pairs = grams(left, left_name, "l").join(grams(right, right_name, "r"), "gram").select("l_id", "l_key", "r_id", "r_key").distinct()
+    sides = [(grams(left, left_name, "l"), "l"), (grams(right, right_name, "r"), "r")]
+    common = sides[0][0].select("gram").unionByName(sides[1][0].select("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+
+    def rarest(df: DataFrame, tag: str) -> DataFrame:
+        edits = F.floor(2 * (1 - f) / f * F.length(f"{tag}_key") + 1e-9)
+        k = F.row_number().over(Window.partitionBy(f"{tag}_id").orderBy("n", "gram"))
+        return df.join(common, "gram").withColumn("k", k).where(F.col("k") <= 3 * edits + 1).drop("k", "n")
+
+    pairs = rarest(*sides[0]).join(rarest(*sides[1]), "gram").select("l_id", "l_key", "r_id", "r_key").distinct()
     scored = pairs.withColumn("score", F.when(F.col("l_key") == F.col("r_key"), 100.0).otherwise(similarity("l_key", "r_key"))).where(F.col("score") >= floor)
     best = F.row_number().over(Window.partitionBy("l_id").orderBy(F.desc("score"), "r_id"))
     return scored.withColumn("k", best).where("k = 1").select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), "score")

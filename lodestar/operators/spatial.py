@@ -175,7 +175,7 @@ def crossings(lines: DataFrame, size: float) -> DataFrame:
         return (bx - ax) * (c(f"{t}.y{e}") - ay) - (by - ay) * (c(f"{t}.x{e}") - ax)
 
     a, b, c, d = side("p", "q", "1"), side("p", "q", "2"), side("q", "p", "1"), side("q", "p", "2")
-    t = c / (c - d)
+    t = F.try_divide(c, c - d)
     x = F.col("p.x1") + t * (F.col("p.x2") - F.col("p.x1"))
     y = F.col("p.y1") + t * (F.col("p.y2") - F.col("p.y1"))
     found = pairs.where((a * b < 0) & (c * d < 0)).select(F.floor(x + 0.5).cast("long").alias("x"), F.floor(y + 0.5).cast("long").alias("y"))
