@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.geo import angle_between, axis, bearing
+from lodestar.session import cut
 
 
 def _bin(c: Column, size: float) -> Column:
@@ -40,7 +41,8 @@ def knn_join(cells: DataFrame, points: DataFrame, k: int, reach: float, rings: i
     found, todo = None, cells
     for n in range(rings):
         near = radius_join(todo, points, reach * 2**n).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        full = near.groupBy("cell_id").agg(F.count("*").alias("__n")).where(F.col("__n") >= k).select("cell_id")
+        near = cut(near, "knn")  # each round once: the next one needs to know which cells are done
+        full = near.where(F.col("rank") == k).select("cell_id")
         part = near.join(full, "cell_id", "left_semi")
         found = part if found is None else found.unionByName(part)
         todo = todo.join(full, "cell_id", "left_anti")
