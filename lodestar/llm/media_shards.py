@@ -48,7 +48,7 @@ def to_png(payload: bytes) -> bytes:
     lines = np.zeros((len(rows), WIDTH + 1), np.uint8)  # filter 0 before each row
     lines[:, 1:] = rows
     head = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)
-    return SIGNATURE + _part(b"IHDR", head) + _part(b"IDAT", zlib.compress(lines.tobytes(), 6)) + _part(b"IEND", b"")
+    return SIGNATURE + _part(b"IHDR", head) + _part(b"IDAT", zlib.compress(lines.tobytes(), 9)) + _part(b"IEND", b"")
 
 
 def png_size(head: bytes) -> tuple[int, int, int]:
@@ -80,10 +80,12 @@ def describe(samples: bytes) -> str:
     return f"n={len(v)};mean={v.mean():.4f};std={v.std():.4f};bins={','.join(map(str, bins))}"
 
 
-def write_shards(docs: DataFrame, shard_bytes: int = 256 << 20) -> DataFrame:
-    """The index (doc_id, n_bytes, digest, shard, offset, length), written once; offset is that of the PNG."""
-    spark = prepare(docs.sparkSession)
-    folder = scratch(spark, "media")
+def write_shards(docs: DataFrame, folder: str, shard_bytes: int = 256 << 20) -> DataFrame:
+    """The index (doc_id, n_bytes, digest, shard, offset, length), written once.
+
+    digest is binary, shard a file name in `folder`, offset that of the PNG in it.
+    """
+    prepare(docs.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, stream, path, at, stored = TaskContext.get().partitionId(), None, "", 0, {}
@@ -91,17 +93,17 @@ def write_shards(docs: DataFrame, shard_bytes: int = 256 << 20) -> DataFrame:
             out: list[list] = [[], [], [], [], []]
             for text in utf8_of(b.column(1)):
                 payload = padded(text)
-                digest = hashlib.sha256(payload).hexdigest()
+                digest = hashlib.sha256(payload).digest()
                 if stream is None:
                     path = fresh(folder, part, ".tar")
                     fs, name = locate(path)
                     stream, at, stored = fs.open_output_stream(name), 0, {}
                 if digest not in stored:
                     media = to_png(payload)
-                    member = tarfile.TarInfo(f"{digest}.png")
+                    member = tarfile.TarInfo(f"{digest.hex()}.png")
                     member.size = len(media)
                     stream.write(member.tobuf(tarfile.USTAR_FORMAT) + media + bytes(-len(media) % tarfile.BLOCKSIZE))
-                    stored[digest] = (path, at + tarfile.BLOCKSIZE, len(media))
+                    stored[digest] = (path.rsplit("/", 1)[1], at + tarfile.BLOCKSIZE, len(media))
                     at += tarfile.BLOCKSIZE + len(media) + -len(media) % tarfile.BLOCKSIZE
                 for o, v in zip(out, (len(text), digest, *stored[digest]), strict=True):
                     o.append(v)
@@ -109,73 +111,77 @@ def write_shards(docs: DataFrame, shard_bytes: int = 256 << 20) -> DataFrame:
                     stream.write(bytes(2 * tarfile.BLOCKSIZE))
                     stream.close()
                     stream = None
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+            kinds = [pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(o, k) for o, k in zip(out, kinds, strict=True))], names=["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
         if stream is not None:
             stream.write(bytes(2 * tarfile.BLOCKSIZE))
             stream.close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return cut(rows.mapInArrow(write, "doc_id long, n_bytes long, digest string, shard string, offset long, length long"), "media-index")
+    return cut(rows.mapInArrow(write, "doc_id long, n_bytes long, digest binary, shard string, offset long, length long"), "media-index")
 
 
 def canonical(index: DataFrame) -> DataFrame:
-    """(digest, shard, offset, length): one address for each digest."""
+    """(digest, shard, offset, length): one address for each digest, the smallest."""
     return index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("a")).select("digest", "a.*")
 
 
-def _ranges(addresses: DataFrame, schema: str, read) -> DataFrame:
-    """Apply read(file, digest, offset, length) -> values to each address, shard by shard in order of offset."""
+def _header(file: pa.NativeFile, digest: bytes, offset: int, length: int) -> tuple[int, int, int]:
+    """Width, height and bits by one ranged read of the tar header and the head of the PNG."""
+    head = file.read_at(HEADER, offset - tarfile.BLOCKSIZE)
+    member = tarfile.TarInfo.frombuf(head[: tarfile.BLOCKSIZE], "utf-8", "strict")
+    if member.name != f"{digest.hex()}.png" or member.size != length:
+        raise ValueError(f"{digest.hex()}: the shard has {member.name} there")
+    return png_size(head[tarfile.BLOCKSIZE :])
+
+
+def _body(file: pa.NativeFile, digest: bytes, offset: int, length: int) -> tuple:
+    """Metadata by the header read, then what the stored bytes say."""
+    size = _header(file, digest, offset, length)
+    media = file.read_at(length, offset)
+    samples = from_png(media)
+    return (*size, len(samples), hashlib.sha256(samples).digest(), zlib.crc32(samples[-WIDTH:]), len(media), hashlib.sha256(media).digest(), describe(samples))
+
+
+def _ranges(addresses: DataFrame, folder: str, added: str, read) -> DataFrame:
+    """Addresses with the columns of read(file, digest, offset, length), shard by shard in order of offset."""
+    schema = f"digest binary, shard string, offset long, {added}"
     names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [{"binary": pa.binary(), "string": pa.string(), "long": pa.int64()}[x.split()[1]] for x in schema.split(", ")]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, file = None, None
+        shard, file = None, None
         for b in batches:
             rows = []
-            for digest, shard, offset, length in zip(*(b.column(c).to_pylist() for c in ("digest", "shard", "offset", "length")), strict=True):
-                if shard != path:
+            for digest, name, offset, length in zip(*(b.column(c).to_pylist() for c in ("digest", "shard", "offset", "length")), strict=True):
+                if name != shard:
                     if file is not None:
                         file.close()
-                    fs, name = locate(shard)
-                    path, file = shard, fs.open_input_file(name)
-                rows.append((digest, *read(file, digest, offset, length)))
-            cols = [pa.array([r[i] for r in rows]) for i in range(len(names))] if rows else []
-            if rows:
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                    fs, path = locate(f"{folder}/{name}")
+                    shard, file = name, fs.open_input_file(path)
+                rows.append((digest, name, offset, *read(file, digest, offset, length)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
         if file is not None:
             file.close()
 
-    ordered = addresses.repartition("shard").sortWithinPartitions("shard", "offset")
-    return ordered.mapInArrow(each, schema)
-
-
-def header_columns(addresses: DataFrame) -> DataFrame:
-    """(digest, width, height, bits) from the headers alone, by ranged reads."""
-
-    def read(file, digest: str, offset: int, length: int) -> tuple:
-        head = file.read_at(HEADER, offset - tarfile.BLOCKSIZE)
-        member = tarfile.TarInfo.frombuf(head[: tarfile.BLOCKSIZE], "utf-8", "strict")
-        if member.name != f"{digest}.png" or member.size != length:
-            raise ValueError(f"{digest}: the shard has {member.name} there")
-        return png_size(head[tarfile.BLOCKSIZE :])
-
-    return _ranges(addresses, "digest string, width long, height long, bits long", read)
+    return addresses.repartition("shard").sortWithinPartitions("shard", "offset").mapInArrow(each, schema)
 
 
-def payload_columns(addresses: DataFrame) -> DataFrame:
-    """What the stored bytes say: payload and media digests and the feature."""
+def header_columns(addresses: DataFrame, folder: str) -> DataFrame:
+    """(digest, shard, offset, width, height, bits) from the headers alone: 545 bytes of each member are read."""
+    return _ranges(addresses, folder, "width long, height long, bits long", _header)
 
-    def read(file, digest: str, offset: int, length: int) -> tuple:
-        media = file.read_at(length, offset)
-        samples = from_png(media)
-        return (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), describe(samples))
 
-    return _ranges(addresses, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", read)
+def payload_columns(addresses: DataFrame, folder: str) -> DataFrame:
+    """The header columns and, from the stored bytes, payload and media digests and the feature."""
+    added = "width long, height long, bits long, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string"
+    return _ranges(addresses, folder, added, _body)
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """Index, metadata and features of each row of `docs` (doc_id, text)."""
-    index = write_shards(docs)
-    addresses = canonical(index)
-    known = cut(header_columns(addresses).join(payload_columns(addresses), "digest"), "media-columns")
-    return index.select("doc_id", "n_bytes", "digest").join(addresses, "digest").join(known, "digest")
+    """Index, metadata and features of each row of `docs` (doc_id, text); digests as lower-case hex."""
+    folder = scratch(docs.sparkSession, "media")
+    index = write_shards(docs, folder)
+    known = payload_columns(canonical(index), folder)
+    out = index.select("doc_id", "n_bytes", "digest").join(known, "digest").drop("digest")
+    return out.withColumns({c: F.lower(F.hex(c)) for c in ("payload_sha256", "media_sha256")}).withColumn("folder", F.lit(folder))

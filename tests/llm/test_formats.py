@@ -119,11 +119,15 @@ def test_media_round_trip(spark):
         found.setdefault(r.doc_id, []).append((r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32))
         assert (r.width, r.height, r.bits) == (64, r.payload_bytes // 64, 8)
     assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in want.items()}
-    same = {r.doc_id: (r.shard, r.offset, r.media_sha256, r.feature) for r in got}
+    same = {r.doc_id: (f"{r.folder}/{r.shard}", r.offset, r.media_sha256, r.feature) for r in got}
     assert same[10] == same[20]
     fs, path = locate(same[10][0])
     with tarfile.open(fileobj=io.BytesIO(fs.open_input_file(path).read())) as t:  # a plain tar reader can read the shard
         assert all(hashlib.sha256(media_shards.from_png(t.extractfile(m).read())).hexdigest() + ".png" == m.name for m in t)
+    folder = got[0].folder
+    index = media_shards.write_shards(frame(spark, rows), folder + "-2")
+    heads = media_shards.header_columns(media_shards.canonical(index), folder + "-2").collect()
+    assert {(r.width, r.height, r.bits) for r in heads} == {(r.width, r.height, r.bits) for r in got}
     assert media_shards.media_columns(frame(spark).where(F.lit(False))).count() == 0
 
 
