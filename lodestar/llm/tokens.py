@@ -113,3 +113,10 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+def release() -> None:
+    """Empty the word tables of this process, for work that needs the memory."""
+    for e in _ENCODERS.values():
+        e.words.clear()
+        e.chunks.clear()
