@@ -4,7 +4,7 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes ea
 back as the next stage's input. All but the last return the columns of `documents`.
 
 1. quality: scores whole texts with naive Bayes support vectors fitted on `labels`; rejected documents go.
-2. near_duplicates: SimHash groups of documents whose five-word shingles are similar at 0.8 or more; of each group the
+2. near_duplicates: groups of documents whose sets of five-word shingles are similar at 0.8 or more; of each group the
    document with the smallest id stays.
 3. repeats: bytes of a 50-byte string that also starts in a document with a smaller id go (whole characters only);
    n_chars is counted again.

@@ -7,11 +7,11 @@ positional bytes, eight lists for each fingerprint (the triples within either ha
 meets in one of them. Within a list the shared positional bytes of each pair are tallied, pairs under the minimum are
 dropped, the others are verified on all 64 bits, and a spanning forest is emitted, never the pairs.
 
-For groups by similarity (`similar_groups`) the same index serves wider fingerprints: 256 bits of the distinct five-word
-shingles. Bits differ in the share angle / pi, so a Jaccard similarity gives an expected number of differing bits; documents
-link within that number plus one standard error. A pair at 0.8 shares 8.5 of 32 bytes on average; lists are
-keyed by two positional bytes (48 of them), and a pair must share `least` = 3 bytes. This bound is not a guarantee but a
-probability: at exactly 0.8 about 6 % of pairs meet in no list, at 0.85 under 1 %.
+For groups by similarity (`similar_groups`) a like index finds candidates over prints whose bytes agree as often as the documents
+do: 64 bytes, each of the least of the distinct five-word shingles under a hash of its own, so a byte is equal with the Jaccard
+similarity as its probability. Lists are keyed by the 21 disjoint triples of positions (pairs that share 43 of the first 63 bytes
+always meet), and a candidate must share 32 bytes. At exactly 0.8 a pair is no candidate with a probability under one in a
+million. Components of candidates are only where to look: within them the exact similarity of the shingle sets links.
 
 Cases: a null or empty text, or one of white space only, has no words and fingerprint zero; these texts link with one
 another like any others. Equal fingerprints are one node of the index. A null doc_id never becomes a component id
@@ -21,7 +21,7 @@ unless the component has no other. Repeated rows each get their row. Other colum
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -35,6 +35,7 @@ from lodestar.session import cut, prepare
 
 TRIPLES = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+FACTORS = np.random.default_rng(42).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -118,81 +119,147 @@ def simhash_groups(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFr
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def wide_print(text: bytes, words: int = 5, lanes: int = 4) -> np.ndarray:
-    """SimHash of `lanes` x 64 bits of the distinct word shingles; zero without words."""
+def shingles(text: bytes, words: int = 5) -> np.ndarray:
+    """The distinct hashes of the word shingles, sorted; fewer words are one shingle, none have none."""
     found = WORD.findall(text.translate(LOWER))
     if not found:
-        return np.zeros(lanes, np.uint64)
+        return np.empty(0, np.uint64)
     joined = b" ".join(found)
     size = np.fromiter(map(len, found), np.int64, len(found))
     end = np.cumsum(size + 1) - 1
     n = max(1, len(found) - words + 1)
     start, stop = (end - size)[:n].tolist(), (end[words - 1 :] if len(found) >= words else end[-1:]).tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(start, stop, strict=True)), np.uint64, n))
-    ones = np.zeros(64 * lanes, np.int64)
-    for at in range(0, len(h), 255):  # eight counters to a 64-bit word hold 255 rows
-        z = h[at : at + 255, None] + np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z ^= z >> np.uint64(31)
-        bits = np.unpackbits(z.view(np.uint8).reshape(len(z), -1), axis=1)
-        ones += bits.view(np.uint64).sum(0, dtype=np.uint64).view(np.uint8)
-    return np.packbits(ones * 2 > len(h)).view(np.uint64)
-
-
-def bits_at(similarity: float, bits: int, errors: float = 1.0) -> int:
-    """Differing bits expected at a Jaccard similarity, plus so many standard errors."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * p + errors * np.sqrt(bits * p * (1 - p)))
-
-
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int = 2048, least: int = 3) -> DataFrame:
-    """(doc_id, component_id) for each row of `docs`: groups linked at the similarity or more."""
+    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(start, stop, strict=True)), np.uint64, n))
+
+
+def name_of(h: np.ndarray) -> int:
+    """One long for a set of shingles."""
+    return xxhash.xxh64_intdigest(h.tobytes(), 42) - (1 << 63)
+
+
+def least_print(h: np.ndarray) -> np.ndarray:
+    """64 bytes as eight longs, each byte of the least hash of the set under its own function; zero for no shingles."""
+    if not len(h):
+        return np.zeros(8, np.int64)
+    low = np.full(64, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 1024):
+        z = h[at : at + 1024, None] * FACTORS
+        z ^= z >> np.uint64(29)
+        z *= np.uint64(0xBF58476D1CE4E5B9)
+        z ^= z >> np.uint64(32)
+        np.minimum(low, z.min(0), out=low)
+    return low.astype(np.uint8).view(np.int64)
+
+
+def similar_sets(groups: np.ndarray, sets: pa.BinaryArray, apart: Callable[..., np.ndarray], similarity: float) -> np.ndarray:
+    """Labels of the rows after joining all pairs in runs of equal `groups` whose sets are similar; connected pairs are not compared again."""
+    root = np.arange(len(groups))
+    at = np.frombuffer(sets.buffers()[1], np.int32)[sets.offset : sets.offset + len(sets) + 1] // 8
+    h, size = np.frombuffer(sets.buffers()[2] or b"", np.uint64), np.diff(at)
+
+    def like(u: int, v: int) -> bool:
+        a, b = h[at[u] : at[u + 1]], h[at[v] : at[v + 1]]
+        both = int((a[np.minimum(a.searchsorted(b), len(a) - 1)] == b).sum()) if len(a) else 0
+        return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+    for u, v in pairs_in_runs(groups):
+        near = apart(u, v) & (np.minimum(size[u], size[v]) >= similarity * np.maximum(size[u], size[v]) - 1e-6)
+        u, v = u[near], v[near]
+        while len(u):
+            live = root[u] != root[v]
+            u, v = u[live], v[live]
+            a, b = u[:4096], v[:4096]
+            kept = np.fromiter(map(like, a.tolist(), b.tolist()), bool, len(a))
+            root = forest(len(groups), a[kept], b[kept], root)
+            u, v = u[4096:], v[4096:]
+    return root
+
+
+def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int = 2048, least: int = 32) -> DataFrame:
+    """(doc_id, fp, root) for each row of `docs`: fp names its set of shingles, root its group."""
     prepare(docs.sparkSession)
-    most, lanes = bits_at(similarity, 256), ["p0", "p1", "p2", "p3"]
+    lanes = [f"p{k}" for k in range(8)]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = np.array([wide_print(t, words) for t in utf8_of(b.column(1))], np.uint64).reshape(-1, 4).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(p[:, k])) for k in range(4))], names=["doc_id", *lanes])
+            p, fp = np.empty((b.num_rows, 8), np.int64), np.empty(b.num_rows, np.int64)
+            for k, t in enumerate(utf8_of(b.column(1))):
+                h = shingles(t, words)
+                p[k], fp[k] = least_print(h), name_of(h)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *(pa.array(np.ascontiguousarray(p[:, k])) for k in range(8))], names=["doc_id", "fp", *lanes])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, p0 long, p1 long, p2 long, p3 long")
-    prints = cut(rows.withColumn("fp", F.xxhash64(*lanes)), "wide-prints")
+    prints = cut(docs.mapInArrow(each, ", ".join(f"{c} long" for c in ["doc_id", "fp", *lanes])), "wide-prints")
     classes = cut(prints.groupBy("fp", *lanes).agg(F.min("doc_id").alias("first_id")), "wide-classes")
 
     def byte(k: int) -> F.Column:
         return F.shiftrightunsigned(lanes[k // 8], 8 * (k % 8)).bitwiseAND(F.lit(255).cast("long"))
 
-    pairs = [(k, k ^ m) for m in (1, 2, 4) for k in range(32) if k < k ^ m]
-    keys = [(F.lit(n).cast("long") * 256 + byte(a)) * 256 + byte(b) for n, (a, b) in enumerate(pairs)]
+    keys = [((F.lit(n).cast("long") * 256 + byte(3 * n)) * 256 + byte(3 * n + 1)) * 256 + byte(3 * n + 2) for n in range(21)]
     postings = classes.select("fp", *lanes, F.explode(F.array(*keys)).alias("list"))
     groups = spread_lists(postings, "list", "fp", block).select("list", "i", "j", "own", "fp", *lanes)
 
+    def grouped(t: pa.Table, key: str) -> tuple[np.ndarray, Callable[..., np.ndarray]]:
+        k, i, j, own = (t.column(c).to_numpy() for c in (key, "i", "j", "own"))
+        new = np.r_[True, (np.diff(k) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)]
+        return np.cumsum(new), lambda u, v: (i[u] == j[u]) | (own[u] != own[v])
+
+    def links(fp: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+        child = np.flatnonzero(root != np.arange(len(fp)))
+        return pa.RecordBatch.from_arrays([pa.array(fp[child]), pa.array(fp[root[child]])], names=["u", "v"])
+
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["list", "i", "j"]):
             fp = t.column("fp").to_numpy()
-            x = np.stack([t.column(c).to_numpy() for c in lanes], 1).view(np.uint64)
-            i, j, own = (t.column(c).to_numpy() for c in ("i", "j", "own"))
-            new = np.r_[True, (np.diff(t.column("list").to_numpy()) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)]
+            x = np.stack([t.column(c).to_numpy() for c in lanes], 1).view(np.uint8)
+            run, apart = grouped(t, "list")
             root = np.arange(len(fp))
-            for a, b in pairs_in_runs(np.cumsum(new)):
+            for a, b in pairs_in_runs(run):
                 for at in range(0, len(a), 200_000):
                     u, v = a[at : at + 200_000], b[at : at + 200_000]
-                    apart = (i[u] == j[u]) | (own[u] != own[v])
-                    u, v = u[apart], v[apart]
-                    differ = x[u] ^ x[v]
-                    kept = (differ.view(np.uint8) == 0).sum(1) >= least
-                    kept[kept] = np.bitwise_count(differ[kept]).sum(1, dtype=np.int64) <= most
+                    kept = apart(u, v) & (root[u] != root[v])
+                    u, v = u[kept], v[kept]
+                    kept = (x[u] == x[v]).sum(1) >= least
                     root = forest(len(fp), u[kept], v[kept], root)
-            child = np.flatnonzero(root != np.arange(len(fp)))
-            yield pa.RecordBatch.from_arrays([pa.array(fp[child]), pa.array(fp[root[child]])], names=["u", "v"])
+            yield links(fp, root)
 
     found = groups.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j").mapInArrow(join, "u long, v long")
-    tree = connected_components(found, "wide-links")
-    named = classes.join(tree, classes.fp == tree.id, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    first = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return prints.select("doc_id", "fp").join(named.join(first, "root").select("fp", "component_id"), "fp").select("doc_id", "component_id")
+    loose = classes.join(connected_components(found, "wide-candidates"), F.col("fp") == F.col("id"))
+
+    def known(c: str) -> F.Column:
+        return F.coalesce(c, F.lit(-(1 << 63)))
+
+    wanted = loose.select(known("first_id").alias("__id"), F.col("fp").alias("__fp"), "root")
+    texts = docs.withColumn("__id", known("doc_id")).join(wanted, "__id").select("text", "__fp", "root")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                h = [shingles(t, words) for t in utf8_of(b.column(0))]
+                right = np.array([name_of(x) for x in h], np.int64) == b.column(1).to_numpy()
+                yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([x.tobytes() for x in h], pa.binary())], names=["fp", "root", "h"]).filter(pa.array(right))
+
+    members = cut(texts.mapInArrow(sets, "fp long, root long, h binary").dropDuplicates(["fp"]), "wide-sets")
+    spread = spread_lists(members, "root", "fp", block).select("root", "i", "j", "own", "fp", "h")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, ["root", "i", "j"], 1024):
+            run, apart = grouped(t, "root")
+            yield links(t.column("fp").to_numpy(), similar_sets(run, t.column("h").combine_chunks(), apart, similarity))
+
+    exact = spread.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(verify, "u long, v long")
+    tree = connected_components(exact, "wide-links")
+    named = classes.join(tree, classes.fp == tree.id, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return prints.select("doc_id", "fp").join(named, "fp")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) for each row of `docs`: groups linked at the similarity or more."""
+    rows = cut(similar_classes(docs, words, similarity), "wide-groups")
+    first = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(first, "root").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -94,3 +94,45 @@ def test_keep_one_and_odd_rows(spark):
     assert sorted((r.doc_id is not None, r.doc_id or 0) for r in kept) == [(False, 0), (True, 1), (True, 5), (True, 9)]
     assert simhash.keep_one(docs).columns == docs.columns
     assert simhash.simhash_groups(docs.where(F.lit(False))).count() == 0
+
+
+def similar_texts():
+    rng = random.Random(8)
+    texts = [None, "", "one two", "one two"]
+    for n in (10, 20, 20, 20, 40, 40, 100, 100, 300, 1000):
+        for part in range(12):
+            words = [f"w{rng.randrange(10**6)}" for _ in range(n + 4)]
+            texts.append(" ".join(words))
+            for cut in (0.6, 0.667, 0.7, 0.75, 0.78, 0.8, 0.82, 0.9, 1.0):
+                if rng.random() < 0.35:
+                    gone = round(n * (1 - cut) / (1 + cut)) if part % 2 else int(n * (1 - cut))
+                    texts.append(" ".join([f"x{rng.randrange(10**6)}" for _ in range(gone if part % 2 else 0)] + words[gone:]))
+    return texts
+
+
+def brute_similar(texts, least=0.8):
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or 10 * both >= round(10 * least) * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(sets))]
+
+
+def test_similar_groups_equal_all_pairs(spark):
+    texts = similar_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    assert got == dict(enumerate(brute_similar(texts)))
