@@ -83,7 +83,7 @@ SELECT query_id, id, round(score, 6) AS score, CAST(k AS INTEGER) AS rank FROM (
 @query(BM)
 def m2_bm25(spark, d):
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
-    q = items.select(F.col("item_id").alias("query_id"), F.explode(F.slice(tx.tokens(F.col("text")), 1, 8)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+    q = items.select(F.col("item_id").alias("query_id"), F.explode(tx.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
     out = retrieval.bm25(docs, "doc_id", tx.tokens(F.col("text")), q)
     return out.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
