@@ -115,8 +115,8 @@ def e9_file_summary(spark, d):
 @query("""WITH w AS (SELECT item_id, string_split(text, ' ')[1:12] AS w FROM benchmark), g AS (SELECT item_id, unnest(generate_series(1, len(w))) AS i, w FROM w), n AS (SELECT item_id, i, unnest([1, 2, 3]) AS k, w FROM g)
 SELECT item_id, k, count(DISTINCT array_to_string(w[i:i + k - 1], ' ')) AS grams FROM n WHERE i + k - 1 <= len(w) GROUP BY item_id, k""")
 def f15_sliding_grams(spark, d):
-    w = table(spark, d, "benchmark").select("item_id", F.slice(F.split("text", " "), 1, 12).alias("w"))
-    n = w.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).where(F.size("w") >= F.col("k"))
+    w = table(spark, d, "benchmark").select("item_id", F.split("text", " ").alias("w"))
+    n = w.withColumn("k", F.explode(F.array(*(F.lit(k) for k in range(1, 7))))).where(F.size("w") >= F.col("k"))
     grams = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1), lambda i: F.array_join(F.slice(F.col("w"), i, F.col("k")), " "))
     return n.select("item_id", "k", F.explode(grams).alias("g")).groupBy("item_id", "k").agg(F.count_distinct("g").alias("grams"))
 

@@ -49,3 +49,9 @@ def test_tiers_read_whole_queries(spark, texts):
             best = sorted((i for i in hits if hits[i]), key=lambda i: (-hits[i], i))[:3]
             want |= {(q, i, tier, hits[i], k + 1) for k, i in enumerate(best)}
     assert {tuple(r) for r in plans.queries()["m7_tiered_retrieval"](spark, d).collect()} == want
+
+
+def test_sliding_grams_read_all_words_and_sizes(spark, texts):
+    d, _, items = texts
+    want = {(i, k, len({tuple(w[a : a + k]) for a in range(len(w) - k + 1)})) for i, t in items for w in [t.split(" ")] for k in range(1, 7)}
+    assert {tuple(r) for r in plans.queries()["f15_sliding_grams"](spark, d).collect()} == want
