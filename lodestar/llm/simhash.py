@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lodestar.llm.common import connected_components, forest, pairs_in_runs, runs, spread_lists, utf8_of
 from lodestar.session import cut, prepare
@@ -265,15 +266,24 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of `docs`, one document of each group: that with the smallest id.
 
-    Rows that repeat the kept id count as copies of it: one stays. Rows with a null id are kept as they are.
+    A group keeps one row, also where its smallest id is that of other texts too: these are in groups of their own.
+    Rows with a null id are kept as they are.
     """
-    groups = similar_groups(docs, words, similarity)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    groups = similar_classes(docs, words, similarity)
+    kept = groups.where("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.fp").alias("__set"))
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = pa.array([name_of(shingles(t, words)) for t in utf8_of(b.column(b.schema.get_field_index("text")))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, fp], names=[*b.schema.names, "__fp"])
+
+    schema = StructType([*docs.schema.fields, StructField("__fp", LongType())])
+    named = docs.where("doc_id is not null").mapInArrow(names, schema)
+    order = Window.partitionBy("doc_id", "__fp").orderBy(F.xxhash64("text"))
     chosen = (
-        docs.join(kept, docs.doc_id == kept["__kept"], "left_semi")
+        named.join(kept, (F.col("doc_id") == F.col("__id")) & (F.col("__fp") == F.col("__set")), "left_semi")
         .withColumn("__copy", F.row_number().over(order))
         .where("__copy = 1")
-        .drop("__copy")
+        .select(*docs.columns)
     )
     return chosen.unionByName(docs.where("doc_id is null"))

@@ -136,3 +136,10 @@ def test_similar_groups_equal_all_pairs(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
     assert got == dict(enumerate(brute_similar(texts)))
+
+
+def test_keep_one_with_repeated_ids(spark):
+    one, two, three = ("alpha beta gamma delta epsilon", "quite other words stand here now", "a third text is here as well")
+    rows = [(3, one), (3, two), (3, two), (4, one), (2, three), (7, three), (7, two)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in simhash.keep_one(docs).collect()) == [(2, three), (3, one), (3, two)]
