@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.session import cut
@@ -17,9 +17,46 @@ def split_of(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4
 
 
-def utf8_of(col: pa.ChunkedArray | pa.Array) -> list[bytes]:
-    """A string column as UTF-8 bytes, null as empty."""
-    return [b"" if b is None else b for b in col.cast(pa.binary()).to_pylist()]
+def quoted(name: str) -> str:
+    """A column name for select(), dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def nest(docs: DataFrame, *own: str) -> DataFrame:
+    """The columns `own` and one struct `rest` with all others, so that no name an operator adds can clash with theirs."""
+    others = [F.col(quoted(c)) for c in docs.columns if c not in own]
+    return docs.select(*(F.col(quoted(c)) for c in own), *([F.struct(*others).alias("rest")] if others else []))
+
+
+def unnest(df: DataFrame, like: DataFrame, *own: str) -> DataFrame:
+    """The columns of `like` in their order from a frame that nest() made (and an operator added to)."""
+    return df.select(*(F.col(quoted(c)) if c in own else F.col("rest").getField(c).alias(c) for c in like.columns))
+
+
+def tasks_for(spark: SparkSession, size: int, items: int, per_task: int = 64 << 20) -> int:
+    """How many tasks read `items` files or ranges of `size` bytes in all: all cores if there is enough, `per_task` bytes each beyond.
+
+    Given as a number to repartition(), which adaptive execution leaves alone: it would judge by the size of the paths.
+    """
+    return max(1, min(items, max(spark.sparkContext.defaultParallelism, -(-size // per_task))))
+
+
+def gathered(df: DataFrame, rows: int, per_task: int = 500_000) -> DataFrame:
+    """`df` of about `rows` small rows in no more tasks, and so files, than these ask for; at least as many as there are cores."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // per_task)))
+
+
+def strings(col: pa.Array, step: int = 64) -> Iterator[str | None]:
+    """The values of a string column, few of them at a time in memory besides the column itself."""
+    for at in range(0, len(col), step):
+        yield from col.slice(at, step).to_pylist()
+
+
+def utf8_of(col: pa.Array, step: int = 64) -> Iterator[bytes]:
+    """A string column as UTF-8 bytes, null as empty, few at a time."""
+    for at in range(0, len(col), step):
+        for b in col.slice(at, step).cast(pa.binary()).to_pylist():
+            yield b"" if b is None else b
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 65536) -> Iterator[pa.Table]:
@@ -125,33 +162,30 @@ def spread_lists(postings: DataFrame, key: str, item: str, block: int, most: int
     )
 
 
+def _star(e: DataFrame) -> DataFrame:
+    """One round over edges (hi, lo): every node's larger neighbours, then its smaller ones, join the smallest it knows."""
+    both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.join(low, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+    low = large.groupBy("hi").agg(F.min("lo").alias("m"))
+    small = large.join(low, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
+    return small.unionByName(low.select("hi", F.col("m").alias("lo"))).distinct()
+
+
 def connected_components(edges: DataFrame, label: str) -> DataFrame:
     """(id, root) for every id of `edges` (u, v): root is the smallest id reachable, by alternating stars.
 
-    Each round joins every node to the smallest node it knows; rounds grow with the logarithm of the longest
-    path. Each round is written to the shared folder, so lost executors cost one round at most. The driver sees
-    a count and a checksum only.
+    Rounds grow with the logarithm of the longest path. Each is written to the shared folder, so lost executors cost one
+    round at most. It ends when the edges are stars: each larger end has one smaller end, which has none.
+    The driver sees counts only.
     """
-    e = edges.select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).where("hi <> lo").distinct()
-    e, before = cut(e, label), None
+    e = cut(edges.select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).where("hi <> lo").distinct(), label)
     while True:
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
-        if now == before or now[0] == 0:
+        ends = e.select(F.col("hi").alias("id"), F.lit(1).alias("h"), F.lit(0).alias("l")).unionByName(e.select(F.col("lo").alias("id"), F.lit(0).alias("h"), F.lit(1).alias("l")))
+        ends = ends.groupBy("id").agg(F.sum("h").alias("h"), F.max("l").alias("l"))
+        bent, count = ends.agg(F.count_if((F.col("h") > 1) | ((F.col("h") > 0) & (F.col("l") > 0))), F.coalesce(F.sum("h"), F.lit(0))).first()
+        if not bent:
             break
-        before = now
-        both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
-            e.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
-        )
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = (
-            large.join(low, "hi")
-            .select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-            .where("hi <> lo")
-            .unionByName(low.select("hi", F.col("m").alias("lo")))
-            .distinct()
-        )
-        e = cut(small, label)
+        e = cut(gathered(_star(e), count), label)
     roots = e.select(F.col("lo").alias("id")).distinct().withColumn("root", F.col("id"))
     return e.select(F.col("hi").alias("id"), F.col("lo").alias("root")).unionByName(roots)

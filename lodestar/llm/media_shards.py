@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import utf8_of
+from lodestar.llm.common import tasks_for, utf8_of
 from lodestar.llm.storage import fresh, locate
 from lodestar.session import cut, prepare, scratch
 
@@ -144,7 +144,7 @@ def _body(file: pa.NativeFile, digest: bytes, offset: int, length: int) -> tuple
 
 
 def _ranges(addresses: DataFrame, folder: str, added: str, read) -> DataFrame:
-    """Addresses with the columns of read(file, digest, offset, length), shard by shard in order of offset."""
+    """Addresses with the columns of read(file, digest, offset, length), ranges of shards in order of offset, as many as their bytes ask for."""
     schema = f"digest binary, shard string, offset long, {added}"
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [{"binary": pa.binary(), "string": pa.string(), "long": pa.int64()}[x.split()[1]] for x in schema.split(", ")]
@@ -164,7 +164,9 @@ def _ranges(addresses: DataFrame, folder: str, added: str, read) -> DataFrame:
         if file is not None:
             file.close()
 
-    return addresses.repartition("shard").sortWithinPartitions("shard", "offset").mapInArrow(each, schema)
+    size, items = addresses.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
+    tasks = tasks_for(addresses.sparkSession, size, items)
+    return addresses.repartitionByRange(tasks, "shard", "offset").sortWithinPartitions("shard", "offset").mapInArrow(each, schema)
 
 
 def header_columns(addresses: DataFrame, folder: str) -> DataFrame:
@@ -182,6 +184,6 @@ def media_columns(docs: DataFrame) -> DataFrame:
     """Index, metadata and features of each row of `docs` (doc_id, text); digests as lower-case hex."""
     folder = scratch(docs.sparkSession, "media")
     index = write_shards(docs, folder)
-    known = payload_columns(canonical(index), folder)
+    known = payload_columns(cut(canonical(index), "media-addresses"), folder)
     out = index.select("doc_id", "n_bytes", "digest").join(known, "digest").drop("digest")
     return out.withColumns({c: F.lower(F.hex(c)) for c in ("payload_sha256", "media_sha256")}).withColumn("folder", F.lit(folder))

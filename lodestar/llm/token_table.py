@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import strings, tasks_for
 from lodestar.llm.storage import fresh, locate
 from lodestar.llm.tokens import encoder
 from lodestar.session import cut, prepare, scratch
@@ -176,7 +177,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shard_bytes: int
             out.append((path, part, len(out), len(writer.keys), writer.ids))
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc, text in zip(b.column(0).to_pylist(), strings(b.column(1)), strict=True):
                 if writer is None:
                     path = fresh(folder, part, ".lsst")
                     fs, at = locate(path)
@@ -191,7 +192,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shard_bytes: int
         yield pa.RecordBatch.from_arrays(cols, names=["path", "part", "roll", "documents", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    head = F.substring("text", 1, 32)  # an id that very many rows repeat is spread too, if their texts differ
+    ordered = rows.repartitionByRange("doc_id", head).sortWithinPartitions("doc_id", "text")
     return cut(ordered.mapInArrow(write, "path string, part long, roll long, documents long, ids long"), "token-shards")
 
 
@@ -206,9 +208,16 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 for key, ids in reader.scan():
                     rows.append((id_of(key), at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     at += len(ids)
+                    if len(rows) == 65536:
+                        yield batch(rows)
+                        rows = []
                 reader.close()
-                cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(4)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield batch(rows)
 
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    files, ids = shards.agg(F.count("*"), F.coalesce(F.sum("ids"), F.lit(0))).first()
+    tasks = tasks_for(shards.sparkSession, 4 * ids, files)
     placed = shards.withColumn("base", F.coalesce(before, F.lit(0)).cast("long"))
-    return placed.select("path", "base").repartition("path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.select("path", "base").repartition(tasks).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import utf8_of
+from lodestar.llm.common import tasks_for
 from lodestar.llm.storage import fresh, locate
 from lodestar.session import cut, prepare, scratch
 
@@ -63,16 +63,17 @@ def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, r
     return head.encode() + block, memoryview(body)
 
 
-def write_archives(planned: DataFrame, archive_bytes: int = 256 << 20, chunk: int = 1 << 20) -> DataFrame:
-    """(archive, records, bytes) for each archive written."""
+def write_archives(planned: DataFrame, archive_bytes: int = 256 << 20, chunk: int = 1 << 20, range_bytes: int = 4 << 20) -> DataFrame:
+    """(archive, offset, bytes, records): ranges of whole gzip members of the archives written, at least `range_bytes` each but the last."""
     folder = scratch(prepare(planned.sparkSession), "warc")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, stream, path, size, count, out = TaskContext.get().partitionId(), None, "", 0, 0, []
+        part, stream, path, begun, count, out = TaskContext.get().partitionId(), None, "", 0, 0, []
         for b in batches:
-            for page_id, url, payload, digest, refers_to in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True):
+            for r in range(b.num_rows):  # one payload at a time
+                page_id, url, payload, digest, refers_to = (b.column(c)[r].as_py() for c in ("page_id", "url", "payload", "digest", "refers_to"))
                 if stream is None:
-                    path, size, count = fresh(folder, part, ".warc.gz"), 0, 0
+                    path, begun, count = fresh(folder, part, ".warc.gz"), 0, 0
                     fs, name = locate(path)
                     stream = fs.open_output_stream(name, compression=None)
                 head, body = _record(page_id, url, payload, digest, refers_to)
@@ -83,32 +84,36 @@ def write_archives(planned: DataFrame, archive_bytes: int = 256 << 20, chunk: in
                 stream.write(gz.compress(b"\r\n\r\n") + gz.flush())
                 count += 1
                 size = stream.tell()
+                if size - begun >= range_bytes or size >= archive_bytes:
+                    out.append((path, begun, size - begun, count))
+                    begun, count = size, 0
                 if size >= archive_bytes:
                     stream.close()
-                    out.append((path, count, size))
                     stream = None
         if stream is not None:
+            if count:
+                out.append((path, begun, stream.tell() - begun, count))
             stream.close()
-            out.append((path, count, size))
-        cols = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
-        yield pa.RecordBatch.from_arrays(cols, names=["archive", "records", "bytes"])
+        cols = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays(cols, names=["archive", "offset", "bytes", "records"])
 
     rows = planned.select("page_id", "url", "payload", "digest", "refers_to")
-    return cut(rows.mapInArrow(write, "archive string, records long, bytes long"), "warc-archives")
+    return cut(rows.mapInArrow(write, "archive string, offset long, bytes long, records long"), "warc-archives")
 
 
 class _Inflated:
-    """A gzip file of many members as one stream of bytes, a bounded piece at a time."""
+    """The next `left` bytes of a gzip file, whole members, as one stream of bytes, a bounded piece at a time."""
 
-    def __init__(self, file: pa.NativeFile, step: int):
-        self.file, self.step, self.gz, self.held = file, step, zlib.decompressobj(31), bytearray()
+    def __init__(self, file: pa.NativeFile, left: int, step: int):
+        self.file, self.left, self.step, self.gz, self.held = file, left, step, zlib.decompressobj(31), bytearray()
 
     def _more(self) -> bool:
         data = self.gz.unconsumed_tail or self.gz.unused_data
         if self.gz.eof:
             self.gz = zlib.decompressobj(31)
         if not data:
-            data = self.file.read(self.step)
+            data = self.file.read(min(self.step, self.left))
+            self.left -= len(data)
             if not data:
                 return False
         self.held += self.gz.decompress(data, self.step)
@@ -138,9 +143,9 @@ def _number(urn: str | None) -> int | None:
     return int(text) if text.lstrip("-").isdigit() else None
 
 
-def records(file: pa.NativeFile, chunk: int) -> Iterator[tuple]:
-    """The chunk rows of an archive, in its order."""
-    data = _Inflated(file, chunk)
+def records(file: pa.NativeFile, size: int, chunk: int) -> Iterator[tuple]:
+    """The chunk rows of the next `size` bytes of an archive, in its order."""
+    data = _Inflated(file, size, chunk)
     while (line := data.line()) is not None:
         if not line:
             continue
@@ -169,17 +174,18 @@ def records(file: pa.NativeFile, chunk: int) -> Iterator[tuple]:
 
 
 def read_chunks(archives: DataFrame, chunk: int = 1 << 20, batch_bytes: int = 4 << 20) -> DataFrame:
-    """The chunk table of `archives` (archive); see CHUNKS."""
+    """The chunk table of `archives` (archive, offset, bytes); see CHUNKS. Ranges are read by as many tasks as their bytes ask for."""
     names = [x.split()[0] for x in CHUNKS.split(", ")]
     kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.bool_()]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path in b.column(0).to_pylist():
+            for path, offset, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 fs, name = locate(path)
                 with fs.open_input_file(name) as file:
+                    file.seek(offset)
                     rows, size = [], 0
-                    for r in records(file, chunk):
+                    for r in records(file, length, chunk):
                         rows.append((path, *r))
                         size += len(r[6]) + 200
                         if size >= batch_bytes:
@@ -187,7 +193,9 @@ def read_chunks(archives: DataFrame, chunk: int = 1 << 20, batch_bytes: int = 4
                             rows, size = [], 0
                     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    return archives.select("archive").repartition("archive").mapInArrow(each, CHUNKS)
+    size, ranges = archives.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
+    tasks = tasks_for(archives.sparkSession, size, ranges, 32 << 20)
+    return archives.select("archive", "offset", "bytes").repartition(tasks).mapInArrow(each, CHUNKS)
 
 
 def resolve(chunks: DataFrame) -> DataFrame:
