@@ -4,7 +4,8 @@ Each partition keeps at most `open_windows` windows open. Of a document, whole w
 goes to the open window it fits best. If it fits none and all are in use, the fullest window is emitted: the
 piece is cut to fill its gap if the gap has `min_cut` ids or more, else the gap stays as padding. Windows still open at
 the end of a partition are leftovers; their pieces, with ids, are packed again in the same way, longest
-first, those of `fan_in` partitions in one task. So memory is bounded in both rounds and no task sees all leftovers.
+first, those of `fan_in` partitions in one task. So memory is bounded in both rounds and no task sees all leftovers. Where a
+sequence whose length is a power of two needs no padding (`powers`), the windows left at the very end are cut into such.
 
 Cases: a null text is empty and has the end id only. A null doc_id stays null. Repeated rows are packed each
 by itself. Other columns are left out. An empty table gives no rows.
@@ -21,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import strings
 from lodestar.llm.tokens import encoder
 from lodestar.session import cut, prepare
 
@@ -44,10 +46,13 @@ class Packer:
         self.room = np.append(self.room, self.size - n)
 
     def add(self, doc: int | None, start: int, ids: bytes, tokens: int) -> None:
-        n = len(ids) // 4
-        while n >= self.size:
-            self.done([(doc, start, ids[: 4 * self.size], tokens)])
-            start, ids, n = start + self.size, ids[4 * self.size :], n - self.size
+        n, at = len(ids) // 4, 0
+        if n >= self.size:  # a view: whole windows are cut off without copying the rest each time
+            view = memoryview(ids)
+            while n >= self.size:
+                self.done([(doc, start, view[at : at + 4 * self.size], tokens)])
+                start, at, n = start + self.size, at + 4 * self.size, n - self.size
+            ids = bytes(view[at:])
         if not n:
             return
         fits = np.where(self.room >= n, self.room, self.size + 1)
@@ -68,6 +73,21 @@ class Packer:
         self._open((doc, start, ids, tokens), n)
 
 
+def unpadded(window: list[tuple]) -> Iterator[list[tuple]]:
+    """The window cut into sequences whose lengths are powers of two, the longest first: these need no padding."""
+    left = sum(len(p[2]) // 4 for p in window)
+    part, room = [], 1 << left.bit_length() - 1
+    for doc, start, ids, tokens in window:
+        at = 0
+        while at < len(ids) // 4:
+            n = min(room, len(ids) // 4 - at)
+            part.append((doc, start + at, ids[4 * at : 4 * (at + n)], tokens))
+            at, room, left = at + n, room - n, left - n
+            if not room:
+                yield part
+                part, room = [], 1 << left.bit_length() - 1 if left else 0
+
+
 class _Rows:
     """Collects pieces of closed windows as columns."""
 
@@ -98,7 +118,8 @@ def pack(
     size: int = 1024,
     open_windows: int = 64,
     min_cut: int = 16,
-    fan_in: int = 64,
+    fan_in: int = 16,
+    powers: bool = False,
 ) -> DataFrame:
     """One row for each piece of each document of `docs` (doc_id, text); see PIECE."""
     prepare(docs.sparkSession)
@@ -119,7 +140,7 @@ def pack(
             return pa.RecordBatch.from_arrays(cols, names=[*NAMES, "merge", "ids"])
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc, text in zip(b.column(0).to_pylist(), strings(b.column(1)), strict=True):
                 ids = words.encode(text or "") + end
                 packer.add(doc, 0, ids, len(ids) // 4)
             yield out([])
@@ -132,7 +153,8 @@ def pack(
         for _, doc, start, ids, tokens in sorted(pieces, key=lambda p: (-p[0], p[1] is None, p[1], p[2])):
             packer.add(doc, start, ids, tokens)
         for w in packer.windows:
-            rows.close(w)
+            for part in unpadded(w) if powers else [w]:
+                rows.close(part)
         return pa.table(rows.batch(), names=NAMES)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

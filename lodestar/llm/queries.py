@@ -53,7 +53,7 @@ def op4_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0, powers=True)
 
 
 def op6_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
