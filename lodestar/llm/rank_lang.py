@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import split_of
+from lodestar.llm.common import split_of, strings
 from lodestar.session import cut, prepare
 
 _LETTER: np.ndarray | None = None
@@ -75,7 +75,7 @@ def profiles(docs: DataFrame, top: int) -> dict[str, np.ndarray]:
         held: dict[str, list] = {}
         waiting = 0
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for lang, text in zip(b.column(0).to_pylist(), strings(b.column(1)), strict=True):
                 found = ngrams(text)
                 held.setdefault(lang, []).append(found)
                 waiting += len(found[0])
@@ -114,7 +114,7 @@ def predict(docs: DataFrame, learned: dict[str, np.ndarray], top: int) -> DataFr
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs, scores = [], []
-            for text in b.column(1).to_pylist():
+            for text in strings(b.column(1)):
                 doc = ranked(*ngrams(text), top)
                 if not len(doc) or not known.value:
                     langs.append("und")

@@ -10,8 +10,11 @@ A source gets budget x weight tokens: whole epochs, then part of one. In each ep
 from a prefix sum over blocks plus one within the block, so a source with a third of all rows is spread over many tasks.
 A document is taken if it ends within what its source gets.
 
+A token is a run of characters other than white space.
+
 Cases: a null source is a source of its own. A null or empty text has no tokens; a source without tokens gets one epoch and
-weight 0. Equal rows (doc_id and text) are taken together. Other columns pass through; an empty table gives no rows.
+weight 0. Equal rows (doc_id, text and source) are taken together. Very long texts count whole; one that exceeds what
+is left of its source's part epoch is left out of that epoch. Other columns pass through; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,13 +24,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import nest, unnest
 from lodestar.session import cut
 
 WORDS = r"\S+"
 
 
 def row_key() -> Column:
-    return F.xxhash64("doc_id", "text")
+    return F.xxhash64("doc_id", "text", "source")
 
 
 def _bisect(shares: DataFrame, value: Column, enough, passes: int = 8) -> float:
@@ -96,6 +100,7 @@ def select_rows(docs: DataFrame, entropy: float = 0.95, repeats: float = 2.0, bu
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that the mixture takes, as often as it takes them."""
-    times = cut(select_rows(docs, **options).groupBy("key").agg(F.count("*").cast("int").alias("__times")), "mix-taken")
-    keyed = docs.withColumn("__key", row_key())
-    return keyed.join(times.withColumnRenamed("key", "__key"), "__key").withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    own = ("doc_id", "text", "source")
+    times = cut(select_rows(docs.select(*own), **options).groupBy("key").agg(F.count("*").cast("int").alias("times")), "mix-taken")
+    again = nest(docs, *own).withColumn("key", row_key()).join(times, "key").withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return unnest(again, docs, *own)
