@@ -29,9 +29,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from lodestar.llm.common import connected_components, forest, pairs_in_runs, runs, spread_lists, utf8_of
+from lodestar.llm.common import connected_components, forest, gathered, nest, pairs_in_runs, runs, spread_lists, unnest, utf8_of
 from lodestar.session import cut, prepare
 
 TRIPLES = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
@@ -134,9 +133,10 @@ def shingles(text: bytes, words: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(start, stop, strict=True)), np.uint64, n))
 
 
-def name_of(h: np.ndarray) -> int:
-    """One long for a set of shingles."""
-    return xxhash.xxh64_intdigest(h.tobytes(), 42) - (1 << 63)
+def name_of(h: np.ndarray) -> tuple[int, int]:
+    """128 bits, as two longs, that name a set of shingles."""
+    n = xxhash.xxh3_128_intdigest(h.tobytes(), 42)
+    return (n >> 64) - (1 << 63), (n & (1 << 64) - 1) - (1 << 63)
 
 
 def least_print(h: np.ndarray) -> np.ndarray:
@@ -178,82 +178,87 @@ def similar_sets(groups: np.ndarray, sets: pa.BinaryArray, apart: Callable[...,
 
 
 def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int = 2048, least: int = 32) -> DataFrame:
-    """(doc_id, fp, root) for each row of `docs`: fp names its set of shingles, root its group."""
+    """(doc_id, mark, root) for each row of `docs`: mark is a hash of its text, root names its group."""
     prepare(docs.sparkSession)
     lanes = [f"p{k}" for k in range(8)]
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p, fp = np.empty((b.num_rows, 8), np.int64), np.empty(b.num_rows, np.int64)
-            for k, t in enumerate(utf8_of(b.column(1))):
+            p, name = np.empty((b.num_rows, 8), np.int64), np.empty((b.num_rows, 2), np.int64)
+            for k, t in enumerate(utf8_of(b.column(2))):
                 h = shingles(t, words)
-                p[k], fp[k] = least_print(h), name_of(h)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *(pa.array(np.ascontiguousarray(p[:, k])) for k in range(8))], names=["doc_id", "fp", *lanes])
+                p[k], name[k] = least_print(h), name_of(h)
+            columns = [pa.array(np.ascontiguousarray(v)) for v in (*name.T, *p.T)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["doc_id", "mark", "a", "b", *lanes])
 
-    prints = cut(docs.mapInArrow(each, ", ".join(f"{c} long" for c in ["doc_id", "fp", *lanes])), "wide-prints")
-    classes = cut(prints.groupBy("fp", *lanes).agg(F.min("doc_id").alias("first_id")), "wide-classes")
+    prints = cut(docs.mapInArrow(each, ", ".join(f"{c} long" for c in ["doc_id", "mark", "a", "b", *lanes])), "wide-prints")
+    rows = prints.count()
+    shown = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("shown")
+    classes = prints.groupBy("a", "b").agg(shown, *(F.first(c).alias(c) for c in lanes)).withColumn("node", F.monotonically_increasing_id())
+    classes = cut(gathered(classes, rows, 100_000), "wide-classes")
 
     def byte(k: int) -> F.Column:
         return F.shiftrightunsigned(lanes[k // 8], 8 * (k % 8)).bitwiseAND(F.lit(255).cast("long"))
 
     keys = [((F.lit(n).cast("long") * 256 + byte(3 * n)) * 256 + byte(3 * n + 1)) * 256 + byte(3 * n + 2) for n in range(21)]
-    postings = classes.select("fp", *lanes, F.explode(F.array(*keys)).alias("list"))
-    groups = spread_lists(postings, "list", "fp", block).select("list", "i", "j", "own", "fp", *lanes)
+    postings = classes.select("node", *lanes, F.explode(F.array(*keys)).alias("list"))
+    groups = spread_lists(postings, "list", "node", block).select("list", "i", "j", "own", "node", *lanes)
 
     def grouped(t: pa.Table, key: str) -> tuple[np.ndarray, Callable[..., np.ndarray]]:
         k, i, j, own = (t.column(c).to_numpy() for c in (key, "i", "j", "own"))
         new = np.r_[True, (np.diff(k) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)]
         return np.cumsum(new), lambda u, v: (i[u] == j[u]) | (own[u] != own[v])
 
-    def links(fp: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
-        child = np.flatnonzero(root != np.arange(len(fp)))
-        return pa.RecordBatch.from_arrays([pa.array(fp[child]), pa.array(fp[root[child]])], names=["u", "v"])
+    def links(node: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+        child = np.flatnonzero(root != np.arange(len(node)))
+        return pa.RecordBatch.from_arrays([pa.array(node[child]), pa.array(node[root[child]])], names=["u", "v"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, ["list", "i", "j"]):
-            fp = t.column("fp").to_numpy()
+        for t in runs(batches, ["list", "i", "j"], 16384):
+            node = t.column("node").to_numpy()
             x = np.stack([t.column(c).to_numpy() for c in lanes], 1).view(np.uint8)
             run, apart = grouped(t, "list")
-            root = np.arange(len(fp))
+            root = np.arange(len(node))
             for a, b in pairs_in_runs(run):
                 for at in range(0, len(a), 200_000):
                     u, v = a[at : at + 200_000], b[at : at + 200_000]
                     kept = apart(u, v) & (root[u] != root[v])
                     u, v = u[kept], v[kept]
                     kept = (x[u] == x[v]).sum(1) >= least
-                    root = forest(len(fp), u[kept], v[kept], root)
-            yield links(fp, root)
+                    root = forest(len(node), u[kept], v[kept], root)
+            yield links(node, root)
 
     found = groups.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j").mapInArrow(join, "u long, v long")
-    loose = classes.join(connected_components(found, "wide-candidates"), F.col("fp") == F.col("id"))
+    loose = classes.join(connected_components(found, "wide-candidates"), F.col("node") == F.col("id"))
 
     def known(c: str) -> F.Column:
         return F.coalesce(c, F.lit(-(1 << 63)))
 
-    wanted = loose.select(known("first_id").alias("__id"), F.col("fp").alias("__fp"), "root")
-    texts = docs.withColumn("__id", known("doc_id")).join(wanted, "__id").select("text", "__fp", "root")
+    wanted = loose.select(known("shown.doc_id").alias("of"), F.col("shown.mark").alias("mark"), "a", "b", "node", "root")
+    texts = docs.withColumn("of", known("doc_id")).join(wanted, ["of", "mark"]).select("text", "a", "b", "node", "root")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
                 h = [shingles(t, words) for t in utf8_of(b.column(0))]
-                right = np.array([name_of(x) for x in h], np.int64) == b.column(1).to_numpy()
-                yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([x.tobytes() for x in h], pa.binary())], names=["fp", "root", "h"]).filter(pa.array(right))
+                name = np.array([name_of(x) for x in h], np.int64).reshape(-1, 2)
+                right = (name[:, 0] == b.column(1).to_numpy()) & (name[:, 1] == b.column(2).to_numpy())
+                yield pa.RecordBatch.from_arrays([b.column(3), b.column(4), pa.array([x.tobytes() for x in h], pa.binary())], names=["node", "root", "h"]).filter(pa.array(right))
 
-    members = cut(texts.mapInArrow(sets, "fp long, root long, h binary").dropDuplicates(["fp"]), "wide-sets")
-    spread = spread_lists(members, "root", "fp", block).select("root", "i", "j", "own", "fp", "h")
+    members = cut(texts.mapInArrow(sets, "node long, root long, h binary").dropDuplicates(["node"]), "wide-sets")
+    spread = spread_lists(members, "root", "node", block).select("root", "i", "j", "own", "node", "h")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["root", "i", "j"], 1024):
             run, apart = grouped(t, "root")
-            yield links(t.column("fp").to_numpy(), similar_sets(run, t.column("h").combine_chunks(), apart, similarity))
+            yield links(t.column("node").to_numpy(), similar_sets(run, t.column("h").combine_chunks(), apart, similarity))
 
     exact = spread.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(verify, "u long, v long")
     tree = connected_components(exact, "wide-links")
-    named = classes.join(tree, classes.fp == tree.id, "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    return prints.select("doc_id", "fp").join(named, "fp")
+    named = classes.join(tree, classes.node == tree.id, "left").select("a", "b", F.coalesce("root", "node").alias("root"))
+    return prints.select("doc_id", "mark", "a", "b").join(named, ["a", "b"]).select("doc_id", "mark", "root")
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -267,23 +272,12 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     """The rows of `docs`, one document of each group: that with the smallest id.
 
     A group keeps one row, also where its smallest id is that of other texts too: these are in groups of their own.
-    Rows with a null id are kept as they are.
+    Rows with a null id are kept as they are. Other columns pass through, whatever their names.
     """
     groups = similar_classes(docs, words, similarity)
-    kept = groups.where("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.fp").alias("__set"))
-
-    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = pa.array([name_of(shingles(t, words)) for t in utf8_of(b.column(b.schema.get_field_index("text")))], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, fp], names=[*b.schema.names, "__fp"])
-
-    schema = StructType([*docs.schema.fields, StructField("__fp", LongType())])
-    named = docs.where("doc_id is not null").mapInArrow(names, schema)
-    order = Window.partitionBy("doc_id", "__fp").orderBy(F.xxhash64("text"))
-    chosen = (
-        named.join(kept, (F.col("doc_id") == F.col("__id")) & (F.col("__fp") == F.col("__set")), "left_semi")
-        .withColumn("__copy", F.row_number().over(order))
-        .where("__copy = 1")
-        .select(*docs.columns)
-    )
-    return chosen.unionByName(docs.where("doc_id is null"))
+    kept = groups.where("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("k")).select(F.col("k.doc_id").alias("of"), F.col("k.mark").alias("mark"))
+    rows = nest(docs, "doc_id", "text").withColumns({"of": F.col("doc_id").cast("long"), "mark": F.xxhash64("text")})
+    whole = "rest" in rows.columns and "map<" not in rows.schema["rest"].dataType.simpleString()  # maps have no hash
+    order = Window.partitionBy("of", "mark").orderBy(F.xxhash64("rest" if whole else "text"))
+    chosen = rows.where("of is not null").join(kept, ["of", "mark"], "left_semi").withColumn("copy", F.row_number().over(order)).where("copy = 1")
+    return unnest(chosen.unionByName(rows.where("of is null"), allowMissingColumns=True), docs, "doc_id", "text")
