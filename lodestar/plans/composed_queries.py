@@ -112,7 +112,7 @@ def e9_file_summary(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.round(F.avg("n_chars"), 6).alias("mean_chars"), F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("lang")), 1, 40), ",").alias("langs"))
 
 
-@query("""WITH w AS (SELECT item_id, string_split(text, ' ')[1:12] AS w FROM benchmark), g AS (SELECT item_id, unnest(generate_series(1, len(w))) AS i, w FROM w), n AS (SELECT item_id, i, unnest([1, 2, 3]) AS k, w FROM g)
+@query("""WITH w AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), g AS (SELECT item_id, unnest(generate_series(1, len(w))) AS i, w FROM w), n AS (SELECT item_id, i, unnest([1, 2, 3, 4, 5, 6]) AS k, w FROM g)
 SELECT item_id, k, count(DISTINCT array_to_string(w[i:i + k - 1], ' ')) AS grams FROM n WHERE i + k - 1 <= len(w) GROUP BY item_id, k""")
 def f15_sliding_grams(spark, d):
     w = table(spark, d, "benchmark").select("item_id", F.split("text", " ").alias("w"))
@@ -150,7 +150,7 @@ def i12_per_stratum(spark, d):
 
 
 def _tier_sql(k: int) -> str:
-    return f"""WITH q AS (SELECT item_id AS query_id, unnest({TOK.format('text')}[1:8]) AS term FROM benchmark), qs AS (SELECT DISTINCT * FROM q),
+    return f"""WITH q AS (SELECT item_id AS query_id, unnest({TOK.format('text')}) AS term FROM benchmark), qs AS (SELECT DISTINCT * FROM q),
 a AS (SELECT DISTINCT doc_id AS id, unnest({TOK.format('text')}) AS term FROM documents WHERE lang = 'en'), b AS (SELECT DISTINCT doc_id AS id, unnest({TOK.format('text')}) AS term FROM documents WHERE lang <> 'en'),
 h AS (SELECT query_id, id, 1 AS tier, count(*) AS hits FROM a JOIN qs USING (term) GROUP BY ALL UNION ALL SELECT query_id, id, 2, count(*) FROM b JOIN qs USING (term) GROUP BY ALL)
 SELECT query_id, id, tier, hits, CAST(k AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id, tier ORDER BY hits DESC, id) AS k FROM h) WHERE k <= {k}"""

@@ -72,7 +72,7 @@ def j33_json_field(spark, d):
     return e.groupBy("k").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
 
 
-BM = f"""WITH q AS (SELECT item_id AS query_id, unnest({TOK.format('text')}[1:8]) AS term FROM benchmark), qf AS (SELECT query_id, term, count(*) AS qf FROM q GROUP BY ALL),
+BM = f"""WITH q AS (SELECT item_id AS query_id, unnest({TOK.format('text')}) AS term FROM benchmark), qf AS (SELECT query_id, term, count(*) AS qf FROM q GROUP BY ALL),
 d AS (SELECT doc_id AS id, {TOK.format('text')} AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS al FROM d),
 p AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(t) AS len, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM qf) GROUP BY ALL),
 f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
