@@ -6,30 +6,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & left[k].eqNullSafe(right[k])
+    return cond
+
+
+def running(df: DataFrame, value: str, sums: dict[str, str], by: list[str] | None = None, descending: bool = False, parts: int = 64) -> DataFrame:
+    """`df` with running totals {new name: column} in order of `value` within `by`; equal values share no order.
+
+    In two levels: ranges of the value (by approximate quantiles, which steer the layout only) are summed by themselves, then
+    each is moved by the totals of the ranges before it. So no window holds all rows of a group.
+    """
+    by = by or []
+    bounds = df.agg(F.percentile_approx(F.col(value).cast("double"), [i / parts for i in range(1, parts)], 1000).alias("__bounds"))
+    part = F.coalesce(F.size(F.filter("__bounds", lambda x: x <= F.col(value))), F.lit(0))
+    placed = df.crossJoin(F.broadcast(bounds)).withColumn("__part", part).drop("__bounds")
+    order = F.desc if descending else F.asc
+    inside = Window.partitionBy(*by, "__part").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.partitionBy(*by).orderBy(order("__part")).rowsBetween(Window.unboundedPreceding, -1)  # `parts` rows
+    totals = placed.groupBy(*by, "__part").agg(*(F.sum(c).alias(f"__{n}") for n, c in sums.items()))
+    before = totals.select(*by, "__part", *(F.coalesce(F.sum(f"__{n}").over(across), F.lit(0)).alias(f"__{n}") for n in sums))
+    placed = placed.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()})
+    joined = placed.join(before, _same(placed, before, [*by, "__part"]))
+    return joined.select(*(placed[c] for c in df.columns), *((placed[n] + before[f"__{n}"]).alias(n) for n in sums))
+
+
 def average_rank(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
     """Rank from 1 ascending, ties share their mean rank; nulls count as 0 before ranking.
 
-    Ranks are counted over the distinct values (aggregated map-side first), so the ordered window sees one row per
-    value, not one per row.
+    Ranks are counted over the distinct values (aggregated map-side first), in ranges of the value.
     """
     by = by or []
     v = F.coalesce(F.col(value), F.lit(0)).cast("double")
     sizes = df.groupBy(*by, v.alias("__v")).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(*by).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = sizes.withColumn(out, F.coalesce(F.sum("__n").over(w), F.lit(0)) + (F.col("__n") + 1) / 2).drop("__n")
-    on = [df[c].eqNullSafe(ranks[c]) for c in by]
-    cond = v == ranks["__v"]
-    for c in on:
-        cond = cond & c
-    return df.join(ranks.select("__v", out, *by), cond, "left").select(df["*"], out)
+    ranks = running(sizes, "__v", {"__seen": "__n"}, by)
+    ranks = ranks.select(*by, "__v", (F.col("__seen") - F.col("__n") + (F.col("__n") + 1) / 2).alias(out))
+    return df.join(ranks, _same(df, ranks, by) & (v == ranks["__v"]), "left").select(df["*"], out)
 
 
 def score_table(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """(by, score, n, pos) with running totals from the highest score down: tn rows and tp positives at or above it."""
     by = by or []
     at = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    w = Window.partitionBy(*by).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    return at.withColumns({"seen": F.sum("n").over(w), "hits": F.sum("pos").over(w)})
+    return running(at, "s", {"seen": "n", "hits": "pos"}, by, descending=True)
 
 
 def ranking_metrics(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
@@ -46,10 +67,34 @@ def ranking_metrics(df: DataFrame, score: str, label: str, by: list[str] | None
 
 
 def capture(df: DataFrame, score: str, label: str, tiebreak: str, share: float) -> DataFrame:
-    """Share of the positives among the best round(share * rows) rows."""
-    total = df.agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("p"))
-    best = df.withColumn("__k", F.row_number().over(Window.orderBy(F.desc(score), F.asc(tiebreak)))).crossJoin(F.broadcast(total))
-    return best.where(F.col("__k") <= F.round(F.col("n") * share)).agg(F.count("*").alias("taken"), F.sum(F.col(label).cast("long")).alias("hits"), (F.sum(F.col(label).cast("double")) / F.max("p")).alias("captured"))
+    """Share of the positives among the best round(share * rows) rows; ties by a distinct `tiebreak`, ascending, nulls last.
+
+    The cut falls at one score, found from the counts of the scores; only the rows of that score are ordered.
+    """
+    s = F.coalesce(F.col(score).cast("double"), F.lit(float("-inf")))
+    rows = df.select(s.alias("s"), F.col(label).cast("long").alias("pos"), F.col(tiebreak).alias("tie"))
+    at = running(rows.groupBy("s").agg(F.count("*").alias("n"), F.sum("pos").alias("pos")), "s", {"seen": "n", "hits": "pos"}, descending=True)
+    total = rows.agg(F.count("*").alias("rows"), F.sum("pos").alias("p")).withColumn("k", F.round(F.col("rows") * share))
+    cut = at.crossJoin(F.broadcast(total)).where((F.col("seen") >= F.col("k")) & (F.col("seen") - F.col("n") < F.col("k")))
+    cut = cut.select("s", (F.col("seen") - F.col("n")).alias("above"), (F.col("hits") - F.col("pos")).alias("above_hits"), "k")
+    tied = rows.join(F.broadcast(cut), "s").withColumn("one", F.lit(1))
+    tied = running(tied, "tie", {"place": "one"}).where(F.col("above") + F.col("place") <= F.col("k")).agg(F.count("*").alias("n"), F.coalesce(F.sum("pos"), F.lit(0)).alias("hits"))
+    first = cut.agg(F.coalesce(F.max("above"), F.lit(0)).alias("above"), F.coalesce(F.max("above_hits"), F.lit(0)).alias("above_hits"))
+    hits = F.col("above_hits") + F.col("hits")
+    return total.crossJoin(tied).crossJoin(first).select((F.col("above") + F.col("n")).alias("taken"), hits.alias("hits"), (hits.cast("double") / F.col("p")).alias("captured"))
+
+
+def weighted_precision(df: DataFrame, score: str, label: str, weight: str, by: list[str]) -> DataFrame:
+    """(by, average_precision) with the classes' weights brought to their numbers of rows, ties grouped; null with one class only."""
+    w, pos = F.col(weight).cast("double"), F.col(label) == 1
+    size = df.groupBy(*by).agg(F.count_if(pos).alias("__p"), F.count_if(~pos).alias("__q"), F.sum(F.when(pos, w)).alias("__wp"), F.sum(F.when(~pos, w)).alias("__wq"))
+    at = df.groupBy(*by, F.col(score).alias("s")).agg(F.sum(F.when(pos, w).otherwise(0.0)).alias("a"), F.sum(F.when(~pos, w).otherwise(0.0)).alias("b"))
+    order = Window.partitionBy(*by).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)  # a replicate's distinct scores
+    at = at.withColumns({"ta": F.sum("a").over(order), "tb": F.sum("b").over(order)}).join(size, by)
+    hits, misses = F.col("ta") * F.col("__p") / F.col("__wp"), F.col("tb") * F.col("__q") / F.col("__wq")
+    gain = F.when(F.col("a") > 0, F.col("a") / F.col("__wp") * hits / (hits + misses)).otherwise(0.0)
+    both = F.min((F.col("__wp") > 0) & (F.col("__wq") > 0))
+    return at.groupBy(*by).agg(F.when(both, F.sum(gain)).alias("average_precision"))
 
 
 def calibration(df: DataFrame, prob: str, label: str, bins: int = 10) -> DataFrame:

@@ -5,9 +5,13 @@ An id's place is (id * 1103515245 + salt) mod 2^31: the same rule everywhere, no
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.operators import ranking
+
 
 def draw(id_: Column, salt: int | Column = 12345) -> Column:
     """A number in [0, 2^31) for an integer id; ids are reduced first so that the product fits a long."""
@@ -15,6 +19,32 @@ def draw(id_: Column, salt: int | Column = 12345) -> Column:
     return F.pmod(F.pmod(id_.cast("long"), F.lit(1 << 31)) * 1103515245 + s.cast("long") * 12820163, F.lit(1 << 31))
 
 
+def uniform(id_: Column, rep: Column, seed: int) -> Column:
+    """A number in [0, 1) for a row in a replicate, from a hash of all three."""
+    return F.shiftrightunsigned(F.xxhash64(id_, rep, F.lit(seed)), 11) / float(1 << 53)
+
+
+def portable(id_: Column, rep: Column, seed: int) -> Column:
+    """The same from MD5, which every engine has."""
+    digest = F.md5(F.concat_ws("-", id_.cast("string"), rep.cast("string"), F.lit(str(seed))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def poisson_steps() -> list[float]:
+    """Where the distribution of Poisson(1) steps, as far as a 52-bit number can tell."""
+    steps, c, p, k = [], 0.0, 0.36787944117144233, 0  # exp(-1)
+    while c + p < 1 and p > 2**-53:
+        c, k = c + p, k + 1
+        steps.append(c)
+        p /= k
+    return steps
+
+
+def replicates(df: DataFrame, draws: int) -> DataFrame:
+    """Each row once in each of `rep` 0 .. draws - 1."""
+    return df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+
+
 def folds(df: DataFrame, key: str, k: int, salt: int = 12345) -> DataFrame:
     """`fold` in 0..k-1 by the key: rows of one block share a fold."""
     return df.withColumn("fold", F.pmod(F.floor(draw(F.col(key), salt) / 65536), F.lit(k)).cast("int"))
@@ -42,21 +72,53 @@ def stratified(df: DataFrame, stratum: str, id_: str, sizes: dict[str, int]) ->
     return df.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= want).drop("__k")
 
 
-def bootstrap(df: DataFrame, id_: str, draws: int, metric: dict[str, Column], by: list[str] | None = None, salt: int = 7) -> DataFrame:
-    """The metrics of `draws` Poisson(1) resamples; `w` is a row's weight in the replicate.
+def resample(df: DataFrame, id_: str, draws: int, seed: int, draw_of: Callable[[Column, Column, int], Column] = uniform) -> DataFrame:
+    """`df` in `draws` Poisson(1) resamples: `w` is a row's weight in the replicate `rep`.
 
     A weight is looked up in the Poisson distribution by the row's own draw, so nothing is gathered: rows are
     exploded and aggregated map-side.
     """
-    u = draw(F.col(id_) * 131 + F.col("rep"), salt) / float(1 << 31)
-    w = F.lit(0)
-    p, c = 0.36787944117144233, 0.0  # exp(-1)
-    for k in range(7):
-        c += p
-        w = w + F.when(u >= c, 1).otherwise(0)
-        p /= k + 1
-    reps = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", w)
-    return reps.groupBy(*(by or []), "rep").agg(*(c.alias(n) for n, c in metric.items()))
+    steps = F.array(*map(F.lit, poisson_steps()))
+    out = replicates(df, draws).withColumn("__u", draw_of(F.col(id_), F.col("rep"), seed))
+    return out.withColumn("w", F.size(F.filter(steps, lambda c: c <= F.col("__u")))).drop("__u")
+
+
+def bootstrap_precision(df: DataFrame, id_: str, score: str, label: str, draws: int = 200, seed: int = 7, draw_of: Callable[[Column, Column, int], Column] = uniform) -> DataFrame:
+    """(rep, average_precision) of resamples with positives and negatives apart: each class keeps its weight."""
+    return ranking.weighted_precision(resample(df, id_, draws, seed, draw_of), score, label, "w", ["rep"])
+
+
+def paired_bootstrap(df: DataFrame, id_: str, scores: tuple[str, str], label: str, draws: int = 200, seed: int = 7, draw_of: Callable[[Column, Column, int], Column] = uniform) -> DataFrame:
+    """(rep, difference) of the average precision of two scores under the same draws."""
+    reps = resample(df, id_, draws, seed, draw_of)
+    both = reps.select("rep", "w", label, F.explode(F.array(*(F.struct(F.lit(k).alias("which"), F.col(s).cast("double").alias("score")) for k, s in enumerate(scores)))).alias("x")).select("rep", "w", label, "x.*")
+    each = ranking.weighted_precision(both, "score", label, "w", ["rep", "which"])
+    return each.groupBy("rep").agg((F.max(F.when(F.col("which") == 0, F.col("average_precision"))) - F.max(F.when(F.col("which") == 1, F.col("average_precision")))).alias("difference"))
+
+
+def rank_permutation(df: DataFrame, id_: str, a: str, b: str, label: str, draws: int = 10_000, seed: int = 3, draw_of: Callable[[Column, Column, int], Column] = uniform) -> DataFrame:
+    """(observed, p_value): is score a better than b in average precision? One-sided, (hits + 1) / (draws + 1).
+
+    Both scores become normalised ranks; in a replicate each row swaps its two ranks with probability one half.
+    """
+    ranked = ranking.average_rank(ranking.average_rank(df, a, "__ra"), b, "__rb").select(id_, label, "__ra", "__rb")
+    reps = replicates(ranked, draws).withColumn("__s", draw_of(F.col(id_), F.col("rep"), seed) < 0.5)
+    seen = ranked.withColumns({"rep": F.lit(-1), "__s": F.lit(False)})
+    first = F.when(F.col("__s"), F.col("__rb")).otherwise(F.col("__ra"))
+    second = F.col("__ra") + F.col("__rb") - first
+    rows = reps.unionByName(seen).withColumn("x", F.explode(F.array(F.struct(F.lit(0).alias("which"), first.alias("score")), F.struct(F.lit(1).alias("which"), second.alias("score"))))).select("rep", label, "x.*", F.lit(1).alias("w"))
+    each = ranking.weighted_precision(rows, "score", label, "w", ["rep", "which"])
+    d = each.groupBy("rep").agg(F.sum(F.when(F.col("which") == 0, F.col("average_precision")).otherwise(-F.col("average_precision"))).alias("d"))
+    told = d.where("rep = -1").select(F.col("d").alias("observed"))
+    return d.where("rep >= 0").crossJoin(F.broadcast(told)).agg(F.max("observed").alias("observed"), ((F.count_if(F.col("d") >= F.col("observed") - 1e-12) + 1) / (F.count("*") + 1)).alias("p_value"))
+
+
+def two_level_bootstrap(df: DataFrame, run: str, id_: str, value: str, draws: int = 200, seed: int = 5, draw_of: Callable[[Column, Column, int], Column] = uniform) -> DataFrame:
+    """(rep, mean) where runs are resampled first, then rows: a row's weight is the product of its run's and its own."""
+    runs = resample(df.select(run).distinct(), run, draws, seed, draw_of).withColumnRenamed("w", "wr")
+    rows = resample(df.select(run, id_, value), id_, draws, seed + 1, draw_of).join(runs, [run, "rep"])
+    w = (F.col("w") * F.col("wr")).cast("double")
+    return rows.groupBy("rep").agg((F.sum(w * F.col(value)) / F.nullif(F.sum(w), F.lit(0.0))).alias("mean"))
 
 
 def components(nodes: DataFrame, edges: DataFrame, folder: str, most: int = 60) -> DataFrame:

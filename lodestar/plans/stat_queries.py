@@ -190,33 +190,62 @@ def h17_derangement(spark: SparkSession, d: str) -> DataFrame:
     return marked(spark, d).select("doc_id", F.coalesce(F.lead("doc_id").over(w), first).alias("swapped"))
 
 
-_U = draw_sql("m.doc_id * 131 + rep", "7") + " / 2147483648.0"
-_W = " + ".join(f"CASE WHEN {_U} >= {c!r} THEN 1 ELSE 0 END" for c in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712))
+def portable_sql(id_: str, seed: int) -> str:
+    return f"CAST(CAST('0x' || substr(md5(CAST({id_} AS VARCHAR) || '-' || CAST(rep AS VARCHAR) || '-{seed}'), 1, 13) AS UBIGINT) AS DOUBLE) / 4503599627370496.0"
 
 
-@query(f"""{M}, r AS (SELECT rep, prob, label, {_W} AS w FROM m, generate_series(0, 49) g(rep)), s AS (SELECT rep, sum(w * (prob - label)) / sum(w) AS bias FROM r GROUP BY rep)
-SELECT round(avg(bias), 9) AS mean_bias, round(quantile_cont(bias, 0.025), 9) AS low, round(quantile_cont(bias, 0.975), 9) AS high FROM s""")
+def poisson_sql(id_: str, seed: int) -> str:
+    return f"len(list_filter([{', '.join(f'{c!r}::DOUBLE' for c in sampling.poisson_steps())}], lambda c: c <= {portable_sql(id_, seed)}))"
+
+
+def precision_sql(rows: str, by: str, out: str) -> str:
+    """CTEs that give `out` (by, ap) from `rows` (by, s, label, w)."""
+    return f"""{out}_n AS (SELECT {by}, count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label <> 1) AS q, CAST(sum(w) FILTER (WHERE label = 1) AS DOUBLE) AS wp, CAST(sum(w) FILTER (WHERE label <> 1) AS DOUBLE) AS wq FROM {rows} GROUP BY {by}),
+{out}_a AS (SELECT {by}, s, CAST(coalesce(sum(w) FILTER (WHERE label = 1), 0) AS DOUBLE) AS a, CAST(coalesce(sum(w) FILTER (WHERE label <> 1), 0) AS DOUBLE) AS b FROM {rows} GROUP BY {by}, s),
+{out}_t AS (SELECT *, sum(a) OVER (PARTITION BY {by} ORDER BY s DESC) AS ta, sum(b) OVER (PARTITION BY {by} ORDER BY s DESC) AS tb FROM {out}_a),
+{out} AS (SELECT {by}, sum(CASE WHEN a > 0 THEN a / wp * (ta * p / wp) / (ta * p / wp + tb * q / wq) ELSE 0 END) AS ap FROM {out}_t JOIN {out}_n USING ({by}) WHERE wp > 0 AND wq > 0 GROUP BY {by})"""
+
+
+def _interval(reps: DataFrame, value: str) -> DataFrame:
+    q = F.percentile(value, [0.025, 0.975]).alias("q")
+    return reps.agg(F.avg(value).alias("mean"), q).select(F.round("mean", 9).alias("mean"), F.round(F.col("q")[0], 9).alias("low"), F.round(F.col("q")[1], 9).alias("high"))
+
+
+INTERVAL = "SELECT round(avg({0}), 9) AS mean, round(quantile_cont({0}, 0.025), 9) AS low, round(quantile_cont({0}, 0.975), 9) AS high"
+
+
+@query(f"{M}, r AS (SELECT rep, prob AS s, label, {poisson_sql('doc_id', 7)} AS w FROM m, generate_series(0, 199) g(rep)), {precision_sql('r', 'rep', 'e')} {INTERVAL.format('ap')} FROM e")
 def h9_bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
-    w = F.col("w")
-    reps = sampling.bootstrap(marked(spark, d), "doc_id", 50, {"bias": F.sum(w * (F.col("prob") - F.col("label"))) / F.sum(w)})
-    q = F.percentile("bias", [0.025, 0.975])
-    return reps.agg(F.avg("bias").alias("a"), q.alias("q")).select(F.round("a", 9).alias("mean_bias"), F.round(F.col("q")[0], 9).alias("low"), F.round(F.col("q")[1], 9).alias("high"))
+    """95 % interval of the average precision, positives and negatives resampled apart."""
+    return _interval(sampling.bootstrap_precision(marked(spark, d), "doc_id", "prob", "label", draw_of=sampling.portable), "average_precision")
+
+
+@query(f"""{M}, w AS (SELECT rep, prob, score, label, {poisson_sql('doc_id', 7)} AS w FROM m, generate_series(0, 199) g(rep)), r0 AS (SELECT rep, prob AS s, label, w FROM w), r1 AS (SELECT rep, score AS s, label, w FROM w),
+{precision_sql('r0', 'rep', 'e0')}, {precision_sql('r1', 'rep', 'e1')}, x AS (SELECT e0.ap - e1.ap AS difference FROM e0 JOIN e1 USING (rep))
+{INTERVAL.format('difference')}, round(avg(CASE WHEN difference <= 0 THEN 1.0 ELSE 0.0 END), 9) AS share_below FROM x""")
+def h10_paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """Difference of two scores under the same draws, and the share of draws without gain."""
+    reps = sampling.paired_bootstrap(marked(spark, d), "doc_id", ("prob", "score"), "label", draw_of=sampling.portable)
+    below = reps.agg(F.round(F.avg((F.col("difference") <= 0).cast("double")), 9).alias("share_below"))
+    return _interval(reps, "difference").crossJoin(below)
 
 
-_FLIP = f"({draw_sql('m.doc_id * 131 + rep', '99')}) // 65536 % 2"
+@query(f"""{M}, u AS (SELECT source, rep, {poisson_sql('source', 5)} AS wr FROM (SELECT DISTINCT source FROM m), generate_series(0, 199) g(rep)), r AS (SELECT source, rep, prob, {poisson_sql('doc_id', 6)} AS w FROM m, generate_series(0, 199) g(rep)),
+x AS (SELECT rep, sum(w * wr * prob) / nullif(CAST(sum(w * wr) AS DOUBLE), 0) AS mean FROM r JOIN u USING (source, rep) GROUP BY rep) {INTERVAL.format('mean')} FROM x""")
+def h11_two_level_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """Sources play the runs: they are resampled first, then their documents."""
+    return _interval(sampling.two_level_bootstrap(marked(spark, d), "source", "doc_id", "prob", draw_of=sampling.portable), "mean")
 
 
-@query(f"""{M}, x AS (SELECT doc_id, abs(prob - label) - abs(least(score / 8, 1) - label) AS diff FROM m), seen AS (SELECT avg(diff) AS d FROM x),
-r AS (SELECT rep, avg(CASE WHEN {_FLIP} = 1 THEN -diff ELSE diff END) AS d FROM x m, generate_series(0, 199) g(rep) GROUP BY rep)
-SELECT round(any_value(seen.d), 9) AS observed, (count(*) FILTER (WHERE r.d >= seen.d - 1e-12) + 1) / CAST(count(*) + 1 AS DOUBLE) AS p_value FROM r, seen""")
+@query(f"""{M}, k AS (SELECT doc_id, label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS ra, rank() OVER (ORDER BY prob) + (count(*) OVER (PARTITION BY prob) - 1) / 2.0 AS rb FROM m),
+v AS (SELECT rep, label, ra, rb, {portable_sql('doc_id', 3)} < 0.5 AS sw FROM k, generate_series(0, 9999) g(rep) UNION ALL SELECT -1, label, ra, rb, false FROM k),
+r0 AS (SELECT rep, label, CASE WHEN sw THEN rb ELSE ra END AS s, 1 AS w FROM v), r1 AS (SELECT rep, label, CASE WHEN sw THEN ra ELSE rb END AS s, 1 AS w FROM v), {precision_sql('r0', 'rep', 'e0')}, {precision_sql('r1', 'rep', 'e1')},
+x AS (SELECT rep, e0.ap - e1.ap AS d FROM e0 JOIN e1 USING (rep)), o AS (SELECT d AS observed FROM x WHERE rep = -1)
+SELECT round(max(observed), 9) AS observed, (count(*) FILTER (WHERE d >= observed - 1e-12) + 1) / CAST(count(*) + 1 AS DOUBLE) AS p_value FROM x, o WHERE rep >= 0""")
 def h12_permutation_test(spark: SparkSession, d: str) -> DataFrame:
-    """Paired sign-flip test, one-sided, (hits + 1) / (draws + 1)."""
-    x = marked(spark, d).select("doc_id", (F.abs(F.col("prob") - F.col("label")) - F.abs(F.least(F.col("score") / 8, F.lit(1.0)) - F.col("label"))).alias("diff"))
-    seen = x.agg(F.avg("diff").alias("seen"))
-    flip = F.floor(sampling.draw(F.col("doc_id") * 131 + F.col("rep"), 99) / 65536) % 2
-    r = x.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(199)))).groupBy("rep").agg(F.avg(F.when(flip == 1, -F.col("diff")).otherwise(F.col("diff"))).alias("d"))
-    both = r.crossJoin(F.broadcast(seen))
-    return both.agg(F.round(F.any_value("seen"), 9).alias("observed"), ((F.count_if(F.col("d") >= F.col("seen") - 1e-12) + 1) / (F.count("*") + 1)).alias("p_value"))
+    """Does one score rank better than another? 10,000 swaps of the two normalised ranks."""
+    out = sampling.rank_permutation(marked(spark, d), "doc_id", "score", "prob", "label", draw_of=sampling.portable)
+    return out.select(F.round("observed", 9).alias("observed"), "p_value")
 
 
 CRITERIA = [
