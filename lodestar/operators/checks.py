@@ -1,4 +1,4 @@
-"""Rule checks over records. A check returns rows (rule, outcome, severity, scope_id, detail); it never drops a record."""
+"""Rule checks over records. A rule flags and never drops a record."""
 
 from __future__ import annotations
 
@@ -7,32 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Check = Callable[[DataFrame], DataFrame]
+Check = Callable[[], tuple[Column, Column]]
 REGISTRY: dict[str, Check] = {}
 SEVERITY = {"pass": 0, "note": 1, "warn": 2, "fail": 3}
 
 
-def rule(name: str) -> Callable[[Check], Check]:
-    def add(f: Check) -> Check:
-        REGISTRY[name] = f
-        return f
+def rule(f: Check) -> Check:
+    """Register a rule under its name: it gives the outcome of a record (null where it does not apply) and a detail."""
+    REGISTRY[f.__name__] = f
+    return f
 
-    return add
 
-
-def outcome(df: DataFrame, name: str, scope: str, result: Column, detail: Column) -> DataFrame:
-    """One row for each record; result is pass, note, warn, fail, or null where the rule does not apply."""
+def run(df: DataFrame, names: list[str], scope: str = "row_id") -> DataFrame:
+    """(rule, outcome, scope_id, detail, severity), a row for each rule that applies to a record; one pass over the records."""
+    told = []
+    for name in names:
+        result, detail = REGISTRY[name]()
+        told.append(F.struct(F.lit(name).alias("rule"), result.alias("outcome"), detail.cast("string").alias("detail")))
     levels = F.create_map(*(F.lit(x) for kv in SEVERITY.items() for x in kv))
-    rows = df.select(F.lit(name).alias("rule"), result.alias("outcome"), F.col(scope).cast("string").alias("scope_id"), detail.cast("string").alias("detail"))
-    return rows.where("outcome is not null").withColumn("severity", levels[F.col("outcome")])
-
-
-def run(df: DataFrame, names: list[str]) -> DataFrame:
-    parts = [REGISTRY[n](df) for n in names]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    rows = df.select(F.col(scope).cast("string").alias("scope_id"), F.explode(F.filter(F.array(*told), lambda t: t["outcome"].isNotNull())).alias("t"))
+    return rows.select("t.rule", "t.outcome", "scope_id", "t.detail", levels[F.col("t.outcome")].alias("severity"))
 
 
 def worst(results: DataFrame) -> DataFrame:
@@ -41,24 +35,24 @@ def worst(results: DataFrame) -> DataFrame:
     return results.groupBy("scope_id").agg(F.max_by("outcome", "severity").alias("outcome"), bad.alias("rules"))
 
 
-@rule("positive_quantity")
-def positive_quantity(df: DataFrame) -> DataFrame:
-    return outcome(df, "positive_quantity", "row_id", F.when(F.col("quantity") > 0, "pass").otherwise("fail"), F.col("quantity"))
+@rule
+def positive_quantity() -> tuple[Column, Column]:
+    return F.when(F.col("quantity") > 0, "pass").otherwise("fail"), F.col("quantity")
 
 
-@rule("unit_price_range")
-def unit_price_range(df: DataFrame) -> DataFrame:
+@rule
+def unit_price_range() -> tuple[Column, Column]:
     """Unit price within a quarter of the list price; a note where the list price is unknown."""
     unit = F.col("price") / F.col("quantity")
     off = F.abs(unit - F.col("list_price")) / F.col("list_price")
-    return outcome(df, "unit_price_range", "row_id", F.when(F.col("list_price").isNull(), "note").when(off <= 0.25, "pass").when(off <= 0.75, "warn").otherwise("fail"), F.round(unit, 2))
+    return F.when(F.col("list_price").isNull(), "note").when(off <= 0.25, "pass").when(off <= 0.75, "warn").otherwise("fail"), F.round(unit, 2)
 
 
-@rule("share_range")
-def share_range(df: DataFrame) -> DataFrame:
-    return outcome(df, "share_range", "row_id", F.when(F.col("discount").between(0, 1) & F.col("tax").between(0, 1), "pass").otherwise("fail"), F.col("discount"))
+@rule
+def share_range() -> tuple[Column, Column]:
+    return F.when(F.col("discount").between(0, 1) & F.col("tax").between(0, 1), "pass").otherwise("fail"), F.col("discount")
 
 
-@rule("shipped_after_order")
-def shipped_after_order(df: DataFrame) -> DataFrame:
-    return outcome(df, "shipped_after_order", "row_id", F.when(F.col("ordered").isNull(), None).when(F.col("shipped") >= F.col("ordered"), "pass").otherwise("warn"), F.datediff("shipped", "ordered"))
+@rule
+def shipped_after_order() -> tuple[Column, Column]:
+    return F.when(F.col("ordered").isNull(), None).when(F.col("shipped") >= F.col("ordered"), "pass").otherwise("warn"), F.datediff("shipped", "ordered")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
@@ -45,22 +47,50 @@ def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str, name
     return c.join(parent.select(F.col(parent_key).alias("k")).distinct(), "k", "left_anti").select(F.lit(name).alias("reference"), F.col("k").cast("string").alias("key"))
 
 
+def measured(spark: SparkSession, folder: str, table: str) -> list[tuple[str, int, str]]:
+    """(file, rows, sha256) of a table's files in key order, read by the tasks; the driver gets this list only."""
+    fs, root = pafs.FileSystem.from_uri(folder)
+    names = sorted(f.base_name for f in fs.get_file_info(pafs.FileSelector(f"{root}/{table}")) if f.base_name.endswith(".parquet"))
+    if not names:
+        return []
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = pafs.FileSystem.from_uri(folder)
+        for b in batches:
+            files = b.column(0).to_pylist()
+            found = [(f, _rows(store, f"{top}/{table}/{f}"), _digest(store, f"{top}/{table}/{f}")) for f in files]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found]) for k in range(3)], names=["file", "rows", "sha256"])
+
+    files = spark.createDataFrame([(n,) for n in names], "file string").repartition(min(len(names), spark.sparkContext.defaultParallelism * 4))
+    return sorted(tuple(r) for r in files.mapInArrow(each, "file string, rows long, sha256 string").collect())
+
+
 def pack(tables: dict[str, DataFrame], keys: dict[str, list[str]], folder: str) -> dict:
     """Write each table sorted by key, zstd-compressed, with a manifest of rows and file digests; returns the manifest.
 
-    Files are written by Spark's tasks in range partitions, so a large table is many files in key order.
+    Files are written by Spark's tasks in range partitions, so a large table is many files in key order. The address is the
+    SHA-256 of the tables' names, rows and file digests in that order, so equal data in equal files has one address
+    whatever the files are called. A row that repeats a key stands by the hash of all its columns.
     """
     fs, root = pafs.FileSystem.from_uri(folder)
-    manifest = {}
+    manifest, content = {}, []
     for name, df in sorted(tables.items()):
-        ordered = df.repartitionByRange(*keys[name]).sortWithinPartitions(*keys[name])
-        ordered.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}")
-        files = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(f"{root}/{name}")) if f.path.endswith(".parquet"))
-        manifest[name] = {"rows": sum(pq.read_metadata(f, filesystem=fs).num_rows for f in files), "files": {f.rsplit("/", 1)[1]: _digest(fs, f) for f in files}}
-    text = json.dumps(manifest, sort_keys=True)
+        order = [*keys[name], F.xxhash64(*df.columns)]
+        df.repartitionByRange(*keys[name]).sortWithinPartitions(*order).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}")
+        files = measured(df.sparkSession, folder, name)
+        manifest[name] = {"rows": sum(f[1] for f in files), "files": {f[0]: f[2] for f in files}}
+        content.append([name, manifest[name]["rows"], [f[2] for f in files if f[1]]])
     with fs.open_output_stream(f"{root}/manifest.json") as out:
-        out.write(text.encode())
-    return manifest | {"address": hashlib.sha256(text.encode()).hexdigest()}
+        out.write(json.dumps(manifest, sort_keys=True).encode())
+    return manifest | {"address": hashlib.sha256(json.dumps(content).encode()).hexdigest()}
+
+
+def _rows(fs: pafs.FileSystem, path: str) -> int:
+    """Rows by the footer; -1 for a file that is no longer Parquet."""
+    try:
+        return pq.read_metadata(path, filesystem=fs).num_rows
+    except pa.ArrowInvalid:
+        return -1
 
 
 def _digest(fs: pafs.FileSystem, path: str) -> str:
@@ -78,10 +108,11 @@ def unpack(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         manifest = json.loads(f.read())
     out = {}
     for name, told in manifest.items():
-        for file, digest in told["files"].items():
-            if _digest(fs, f"{root}/{name}/{file}") != digest:
-                raise ValueError(f"{name}/{file} is not what was packed")
-        out[name] = spark.read.parquet(f"{folder}/{name}")
-        if out[name].count() != told["rows"]:
+        files = measured(spark, folder, name)
+        changed = sorted(set(told["files"].items()) ^ {(f[0], f[2]) for f in files})
+        if changed:
+            raise ValueError(f"{name}/{changed[0][0]} is not what was packed")
+        if sum(f[1] for f in files) != told["rows"]:
             raise ValueError(f"{name} has another number of rows than was packed")
+        out[name] = spark.read.parquet(f"{folder}/{name}")
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType
 
@@ -49,19 +49,27 @@ def compatibility_form(a: pd.Series) -> pd.Series:
     return a.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
 
 
-def fuzzy_join(left: DataFrame, right: DataFrame, left_name: str, right_name: str, floor: float) -> DataFrame:
+def squashed(name: Column) -> Column:
+    """Letters and digits of every script, in lower case; null if there are none."""
+    return F.nullif(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]", ""), F.lit(""))
+
+
+def fuzzy_join(left: DataFrame, right: DataFrame, left_name: str, right_name: str, floor: float, near: tuple[str, str] | None = None, reach: float | None = None) -> DataFrame:
     """Best right row for each left row by similarity of names at `floor` or more; exact matches first.
 
     Candidates share a gram of three characters of the squashed names. A pair at the floor differs by at most
     2 (1 - f) / f x length single-character edits, each of which spoils three grams; so of each name only its rarest
     3 x edits + 1 grams are joined, and common grams make no pairs where a name has rare ones. Names of under three
-    characters match exactly or not at all. Both sides need an `id`.
+    characters match exactly or not at all; names without a letter or digit match nothing. With `near`, the columns of a
+    position that both sides have, a pair must lie within `reach` of each other unless the names are equal; ties go to the
+    nearer. Both sides need an `id`.
     """
     f = floor / 100
+    x, y = near or (None, None)
 
     def grams(df: DataFrame, name: str, tag: str) -> DataFrame:
-        key = F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
-        k = df.select(F.col("id").alias(f"{tag}_id"), key.alias(f"{tag}_key"))
+        place = [F.col(c).alias(f"{tag}_{k}") for k, c in (("x", x), ("y", y)) if c is not None]
+        k = df.select(F.col("id").alias(f"{tag}_id"), squashed(F.col(name)).alias(f"{tag}_key"), *place).where(F.col(f"{tag}_key").isNotNull())
         at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(f"{tag}_key") - 2))
         return k.withColumn("gram", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring(F.col(f"{tag}_key"), i, F.lit(3))))))
 
@@ -73,9 +81,14 @@ def fuzzy_join(left: DataFrame, right: DataFrame, left_name: str, right_name: st
         k = F.row_number().over(Window.partitionBy(f"{tag}_id").orderBy("n", "gram"))
         return df.join(common, "gram").withColumn("k", k).where(F.col("k") <= 3 * edits + 1).drop("k", "n")
 
-    pairs = rarest(*sides[0]).join(rarest(*sides[1]), "gram").select("l_id", "l_key", "r_id", "r_key").distinct()
-    scored = pairs.withColumn("score", F.when(F.col("l_key") == F.col("r_key"), 100.0).otherwise(similarity("l_key", "r_key"))).where(F.col("score") >= floor)
-    best = F.row_number().over(Window.partitionBy("l_id").orderBy(F.desc("score"), "r_id"))
+    pairs = rarest(*sides[0]).join(rarest(*sides[1]), "gram").drop("gram").distinct()
+    same = F.col("l_key") == F.col("r_key")
+    apart = F.lit(0.0) if near is None else F.hypot(F.col("l_x") - F.col("r_x"), F.col("l_y") - F.col("r_y"))
+    pairs = pairs.withColumn("apart", apart)
+    if near is not None and reach is not None:
+        pairs = pairs.where(same | (F.col("apart") <= reach))
+    scored = pairs.withColumn("score", F.when(same, 100.0).otherwise(similarity("l_key", "r_key"))).where(F.col("score") >= floor)
+    best = F.row_number().over(Window.partitionBy("l_id").orderBy(F.desc("score"), F.asc_nulls_last("apart"), "r_id"))
     return scored.withColumn("k", best).where("k = 1").select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), "score")
 
 

@@ -28,14 +28,14 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     return df.join(F.broadcast(n), df[label] == n["__l"]).crossJoin(F.broadcast(total)).withColumn("weight", F.col("__t") / (2 * F.col("__n"))).drop("__l", "__n", "__t")
 
 
-def classifier(kind: str, features: list[str], label: str, seed: int = 0) -> Fit:
-    """fit(train) -> score(df); `score` is the probability of label 1. kind: boosted, forest or logistic."""
+def classifier(kind: str, features: list[str], label: str, seed: int = 0, trees: int | None = None) -> Fit:
+    """fit(train) -> score(df); `score` is the probability of label 1. kind: boosted (200 trees), forest (300) or logistic."""
     assemble = VectorAssembler(inputCols=features, outputCol="__raw")
     scale = StandardScaler(inputCol="__raw", outputCol="__x", withMean=True)
     common = {"featuresCol": "__x", "labelCol": label, "weightCol": "weight"}
     made = {
-        "boosted": lambda: GBTClassifier(maxDepth=4, maxIter=20, stepSize=0.08, seed=seed, **common),
-        "forest": lambda: RandomForestClassifier(numTrees=50, minInstancesPerNode=5, seed=seed, **common),
+        "boosted": lambda: GBTClassifier(maxDepth=4, maxIter=trees or 200, stepSize=0.08, seed=seed, **common),
+        "forest": lambda: RandomForestClassifier(numTrees=trees or 300, minInstancesPerNode=5, seed=seed, **common),
         "logistic": lambda: LogisticRegression(regParam=0.01, **common),
     }
     if kind not in made:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.operators import checks, governance
@@ -131,17 +132,12 @@ def p2_stream_state(spark, d):
     folder = scratch(spark, "state")
     e = table(spark, d, "events").select("event_id", "user_id")
     e.repartition(3).write.json(f"{folder}/in")
-    stream = logs.read_log(spark, f"{folder}/in", "event_id long, user_id long", stream=True)
-    state = {"path": None}
-
-    def fold(batch, n: int) -> None:
-        part = batch.groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last_id"))
-        if state["path"] is not None:
-            old = spark.read.parquet(state["path"])
-            part = old.unionByName(part).groupBy("user_id").agg(F.sum("n").alias("n"), F.max("last_id").alias("last_id"))
-        part.write.mode("overwrite").parquet(f"{folder}/state-{n}")
-        state["path"] = f"{folder}/state-{n}"
-
-    run = stream.writeStream.foreachBatch(fold).option("maxFilesPerTrigger", "1").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.parquet(state["path"])
+    stream = logs.read_log(spark, f"{folder}/in", "event_id long, user_id long", stream=True, files=1)
+
+    def part(batch: DataFrame) -> DataFrame:
+        return batch.groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last_id"))
+
+    def merge(both: DataFrame) -> DataFrame:
+        return both.groupBy("user_id").agg(F.sum("n").alias("n"), F.max("last_id").alias("last_id"))
+
+    return spark.read.parquet(logs.fold_state(stream, f"{folder}/state", part, merge))

@@ -61,6 +61,13 @@ def test_matching(spark):
     left = spark.createDataFrame([(1, "North Lake-1"), (2, "Alpha Hole 22"), (3, "zz")], "id long, name string")
     right = spark.createDataFrame([(10, "NORTH LAKE 1"), (11, "Alpha Hole 2"), (12, "Beta")], "id long, title string")
     assert sorted(tuple(r) for r in matching.fuzzy_join(left, right, "name", "title", 90).collect()) == [(1, 10, 100.0), (2, 11, pytest.approx(95.24, abs=0.01))]
+    other = spark.createDataFrame([(1, "北京"), (2, "Ω-Lake"), (3, "--"), (4, None)], "id long, name string")
+    names = spark.createDataFrame([(10, "Москва"), (11, "ω lake"), (12, "++"), (13, "")], "id long, title string")
+    assert [tuple(r) for r in matching.fuzzy_join(other, names, "name", "title", 80).collect()] == [(2, 11, 100.0)]
+    here = spark.createDataFrame([(1, "Alpha Hole 22", 0.0, 0.0), (2, "Beta", 0.0, 0.0)], "id long, name string, x double, y double")
+    there = spark.createDataFrame([(10, "Alpha Hole 2", 9.0, 0.0), (11, "Alpha Hole 23", 3.0, 4.0), (12, "beta", 900.0, 0.0)], "id long, title string, x double, y double")
+    gated = matching.fuzzy_join(here, there, "name", "title", 80, ("x", "y"), 6.0).collect()
+    assert sorted((r.left_id, r.right_id) for r in gated) == [(1, 11), (2, 12)]
     c = spark.createDataFrame([("p", 1, 1, 0.9), ("p", 1, 2, 0.8), ("p", 2, 1, 0.85), ("p", 2, 2, 0.1), ("q", 1, 1, 0.5)], "page string, a long, b long, score double")
     assert sorted(tuple(r)[:3] for r in matching.greedy_pairs(c, "page").collect()) == [("p", 1, 1), ("p", 2, 2), ("q", 1, 1)]
     assert spark.createDataFrame([("ﬁ Å",)], "t string").select(matching.compatibility_form("t")).first()[0] == "fi å"
@@ -72,7 +79,7 @@ def test_models_out_of_fold(spark):
     ready, names = models.with_indicators(df, ["x", "y"])
     assert names == ["x", "y", "missing_y"]
     for kind in ("boosted", "forest", "logistic"):
-        out = models.out_of_fold(ready, models.classifier(kind, names, "label"), "label")
+        out = models.out_of_fold(ready, models.classifier(kind, names, "label", trees=20), "label")
         assert out.count() == 300
         m = ranking.ranking_metrics(out, "score", "label").first()
         assert m.roc_auc > 0.95, kind
@@ -133,6 +140,8 @@ def test_tiers_and_packs(spark, tmp_path):
     folder = f"file://{tmp_path}/pack"
     told = governance.pack({"t": df}, {"t": ["id"]}, folder)
     assert told["t"]["rows"] == 2 and governance.unpack(spark, folder)["t"].count() == 2
+    assert governance.pack({"t": df.orderBy("id")}, {"t": ["id"]}, f"file://{tmp_path}/pack2")["address"] == told["address"]
+    assert governance.pack({"t": df.where("id = 1")}, {"t": ["id"]}, f"file://{tmp_path}/pack3")["address"] != told["address"]
     part = next((tmp_path / "pack/t").glob("*.parquet"))
     part.write_bytes(part.read_bytes()[:-1] + b"x")
     with pytest.raises(ValueError, match="not what was packed"):
@@ -162,3 +171,58 @@ def test_logs(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         logs.run_once(stream, f"file://{tmp_path}/out", f"file://{tmp_path}/cp")
     assert spark.read.schema("k long, usd double").parquet(f"file://{tmp_path}/out").count() == 2
+
+
+def test_state_goes_on_after_a_restart(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    part = lambda b: b.groupBy("k").agg(F.count("*").alias("n"))
+    merge = lambda u: u.groupBy("k").agg(F.sum("n").alias("n"))
+
+    def run():
+        stream = logs.read_log(spark, f"file://{tmp_path}/in", "k long", stream=True, files=1)
+        return {r.k: r.n for r in spark.read.parquet(logs.fold_state(stream, f"file://{tmp_path}/state", part, merge)).collect()}
+
+    for i in range(3):
+        (tmp_path / f"in/{i}.json").write_text('{"k": 1}\n' + f'{{"k": {i}}}\n')
+    assert run() == {0: 1, 1: 4, 2: 1}
+    assert len(list((tmp_path / "state").glob("batch-*"))) == 3  # one file a batch, so the fold has run
+    (tmp_path / "in/9.json").write_text('{"k": 1}\n{"k": 9}\n')
+    assert run() == {0: 1, 1: 5, 2: 1, 9: 1}
+
+
+def test_resampling_draws_are_apart(spark):
+    df = spark.range(5).crossJoin(spark.range(200).withColumnRenamed("id", "rep"))
+    for draw in (sampling.uniform, sampling.portable):
+        u = [r.u for r in df.select(draw(F.col("id"), F.col("rep"), 7).alias("u")).collect()]
+        assert len(set(u)) == 1000 and 0 <= min(u) and max(u) < 1 and abs(sum(u) / 1000 - 0.5) < 0.04
+    w = [r.w for r in sampling.resample(spark.range(300), "id", 100, 7).collect()]
+    assert abs(sum(w) / len(w) - 1) < 0.02 and abs(sum(x * x for x in w) / len(w) - 2) < 0.06
+
+
+def test_rank_permutation_against_brute_force(spark):
+    """A score that ranks better is told from one that does not; observed difference by hand."""
+    rows = [(i, int(i % 3 == 0), float(i % 3 == 0) + (i * 7 % 10) / 8, float(i * 37 % 101)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, y int, a double, b double")
+
+    def precision(score):
+        seen = hits = 0
+        total = 0.0
+        for s in sorted({score(r) for r in rows}, reverse=True):
+            tied = [r for r in rows if score(r) == s]
+            seen, hits = seen + len(tied), hits + sum(r[1] for r in tied)
+            total += sum(r[1] for r in tied) * hits / seen
+        return total / sum(r[1] for r in rows)
+
+    got = sampling.rank_permutation(df, "id", "a", "b", "y", 400).first()
+    assert abs(got.observed - (precision(lambda r: r[2]) - precision(lambda r: r[3]))) < 1e-9
+    assert got.p_value < 0.02 and sampling.rank_permutation(df, "id", "b", "a", "y", 400).first().p_value > 0.9
+
+
+def test_running_totals_in_ranges(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000 / 10).alias("v"), (F.col("id") % 2).alias("g"), F.lit(1).alias("one"))
+    got = ranking.running(df, "v", {"t": "one"}, ["g"], parts=7).collect()
+    for g in (0, 1):
+        mine = sorted((r.v, r.t) for r in got if r.g == g)
+        assert [t for _, t in mine] == list(range(1, 501))
+    cut = ranking.capture(df.withColumn("s", F.floor("v")).withColumn("y", (F.col("v") > 80).cast("int")), "s", "y", "v", 0.25).first()
+    assert (cut.taken, cut.hits) == (250, 199)
