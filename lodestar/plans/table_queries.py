@@ -37,7 +37,7 @@ def b5_clip(spark, d):
 
 
 _LONG = "SELECT user_id, event_type, sum(value) AS v FROM events GROUP BY user_id, event_type"
-_HIGH = _LONG.replace("events GROUP", "events WHERE value > 450 GROUP")  # few enough that some are missing
+_HIGH = _LONG.replace("events GROUP", "events WHERE value > 100 GROUP")  # few enough that some are missing
 
 
 @query(f"SELECT user_id, {', '.join(f'''round(max(v) FILTER (WHERE event_type = '{k}'), 4) AS "{k}"''' for k in KINDS)} FROM ({_LONG}) GROUP BY user_id")
@@ -52,11 +52,11 @@ def b9_unpivot(spark, d):
     return tables.unpivot(wide, "p_partkey", ["price", "size"])
 
 
-@query(f"""WITH w AS (SELECT u.user_id, t.k, l.v FROM (SELECT DISTINCT user_id FROM events WHERE value > 450) u CROSS JOIN (SELECT unnest({KINDS}) AS k) t LEFT JOIN ({_HIGH}) l ON l.user_id = u.user_id AND l.event_type = t.k),
+@query(f"""WITH w AS (SELECT u.user_id, t.k, l.v FROM (SELECT DISTINCT user_id FROM events WHERE value > 100) u CROSS JOIN (SELECT unnest({KINDS}) AS k) t LEFT JOIN ({_HIGH}) l ON l.user_id = u.user_id AND l.event_type = t.k),
 m AS (SELECT k FROM w WHERE v IS NULL GROUP BY k) SELECT w.user_id, w.k AS feature, CASE WHEN w.v IS NULL THEN 1.0 ELSE 0.0 END AS missing FROM w JOIN m USING (k)""")
 def b11_missing_indicators(spark, d):
     """1 where a feature is unknown, only for features that are ever unknown."""
-    long = table(spark, d, "events").where("value > 450").groupBy("user_id", "event_type").agg(F.sum("value").alias("v"))
+    long = table(spark, d, "events").where("value > 100").groupBy("user_id", "event_type").agg(F.sum("value").alias("v"))
     tall = tables.unpivot(tables.pivot(long, "user_id", "event_type", "v", KINDS), "user_id", KINDS, "feature", "v")
     ever = tall.where("v is null").select("feature").distinct()
     return tall.join(F.broadcast(ever), "feature").select("user_id", "feature", F.col("v").isNull().cast("double").alias("missing"))
