@@ -1,9 +1,10 @@
 """Quality classifier: naive Bayes support vectors.
 
-Features are indicators of n-grams: characters (1 to 3, case kept) and word pairs backed off to whether the second word repeats
-the first. They are hashed to `2 ** bits` buckets. Each is scaled by its class log-count ratio, the vector is set to
+Features are indicators of n-grams of 1 to 3 characters (case kept), of whether there are words at all, and of which eighth of
+the words repeat the word before. They are hashed to `2 ** bits` buckets. Each is scaled by its class log-count ratio, the vector is set to
 length 1, and a linear hinge-loss model is fitted by dual coordinate descent. A logistic curve on the margins of a
-fifth of the sample turns margins into scores from 0 to 1.
+fifth of the sample, which the ratios and the model have not seen, turns margins into scores from 0 to 1. With under five
+rows of a class in either part, the sample is not divided: all of it serves for both.
 
 Fitting uses a sample of at most `sample` labelled rows, the first by a hash of the doc_id; that bound is why the ids can
 be broadcast and one task can fit. Scoring reads every whole text and moves none.
@@ -22,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from lodestar.llm.common import split_of
+from lodestar.llm.common import split_of, strings
 from lodestar.session import cut, prepare
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -43,8 +45,8 @@ def features(text: str | None, bits: int) -> np.ndarray:
     return np.unique((codes * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: float, epochs: int, seed: int) -> np.ndarray:
-    """Weights (bias last) of the hinge-loss model on unit rows ratio[buckets], by dual coordinate descent."""
+def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: float, epochs: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weights with the bias last, dual variables) of the hinge-loss model on unit rows ratio[buckets], by dual coordinate descent."""
     w = np.zeros(len(ratio) + 1)
     values = []
     for r in rows:
@@ -68,7 +70,7 @@ def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: floa
                 moved = max(moved, abs(step))
         if moved < 1e-3:
             break
-    return w
+    return w, alpha
 
 
 def logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -87,12 +89,9 @@ def logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(b[0]), float(b[1])
 
 
-def margins(rows: list[np.ndarray], ratio: np.ndarray, w: np.ndarray) -> np.ndarray:
-    out = np.empty(len(rows))
-    for i, r in enumerate(rows):
-        v = ratio[r]
-        out[i] = w[r] @ v / max(np.sqrt(v @ v), 1e-12) + w[-1]
-    return out
+def margin(row: np.ndarray, ratio: np.ndarray, w: np.ndarray) -> float:
+    v = ratio[row]
+    return float(w[row] @ v / max(np.sqrt(v @ v), 1e-12) + w[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, bits: int = 17, cost: float = 1.0, epochs: int = 20, seed: int = 17) -> dict | None:
@@ -106,8 +105,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, bits: int = 17,
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [features(t, bits) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("__y"), pa.array([r.astype("<i4").tobytes() for r in rows], pa.binary())], names=["id", "y", "x"])
+            found = pa.array([features(t, bits).astype("<i4").tobytes() for t in strings(b.column("text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("__y"), found], names=["id", "y", "x"])
 
     def learn(t: pa.Table) -> pa.Table:
         ids, blobs = t.column("id").to_pylist(), t.column("x").to_pylist()
@@ -115,19 +114,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, bits: int = 17,
         y = t.column("y").to_numpy()[order] * 2 - 1
         rows = [np.frombuffer(blobs[i], "<i4") for i in order]
         size = 1 << bits
+        part = np.random.default_rng(seed).random(len(y)) < 0.8
+        few = min((part & (y > 0)).sum(), (part & (y < 0)).sum(), (~part & (y > 0)).sum(), (~part & (y < 0)).sum()) < 5
+        part = np.ones(len(y), bool) if few else part
         up, down = np.ones(size), np.ones(size)
-        for r, s in zip(rows, y, strict=True):
-            (up if s > 0 else down)[r] += 1
+        for r, s, p in zip(rows, y, part, strict=True):
+            if p:
+                (up if s > 0 else down)[r] += 1
         ratio = np.log(up / up.sum()) - np.log(down / down.sum())
         if (y > 0).all() or (y < 0).all():
             w, slope, base = np.zeros(size + 1), 0.0, float(30 * y[0])
         else:
-            part = np.random.default_rng(seed).random(len(y)) < 0.8
-            few = min((part & (y > 0)).sum(), (part & (y < 0)).sum(), (~part & (y > 0)).sum(), (~part & (y < 0)).sum()) < 5
-            part = np.ones(len(y), bool) if few else part
-            w = descend([r for r, p in zip(rows, part, strict=True) if p], y[part], ratio, cost, epochs, seed)
+            w, _ = descend([r for r, p in zip(rows, part, strict=True) if p], y[part], ratio, cost, epochs, seed)
             rest = part if few else ~part
-            slope, base = logistic(margins([r for r, p in zip(rows, rest, strict=True) if p], ratio, w), y[rest])
+            slope, base = logistic(np.array([margin(r, ratio, w) for r, p in zip(rows, rest, strict=True) if p]), y[rest])
         used = np.flatnonzero((w[:-1] != 0) | (up + down > 2))
         bucket = np.r_[used, -1, -2, -3]
         return pa.table({"bucket": bucket, "ratio": np.r_[ratio[used], 0, 0, 0], "weight": np.r_[w[used], w[-1], slope, base]})
@@ -156,10 +156,10 @@ def score(docs: DataFrame, model: dict | None, threshold: float = 0.7) -> DataFr
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            rows = [features(t, m["bits"]) for t in b.column("text").to_pylist()]
-            z = m["slope"] * margins(rows, m["ratio"], m["weights"]) + m["base"]
+            found = [margin(features(t, m["bits"]), m["ratio"], m["weights"]) for t in strings(b.column("text"))]
+            z = m["slope"] * np.array(found, np.float64) + m["base"]
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(each, f"{schema}, score double, predicted int")
+    added = [StructField("score", DoubleType()), StructField("predicted", IntegerType())]
+    return docs.mapInArrow(each, StructType([*docs.schema.fields, *added]))
