@@ -11,6 +11,10 @@ back as the next stage's input. All but the last return the columns of `document
 4. mixture: sources are mixed by temperature to 95 % of the greatest entropy, no source more than twice, as many tokens as
    there are; a document that is taken twice is there twice.
 5. packing: sequences of at most 1024 tokens of the byte-level vocabulary, one row for each piece.
+
+Cases: a null text is empty and stays null. Rows with a null id are never near duplicates, neither lose repeats nor cause any. Of
+rows that repeat an id, those with different texts are documents of their own. Other columns pass through all stages but
+the last, whatever their names (dots, names that operators use). An empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -19,14 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import bwt_dedup, nbsvm, packing, simhash, temperature_mix
+from lodestar.llm.common import nest, unnest
 from lodestar.llm.queries import tokenizer_file
 from lodestar.session import cut, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = nbsvm.fit(docs, table(spark, sf_dir, "labels"))
-    scored = nbsvm.score(docs.withColumn("__row", F.struct(*docs.columns)).select("text", "__row"), model)
-    return scored.where("predicted = 1").select("__row.*")
+    scored = nbsvm.score(nest(docs, "text"), model)
+    return unnest(scored.where("predicted = 1"), docs, "text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,11 +39,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = bwt_dedup.remove_repeats(docs).withColumn("text", F.when(F.col("text").isNotNull(), F.col("text_clean")))
+    own = ("doc_id", "text")
+    clean = unnest(bwt_dedup.remove_repeats(nest(docs, *own)).withColumn("text", F.when(F.col("text").isNotNull(), F.col("text_clean"))), docs, *own)
     if "n_chars" in docs.columns:
         count = F.when(F.col("n_chars").isNotNull(), F.char_length("text")).cast(docs.schema["n_chars"].dataType)
         clean = clean.withColumn("n_chars", count)
-    return clean.select(*docs.columns)
+    return clean
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
