@@ -31,26 +31,36 @@ def radius_join(cells: DataFrame, points: DataFrame, radius: float) -> DataFrame
     return left.join(right, ["__i", "__j"]).withColumn("d2", d2).where(F.col("d2") <= radius * radius).drop("__i", "__j")
 
 
-def knn_join(cells: DataFrame, points: DataFrame, k: int, reach: float, rings: int = 12) -> DataFrame:
-    """The k nearest points of each cell, ties by point id; `rank` from 1.
+def _reach_of_all(cells: DataFrame, xs: list[tuple[DataFrame, str, str]]) -> float:
+    """A distance that no pair exceeds: the diagonal of everything (four numbers a table reach the driver)."""
+    low, high = [float("inf")] * 2, [float("-inf")] * 2
+    for df, x, y in [(cells, "cx", "cy"), *xs]:
+        r = df.agg(F.min(x), F.min(y), F.max(x), F.max(y)).first()
+        if r[0] is not None:
+            low, high = [min(low[k], float(r[k])) for k in (0, 1)], [max(high[k], float(r[k + 2])) for k in (0, 1)]
+    return max(1.0, ((high[0] - low[0]) ** 2 + (high[1] - low[1]) ** 2) ** 0.5) if high[0] >= low[0] else 1.0
 
-    The reach doubles for the cells that have fewer than k points so far; only those are joined again. What is left
-    after `rings` doublings takes all points (few cells, far from everything).
+
+def knn_join(cells: DataFrame, points: DataFrame, k: int, reach: float) -> DataFrame:
+    """The k nearest points of each cell, ties by point id; `rank` from 1; all points where there are fewer.
+
+    The reach doubles for the cells that have fewer than k points so far; only those are joined again, until the reach
+    spans everything.
     """
     order = Window.partitionBy("cell_id").orderBy("d2", "id")
-    found, todo = None, cells
-    for n in range(rings):
-        near = radius_join(todo, points, reach * 2**n).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    found, todo, most = None, cells, _reach_of_all(cells, [(points, "x", "y")])
+    while True:
+        near = radius_join(todo, points, reach).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         near = cut(near, "knn")  # each round once: the next one needs to know which cells are done
         full = near.where(F.col("rank") == k).select("cell_id")
-        part = near.join(full, "cell_id", "left_semi")
+        part = near if reach >= most else near.join(full, "cell_id", "left_semi")
         found = part if found is None else found.unionByName(part)
-        todo = todo.join(full, "cell_id", "left_anti")
+        if reach >= most:
+            return found
+        todo = cut(todo.join(full, "cell_id", "left_anti"), "knn-left")
         if todo.isEmpty():
             return found
-    d2 = F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2)
-    rest = todo.crossJoin(points).withColumn("d2", d2).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return found.unionByName(rest.select(found.columns))
+        reach *= 2
 
 
 def point_stats(cells: DataFrame, points: DataFrame, value: str, radius: float) -> DataFrame:
@@ -114,11 +124,43 @@ def segment_distance2(px: Column, py: Column, x1: Column, y1: Column, x2: Column
     return F.pow(px - x1 - t * dx, 2) + F.pow(py - y1 - t * dy, 2)
 
 
-def line_distance(cells: DataFrame, lines: DataFrame) -> DataFrame:
-    """Distance of each cell centre to the nearest segment. The lines are one layer, sent to every task if small (AQE's size check)."""
+def along(lines: DataFrame, size: float) -> DataFrame:
+    """Segments posted to the square bins (__i, __j) that they cross: as many as the length asks for, not the bounding box."""
+    x1, y1, x2, y2 = (F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2"))
+    posted = lines.withColumn("__i", F.explode(F.sequence(F.floor(F.least(x1, x2) / size), F.floor(F.greatest(x1, x2) / size))))
+    slope = F.try_divide(y2 - y1, x2 - x1)
+    at = lambda edge: y1 + slope * (F.greatest(F.least(x1, x2), F.least(F.greatest(x1, x2), edge)) - x1)
+    left, right = F.coalesce(at(F.col("__i") * size), y1), F.coalesce(at((F.col("__i") + 1) * size), y2)
+    slack = size * 1e-9  # rounding must not lose a bin at whose border the segment passes
+    low = F.greatest(F.least(left, right) - slack, F.least(y1, y2))
+    high = F.least(F.greatest(left, right) + slack, F.greatest(y1, y2))
+    return posted.withColumn("__j", F.explode(F.sequence(F.floor(F.least(low, high) / size), F.floor(F.greatest(low, high) / size))))
+
+
+def line_distance(cells: DataFrame, lines: DataFrame, reach: float | None = None) -> DataFrame:
+    """Distance of each cell centre to the nearest segment, null if there is none.
+
+    Segments are posted to the bins they cross and a cell looks in its own and the eight around it: whatever is nearer than
+    a bin's width is found. The width doubles for the cells without a segment that near, until it spans everything.
+    """
     d2 = segment_distance2(F.col("cx"), F.col("cy"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    near = cells.crossJoin(lines.select("x1", "y1", "x2", "y2")).groupBy("cell_id").agg(F.sqrt(F.min(d2)).alias("value"))
-    return cells.select("cell_id").join(near, "cell_id", "left")
+    todo = cells.select("cell_id", "cx", "cy")
+    most = _reach_of_all(cells, [(lines, "x1", "y1"), (lines, "x2", "y2")])
+    reach, found = reach or most / 64, None
+    around = F.sequence(F.lit(-1), F.lit(1))
+    while True:
+        keyed = todo.withColumn("__i", F.explode(F.transform(around, lambda k: _bin(F.col("cx"), reach) + k)))
+        keyed = keyed.withColumn("__j", F.explode(F.transform(around, lambda k: _bin(F.col("cy"), reach) + k)))
+        near = keyed.join(along(lines.select("x1", "y1", "x2", "y2"), reach), ["__i", "__j"]).groupBy("cell_id").agg(F.sqrt(F.min(d2)).alias("value"))
+        near = cut(near.where(F.col("value") <= reach), "line-distance")
+        found = near if found is None else found.unionByName(near)
+        if reach >= most:
+            break
+        todo = cut(todo.join(near, "cell_id", "left_anti"), "line-left")
+        if todo.isEmpty():
+            break
+        reach *= 2
+    return cells.select("cell_id").join(found, "cell_id", "left")
 
 
 def clipped_length(x1: Column, y1: Column, x2: Column, y2: Column, x0: Column, y0: Column, xe: Column, ye: Column) -> Column:
@@ -138,10 +180,7 @@ def clipped_length(x1: Column, y1: Column, x2: Column, y2: Column, x0: Column, y
 
 def line_density(cells: DataFrame, lines: DataFrame, size: float) -> DataFrame:
     """Length of line inside each square cell per unit of area, and the pieces that have length. 0 is an answer."""
-    low = lambda a, b: F.floor(F.least(a, b) / F.lit(size))
-    high = lambda a, b: F.floor(F.greatest(a, b) / F.lit(size))
-    posted = lines.withColumn("__i", F.explode(F.sequence(low(F.col("x1"), F.col("x2")), high(F.col("x1"), F.col("x2")))))
-    posted = posted.withColumn("__j", F.explode(F.sequence(low(F.col("y1"), F.col("y2")), high(F.col("y1"), F.col("y2")))))
+    posted = along(lines, size)
     keyed = cells.withColumns({"__i": F.floor(F.col("cx") / F.lit(size)), "__j": F.floor(F.col("cy") / F.lit(size))})
     half = F.lit(size / 2)
     inside = clipped_length(*(F.col(c) for c in ("x1", "y1", "x2", "y2")), F.col("cx") - half, F.col("cy") - half, F.col("cx") + half, F.col("cy") + half)
@@ -160,14 +199,13 @@ def length_by_trend(cells: DataFrame, lines: DataFrame, radius: float) -> DataFr
     return cells.select("cell_id").join(out, "cell_id", "left").na.fill(0.0, list(names))
 
 
-def crossings(lines: DataFrame, size: float) -> DataFrame:
+def crossings(lines: DataFrame, size: float, end: float = 1.0) -> DataFrame:
     """Points where segments of different lines cross properly, each once, rounded to whole units.
 
-    Segments meet in the bins of their bounding boxes; sides are told by cross products.
+    A crossing within `end` of an end of either segment is a touch and left out. Segments meet in the bins that both cross, and
+    a pair counts in the bin of its crossing only; sides are told by cross products.
     """
-    s = lines.select(F.col("line_id").alias("l"), F.col("seq").alias("s"), "x1", "y1", "x2", "y2")
-    for a, b, name in (("x1", "x2", "__i"), ("y1", "y2", "__j")):
-        s = s.withColumn(name, F.explode(F.sequence(F.floor(F.least(a, b) / F.lit(size)), F.floor(F.greatest(a, b) / F.lit(size)))))
+    s = along(lines.select(F.col("line_id").alias("l"), F.col("seq").alias("s"), "x1", "y1", "x2", "y2"), size)
     p, q = s.alias("p"), s.alias("q")
     pairs = p.join(q, (F.col("p.__i") == F.col("q.__i")) & (F.col("p.__j") == F.col("q.__j")) & (F.col("p.l") < F.col("q.l")))
 
@@ -180,8 +218,13 @@ def crossings(lines: DataFrame, size: float) -> DataFrame:
     t = F.try_divide(c, c - d)
     x = F.col("p.x1") + t * (F.col("p.x2") - F.col("p.x1"))
     y = F.col("p.y1") + t * (F.col("p.y2") - F.col("p.y1"))
-    found = pairs.where((a * b < 0) & (c * d < 0)).select(F.floor(x + 0.5).cast("long").alias("x"), F.floor(y + 0.5).cast("long").alias("y"))
-    return found.distinct()
+    found = pairs.where((a * b < 0) & (c * d < 0)).select(x.alias("x"), y.alias("y"), F.col("p.__i").alias("i"), F.col("p.__j").alias("j"), *(F.col(f"{o}.{n}").alias(f"{o}{n}") for o in "pq" for n in ("x1", "y1", "x2", "y2")))
+    clear = F.lit(True)
+    for o in "pq":
+        for e in "12":
+            clear = clear & (F.pow(F.col("x") - F.col(f"{o}x{e}"), 2) + F.pow(F.col("y") - F.col(f"{o}y{e}"), 2) > end * end)
+    found = found.where((F.floor(F.col("x") / size) == F.col("i")) & (F.floor(F.col("y") / size) == F.col("j")) & clear)
+    return found.select(F.floor(F.col("x") + 0.5).cast("long").alias("x"), F.floor(F.col("y") + 0.5).cast("long").alias("y")).distinct()
 
 
 def overlap_area(ax0: Column, ay0: Column, ax1: Column, ay1: Column, bx0: Column, by0: Column, bx1: Column, by1: Column) -> Column:
@@ -223,3 +266,73 @@ def zonal(pixels: DataFrame, x0: float, y0: float, size: float, value: str) -> D
     return pixels.where((F.col("x") >= x0) & (F.col("y") >= y0)).groupBy(cell.alias("cell_id")).agg(
         F.avg(v).alias("mean_value"), F.min(v).alias("min_value"), F.max(v).alias("max_value"), (F.max(v) - F.min(v)).alias("relief"), F.count(v).alias("n_obs")
     )
+
+
+def year_near(cells: DataFrame, points: DataFrame, year: str, radius: float) -> DataFrame:
+    """First and last known year within the radius, and how many records have one; the records without a year do not count."""
+    near = radius_join(cells.select("cell_id", "cx", "cy"), points.where(F.col(year).isNotNull()), radius)
+    out = near.groupBy("cell_id").agg(F.min(year).alias("first_year"), F.max(year).alias("last_year"), F.count("*").alias("n_obs"), F.sqrt(F.min("d2")).alias("nearest"))
+    return cells.select("cell_id").join(out, "cell_id", "left").na.fill(0, ["n_obs"])
+
+
+def flow_frame(cells: DataFrame, grain: str, coherence: str, least: float = 0.5, regional: float = 225.0) -> DataFrame:
+    """(cell_id, bearing, own): the cell's own axis where it is coherent, else the mean axis of those, turned to the end nearer `regional`.
+
+    `grain` is an angle clockwise from east, so the compass axis is 90 on.
+    """
+    axis_ = F.pmod(F.col(grain).cast("double") + 90.0, F.lit(180.0))
+    rows = cells.select("cell_id", F.when(F.col(coherence) >= least, axis_).alias("axis"), F.when((F.col(coherence) >= least) & axis_.isNotNull(), F.col(coherence)).alias("w"))
+    twice = F.radians(2 * F.col("axis"))
+    mean = rows.agg(F.pmod(F.degrees(F.atan2(F.sum(F.col("w") * F.sin(twice)), F.sum(F.col("w") * F.cos(twice)))) / 2, F.lit(180.0)).alias("mean"))
+    mean = mean.select(F.coalesce("mean", F.lit(regional % 180.0)).alias("mean"))
+    a = F.coalesce("axis", "mean")
+    off = lambda x: F.abs(F.pmod(x - regional + 180.0, F.lit(360.0)) - 180.0)
+    return rows.crossJoin(F.broadcast(mean)).select("cell_id", F.when(off(a) <= off(a + 180.0), a).otherwise(a + 180.0).alias("bearing"), F.col("axis").isNotNull().alias("own"))
+
+
+def overlap_count(cells: DataFrame, rects: DataFrame, size: float) -> DataFrame:
+    """How many rectangles share area with the cell; none is an answer."""
+    n = rectangle_overlaps(cells, rects, size).groupBy("cell_id").agg(F.count_distinct("rect_id").alias("value"))
+    return cells.select("cell_id").join(n, "cell_id", "left").na.fill(0, ["value"])
+
+
+def host_of(cells: DataFrame, rects: DataFrame, size: float, wanted: str, covered: str | None = None) -> DataFrame:
+    """1 if the cell's largest class is `wanted`; 0 if it is mapped otherwise (and not `covered`); else unknown."""
+    best = rectangle_class(cells.select("cell_id", "cx", "cy"), rects, size)
+    hidden = F.coalesce(F.col(covered), F.lit(False)) if covered else F.lit(False)
+    value = F.when(F.col("cls").contains(wanted), 1.0).when(F.col("cls").isNotNull() & ~hidden, 0.0)
+    return cells.join(best, "cell_id").select("cell_id", value.alias("value"))
+
+
+def edge_distance(cells: DataFrame, ring: DataFrame) -> DataFrame:
+    """Distance to the nearest side of a polygon (x1, y1, x2, y2 by row): positive inside, negative outside.
+
+    A centre is inside if a ray to the right crosses the sides an odd number of times; sides meet it in their bands of y only.
+    """
+    far = line_distance(cells, ring).withColumnRenamed("value", "far")
+    size = F.greatest((F.max(F.greatest("y1", "y2")) - F.min(F.least("y1", "y2"))) / 256, F.lit(1e-9)).alias("band")
+    band = ring.agg(size)
+    sides = ring.crossJoin(F.broadcast(band)).withColumn("__j", F.explode(F.sequence(F.floor(F.least("y1", "y2") / F.col("band")), F.floor(F.greatest("y1", "y2") / F.col("band")))))
+    rows = cells.select("cell_id", "cx", "cy").crossJoin(F.broadcast(band)).withColumn("__j", F.floor(F.col("cy") / F.col("band"))).drop("band")
+    spans = (F.col("y1") > F.col("cy")) != (F.col("y2") > F.col("cy"))
+    right = F.col("cx") < F.col("x1") + F.try_divide((F.col("cy") - F.col("y1")) * (F.col("x2") - F.col("x1")), (F.col("y2") - F.col("y1")).cast("double"))
+    odd = rows.join(sides, "__j").where(spans & right).groupBy("cell_id").agg((F.count("*") % 2).alias("odd"))
+    return far.join(odd, "cell_id", "left").select("cell_id", F.when(F.col("odd") == 1, F.col("far")).otherwise(-F.col("far")).alias("value"))
+
+
+def layer_pairs(cells: DataFrame, left: DataFrame, right: DataFrame, radius: float, least: int = 3) -> DataFrame:
+    """For each cell the state of two point layers within the radius and how near they come to one another.
+
+    A layer is known where it has `least` records, thin where it has fewer, absent where it has none; `gap` is the smallest
+    distance between a record of one and of the other, over the records within the radius.
+    """
+    sides = {}
+    for name, layer in (("a", left), ("b", right)):
+        sides[name] = radius_join(cells.select("cell_id", "cx", "cy"), layer.select("id", "x", "y"), radius).select("cell_id", F.col("x").alias(f"{name}x"), F.col("y").alias(f"{name}y"))
+    state = lambda n: F.when(n >= least, "known").when(n > 0, "thin").otherwise("absent")
+    counts = {k: v.groupBy("cell_id").agg(F.count("*").alias(f"n_{k}")) for k, v in sides.items()}
+    nearest = knn_join(sides["a"].select("ax", "ay").distinct().select(F.concat_ws("_", "ax", "ay").alias("cell_id"), F.col("ax").alias("cx"), F.col("ay").alias("cy")), right.select("id", "x", "y"), 1, radius)
+    near = nearest.select(F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.sqrt("d2").alias("gap"))
+    gap = sides["a"].join(near, ["ax", "ay"]).groupBy("cell_id").agg(F.min("gap").alias("gap"))
+    out = cells.select("cell_id").join(counts["a"], "cell_id", "left").join(counts["b"], "cell_id", "left").join(gap, "cell_id", "left").na.fill(0, ["n_a", "n_b"])
+    return out.select("cell_id", state(F.col("n_a")).alias("state_a"), state(F.col("n_b")).alias("state_b"), F.when((F.col("n_a") > 0) & (F.col("n_b") > 0), F.col("gap")).alias("gap"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import text as tx
 from lodestar.operators import matching, models, ranking, retrieval, sampling, spatial
 from lodestar.plans.registry import query
-from lodestar.plans.spatial_queries import CTE, R, cells, lines, points
+from lodestar.plans.spatial_queries import CROSS, CTE, R, cells, lines, points
 from lodestar.plans.stat_queries import M, draw_sql, marked
 from lodestar.plans.text_queries import TOK
 from lodestar.session import scratch, table
@@ -35,13 +35,11 @@ def h5_camps(spark, d):
     return sampling.components(p, edges, scratch(spark, "camps")).select("id", F.col("root").alias("camp"))
 
 
-@query(f"""{CTE}, z AS (SELECT DISTINCT CAST(floor(x1 + t * (x2 - x1) + 0.5) AS BIGINT) AS x, CAST(floor(y1 + t * (y2 - y1) + 0.5) AS BIGINT) AS y FROM (SELECT p.*, CAST((q.x2 - q.x1) * (p.y1 - q.y1) - (q.y2 - q.y1) * (p.x1 - q.x1) AS DOUBLE) / ((q.x2 - q.x1) * (p.y1 - q.y1) - (q.y2 - q.y1) * (p.x1 - q.x1) - ((q.x2 - q.x1) * (p.y2 - q.y1) - (q.y2 - q.y1) * (p.x2 - q.x1))) AS t FROM s p, s q WHERE p.line_id < q.line_id
-AND sign((p.x2 - p.x1) * (q.y1 - p.y1) - (p.y2 - p.y1) * (q.x1 - p.x1)) * sign((p.x2 - p.x1) * (q.y2 - p.y1) - (p.y2 - p.y1) * (q.x2 - p.x1)) < 0 AND sign((q.x2 - q.x1) * (p.y1 - q.y1) - (q.y2 - q.y1) * (p.x1 - q.x1)) * sign((q.x2 - q.x1) * (p.y2 - q.y1) - (q.y2 - q.y1) * (p.x2 - q.x1)) < 0))
-SELECT c.cell_id, count(z.x) AS n FROM c LEFT JOIN z ON (z.x - cx) * (z.x - cx) + (z.y - cy) * (z.y - cy) <= {R * R} GROUP BY c.cell_id""")
+@query(f"""{CTE}, {CROSS}, n AS (SELECT c.cell_id, count(z.x) FILTER (WHERE (z.x - cx) ** 2 + (z.y - cy) ** 2 <= {R * R}) AS n, round(sqrt(min((z.x - cx) ** 2 + (z.y - cy) ** 2) FILTER (WHERE (z.x - cx) ** 2 + (z.y - cy) ** 2 <= {R * R})), 6) AS nearest FROM c LEFT JOIN z ON true GROUP BY c.cell_id) SELECT * FROM n""")
 def d18_crossings_near(spark, d):
     z = spatial.crossings(lines(spark, d), 500)
-    near = spatial.radius_join(cells(spark).select("cell_id", "cx", "cy"), z, R).groupBy("cell_id").agg(F.count("*").alias("n"))
-    return cells(spark).select("cell_id").join(near, "cell_id", "left").select("cell_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    near = spatial.radius_join(cells(spark).select("cell_id", "cx", "cy"), z, R).groupBy("cell_id").agg(F.count("*").alias("n"), F.round(F.sqrt(F.min("d2")), 6).alias("nearest"))
+    return cells(spark).select("cell_id").join(near, "cell_id", "left").select("cell_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "nearest")
 
 
 @query("SELECT o_orderkey, count(*) AS holes, sum(l_quantity) AS total, max(l_partkey) AS part FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")

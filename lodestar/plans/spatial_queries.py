@@ -160,9 +160,12 @@ _SIDE = "(({o}.x2 - {o}.x1) * ({t}.y{e} - {o}.y1) - ({o}.y2 - {o}.y1) * ({t}.x{e
 _A, _B, _C, _D = (_SIDE.format(o=o, t=t, e=e) for o, t, e in (("p", "q", 1), ("p", "q", 2), ("q", "p", 1), ("q", "p", 2)))
 
 
-@query(f"""{CTE}, z AS (SELECT p.x1, p.y1, p.x2, p.y2, CAST({_C} AS DOUBLE) / ({_C} - {_D}) AS t FROM s p, s q
-    WHERE p.line_id < q.line_id AND sign({_A}) * sign({_B}) < 0 AND sign({_C}) * sign({_D}) < 0)
-SELECT DISTINCT CAST(floor(x1 + t * (x2 - x1) + 0.5) AS BIGINT) AS x, CAST(floor(y1 + t * (y2 - y1) + 0.5) AS BIGINT) AS y FROM z""")
+CROSS = f"""z0 AS (SELECT p.x1, p.y1, p.x2, p.y2, q.x1 AS u1, q.y1 AS v1, q.x2 AS u2, q.y2 AS v2, CAST({_C} AS DOUBLE) / ({_C} - {_D}) AS t FROM s p, s q
+    WHERE p.line_id < q.line_id AND sign({_A}) * sign({_B}) < 0 AND sign({_C}) * sign({_D}) < 0), z1 AS (SELECT *, x1 + t * (x2 - x1) AS x, y1 + t * (y2 - y1) AS y FROM z0),
+z AS (SELECT DISTINCT CAST(floor(x + 0.5) AS BIGINT) AS x, CAST(floor(y + 0.5) AS BIGINT) AS y FROM z1 WHERE (x - x1) ** 2 + (y - y1) ** 2 > 1 AND (x - x2) ** 2 + (y - y2) ** 2 > 1 AND (x - u1) ** 2 + (y - v1) ** 2 > 1 AND (x - u2) ** 2 + (y - v2) ** 2 > 1)"""
+
+
+@query(f"{CTE}, {CROSS} SELECT x, y FROM z")
 def c14_line_crossings(spark: SparkSession, d: str) -> DataFrame:
     return spatial.crossings(lines(spark, d), SIZE)
 
@@ -243,3 +246,63 @@ def d32_nearby(spark: SparkSession, d: str) -> DataFrame:
 
     near = spatial.radius_join(cells(spark), points(spark, d), R).withColumn("rank", F.row_number().over(Window.partitionBy("cell_id").orderBy("d2", "id")))
     return near.where("rank <= 5").select("cell_id", "id", "rank", F.round(F.sqrt("d2"), 6).alias("distance"), F.round(geo.bearing(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")), 4).alias("bearing"))
+
+
+@query(f"""{CTE}, t AS (SELECT *, 1960 + v % 60 AS year FROM near WHERE id % 4 <> 0), a AS (SELECT cell_id, min(year) AS first_year, max(year) AS last_year, count(*) AS n_obs, round(sqrt(min(d2)), 6) AS nearest FROM t GROUP BY cell_id)
+SELECT c.cell_id, CAST(first_year AS DOUBLE) AS first_year, CAST(last_year AS DOUBLE) AS last_year, coalesce(n_obs, 0) AS n_obs, nearest FROM c LEFT JOIN a USING (cell_id)""")
+def d4_year_near(spark: SparkSession, d: str) -> DataFrame:
+    p = points(spark, d).withColumn("year", F.when(F.col("id") % 4 != 0, 1960 + F.col("v") % 60))
+    out = spatial.year_near(cells(spark), p, "year", R)
+    return out.select("cell_id", F.col("first_year").cast("double").alias("first_year"), F.col("last_year").cast("double").alias("last_year"), "n_obs", F.round("nearest", 6).alias("nearest"))
+
+
+@query(f"""{CTE}, g AS (SELECT cell_id, (col * 37 + row * 11) % 180 AS grain, (col * 7 + row * 3) % 10 / 10.0 AS coh FROM c), k AS (SELECT cell_id, CASE WHEN coh >= 0.5 THEN (grain + 90) % 180 END AS axis, coh FROM g),
+m AS (SELECT ((degrees(atan2(sum(coh * sin(radians(2 * axis))), sum(coh * cos(radians(2 * axis))))) / 2) % 180 + 180) % 180 AS mean FROM k WHERE axis IS NOT NULL), x AS (SELECT cell_id, coalesce(axis, mean) AS a, axis IS NOT NULL AS own FROM k, m),
+o AS (SELECT *, abs(((a - 225 + 180) % 360 + 360) % 360 - 180) AS near_, abs(((a + 180 - 225 + 180) % 360 + 360) % 360 - 180) AS far_ FROM x) SELECT cell_id, round(CASE WHEN near_ <= far_ THEN a ELSE a + 180 END, 6) AS bearing, own FROM o""")
+def d14_flow_frame(spark: SparkSession, d: str) -> DataFrame:
+    g = cells(spark).select("cell_id", ((F.col("col") * 37 + F.col("row") * 11) % 180).alias("grain"), ((F.col("col") * 7 + F.col("row") * 3) % 10 / 10.0).alias("coh"))
+    return spatial.flow_frame(g, "grain", "coh").select("cell_id", F.round("bearing", 6).alias("bearing"), "own")
+
+
+_AREA = "greatest(0, least(x1, cx + 250) - greatest(x0, cx - 250)) * greatest(0, least(y1, cy + 250) - greatest(y0, cy - 250))"
+
+
+@query(f"{CTE}, o AS (SELECT cell_id, rect_id FROM c, rect WHERE {_AREA} > 0) SELECT c.cell_id, count(DISTINCT rect_id) AS value FROM c LEFT JOIN o USING (cell_id) GROUP BY c.cell_id")
+def d9_overlap_count(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.overlap_count(cells(spark), rects(spark, d), SIZE)
+
+
+_BEST = f"o AS (SELECT cell_id, cls, row_number() OVER (PARTITION BY cell_id ORDER BY {_AREA} DESC, rect_id) AS k FROM c, rect WHERE {_AREA} > 0 AND rect_id % 3 = 0)"
+
+
+@query(f"{CTE}, {_BEST} SELECT c.cell_id, CASE WHEN contains(cls, 'STEEL') THEN 1.0 WHEN cls IS NOT NULL AND NOT (col % 3 = 0) THEN 0.0 END AS value FROM c LEFT JOIN (SELECT * FROM o WHERE k = 1) b USING (cell_id)")
+def d7_host(spark: SparkSession, d: str) -> DataFrame:
+    """Known hosts and known others; a mapped class under cover says nothing unless it is the host."""
+    c = cells(spark).withColumn("covered", F.col("col") % 3 == 0)
+    return spatial.host_of(c, rects(spark, d).where("rect_id % 3 = 0"), SIZE, "STEEL", "covered")
+
+
+@query(f"{CTE}, {_BEST} SELECT c.cell_id, CASE WHEN contains(cls, 'STEEL') THEN 1.0 WHEN cls IS NOT NULL THEN 0.0 END AS value FROM c LEFT JOIN (SELECT * FROM o WHERE k = 1) b USING (cell_id)")
+def d8_host_surface(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.host_of(cells(spark), rects(spark, d).where("rect_id % 3 = 0"), SIZE, "STEEL")
+
+
+RING = [(-2100, -1700), (300, -2300), (2050, -900), (900, 450), (1900, 2100), (-700, 1500), (-1500, 2050), (-2300, 100)]
+_RING = " UNION ALL ".join(f"SELECT {a[0]} AS x1, {a[1]} AS y1, {b[0]} AS x2, {b[1]} AS y2" for a, b in zip(RING, [*RING[1:], RING[0]], strict=True))
+
+
+@query(f"""{CTE}, g AS ({_RING}), t AS (SELECT cell_id, cx, cy, g.*, greatest(0, least(1, ((cx - x1) * (x2 - x1) + (cy - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2))) AS t FROM c, g),
+a AS (SELECT cell_id, sqrt(min((cx - x1 - t * (x2 - x1)) ** 2 + (cy - y1 - t * (y2 - y1)) ** 2)) AS far_, count(*) FILTER (WHERE (y1 > cy) <> (y2 > cy) AND cx < x1 + (cy - y1) * (x2 - x1) / (y2 - y1)) % 2 AS odd FROM t GROUP BY cell_id)
+SELECT cell_id, round(CASE WHEN odd = 1 THEN far_ ELSE -far_ END, 6) AS value FROM a""")
+def d19_edge_distance(spark: SparkSession, d: str) -> DataFrame:
+    ring = spark.createDataFrame([(*a, *b) for a, b in zip(RING, [*RING[1:], RING[0]], strict=True)], "x1 long, y1 long, x2 long, y2 long")
+    return spatial.edge_distance(cells(spark), ring).withColumn("value", F.round("value", 6))
+
+
+@query(f"""{CTE}, n AS (SELECT cell_id, count(*) FILTER (WHERE label = 1) AS na, count(*) FILTER (WHERE label = 2) AS nb FROM near GROUP BY cell_id), w AS (SELECT a.x, a.y, sqrt(min((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS gap FROM p a, p b WHERE a.label = 1 AND b.label = 2 GROUP BY a.x, a.y),
+g AS (SELECT cell_id, min(gap) AS gap FROM near JOIN w USING (x, y) WHERE label = 1 GROUP BY cell_id), k AS (SELECT c.cell_id, coalesce(na, 0) AS na, coalesce(nb, 0) AS nb, gap FROM c LEFT JOIN n USING (cell_id) LEFT JOIN g USING (cell_id))
+SELECT cell_id, CASE WHEN na >= 3 THEN 'known' WHEN na > 0 THEN 'thin' ELSE 'absent' END AS state_a, CASE WHEN nb >= 3 THEN 'known' WHEN nb > 0 THEN 'thin' ELSE 'absent' END AS state_b, round(CASE WHEN na > 0 AND nb > 0 THEN gap END, 6) AS gap FROM k""")
+def d33_layer_pairs(spark: SparkSession, d: str) -> DataFrame:
+    p = points(spark, d)
+    out = spatial.layer_pairs(cells(spark), p.where("label = 1"), p.where("label = 2"), R)
+    return out.withColumn("gap", F.round("gap", 6))
