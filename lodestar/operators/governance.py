@@ -41,6 +41,29 @@ def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.unionByName(new.join(old.select(*keys).distinct(), keys, "left_anti"))
 
 
+def replace_prefix(old: DataFrame, key: str, prefix: str, new: DataFrame) -> DataFrame:
+    """Rows of `old` whose key starts with the prefix give way to `new`."""
+    return old.where(~F.col(key).startswith(prefix) | F.col(key).isNull()).unionByName(new)
+
+
+def snapshot(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, n, content): rows, and a sum of row hashes that no order of rows changes."""
+    out = None
+    for name, df in sorted(tables.items()):
+        row = F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in df.columns)).cast("binary"))
+        content = F.sum(F.conv(F.substring(row, 1, 12), 16, 10).cast("decimal(38,0)")).cast("string")
+        one = df.agg(F.count("*").alias("n"), content.alias("content")).select(F.lit(name).alias("table_name"), "n", "content")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def changed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(table_name, change) between two snapshots: added, removed or changed."""
+    b, a = before.select("table_name", F.struct("n", "content").alias("b")), after.select("table_name", F.struct("n", "content").alias("a"))
+    change = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when(F.col("a") != F.col("b"), "changed")
+    return b.join(a, "table_name", "full").select("table_name", change.alias("change")).where("change is not null")
+
+
 def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str, name: str) -> DataFrame:
     """(reference, key) of references that resolve to nothing."""
     c = child.where(F.col(key).isNotNull()).select(F.col(key).alias("k")).distinct()

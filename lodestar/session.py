@@ -26,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a local one only where that is unset, as in tests."""
+    """The shared folder of the cluster (spark.checkpoint.dir); a local one only where that is unset and Spark is local."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: tasks on a cluster need a folder that all of them share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-lodestar-")
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -36,7 +38,17 @@ def shared_root(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder; nothing is created yet."""
-    return f"{shared_root(spark).rstrip('/')}/lodestar/{label}-{uuid.uuid4().hex}"
+    return f"{_home(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _home(spark: SparkSession) -> str:
+    return f"{shared_root(spark).rstrip('/')}/lodestar/{spark.sparkContext.applicationId}"
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete what this application has written below the shared folder; results not yet saved elsewhere go with it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_home(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:

@@ -9,7 +9,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestar.operators import governance, matching, models, ranking, sampling, scoring, spatial, tables
+from lodestar.operators import compare, governance, matching, models, ranking, sampling, scoring, spatial, tables
 from lodestar.sources import layers, paged
 from lodestar.streaming import logs
 
@@ -226,3 +226,40 @@ def test_running_totals_in_ranges(spark):
         assert [t for _, t in mine] == list(range(1, 501))
     cut = ranking.capture(df.withColumn("s", F.floor("v")).withColumn("y", (F.col("v") > 80).cast("int")), "s", "y", "v", 0.25).first()
     assert (cut.taken, cut.hits) == (250, 199)
+
+
+def test_logistic_slope_and_added_information(spark):
+    """Against the same fits in numpy."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    a, b = rng.random(200), rng.random(200)
+    y = (rng.random(200) < 1 / (1 + np.exp(-(3 * a + 2 * b - 2.5)))).astype(int)
+    df = spark.createDataFrame([(float(i), float(j), int(k)) for i, j, k in zip(a, b, y)], "a double, b double, y int")
+
+    def fit(*cols):
+        x = np.column_stack([np.ones(200), *cols])
+        w = np.zeros(x.shape[1])
+        for _ in range(50):
+            mu = 1 / (1 + np.exp(-(x @ w)))
+            w = w + np.linalg.solve(x.T @ (x * (mu * (1 - mu))[:, None]), x.T @ (y - mu))
+        mu = 1 / (1 + np.exp(-(x @ w)))
+        return w, float((y * np.log(mu) + (1 - y) * np.log(1 - mu)).sum())
+
+    small, large = fit(a), fit(a, b)
+    ratio, coefficient, p = compare.added_information(df, "a", "b", "y")
+    assert ratio == pytest.approx(2 * (large[1] - small[1]), abs=1e-6) and coefficient == pytest.approx(large[0][2], abs=1e-6)
+    assert p == pytest.approx(math.erfc(math.sqrt(ratio / 2)) / 2)
+    prob = np.clip(a, 1e-4, 1 - 1e-4)
+    assert compare.calibration_slope(df, "a", "y") == pytest.approx(fit(np.log(prob / (1 - prob)))[0][1], abs=1e-6)
+    assert compare.calibration_slope(df.withColumn("a", F.lit(0.5)), "a", "y") is None
+    assert compare.added_information(df.withColumn("y", F.lit(1)), "a", "b", "y") is None
+
+
+def test_snapshots_tell_changes(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "k long, v string")
+    before = governance.snapshot({"t": a, "u": a, "w": a})
+    after = governance.snapshot({"t": a.orderBy("k", ascending=False), "u": a.withColumn("v", F.lit("z")), "n": a})
+    assert {r.table_name: r.change for r in governance.changed(before, after).collect()} == {"u": "changed", "w": "removed", "n": "added"}
