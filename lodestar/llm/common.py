@@ -46,6 +46,22 @@ def gathered(df: DataFrame, rows: int, per_task: int = 500_000) -> DataFrame:
     return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // per_task)))
 
 
+def join_hot(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", hot: int = 100_000) -> DataFrame:
+    """`big` joined (inner or left) to `small`, which has one row for a key; both are written tables.
+
+    A key of more than `hot` rows (and more than one in 10,000 of all) would fill one task of a shuffle. There are 10,000 such keys
+    at most, so their rows of `small` are sent to every task; all other keys meet by the shuffle.
+    """
+    least = max(hot, big.count() // 10_000)
+    sizes = big.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > least).select(*keys)
+    sizes = cut(sizes, "hot-keys")
+    if sizes.isEmpty():
+        return big.join(small, keys, how)
+    there = F.broadcast(sizes)
+    often = big.join(there, keys, "left_semi").join(F.broadcast(small.join(there, keys, "left_semi")), keys, how)
+    return often.unionByName(big.join(there, keys, "left_anti").join(small.join(there, keys, "left_anti"), keys, how))
+
+
 def strings(col: pa.Array, step: int = 64) -> Iterator[str | None]:
     """The values of a string column, few of them at a time in memory besides the column itself."""
     for at in range(0, len(col), step):

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import tasks_for, utf8_of
+from lodestar.llm.common import join_hot, tasks_for, utf8_of
 from lodestar.llm.storage import fresh, locate
 from lodestar.session import cut, prepare, scratch
 
@@ -184,6 +184,6 @@ def media_columns(docs: DataFrame) -> DataFrame:
     """Index, metadata and features of each row of `docs` (doc_id, text); digests as lower-case hex."""
     folder = scratch(docs.sparkSession, "media")
     index = write_shards(docs, folder)
-    known = payload_columns(cut(canonical(index), "media-addresses"), folder)
-    out = index.select("doc_id", "n_bytes", "digest").join(known, "digest").drop("digest")
+    known = cut(payload_columns(cut(canonical(index), "media-addresses"), folder), "media-known")
+    out = join_hot(index.select("doc_id", "n_bytes", "digest"), known, ["digest"]).drop("digest")
     return out.withColumns({c: F.lower(F.hex(c)) for c in ("payload_sha256", "media_sha256")}).withColumn("folder", F.lit(folder))

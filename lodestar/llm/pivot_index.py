@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import connected_components, forest, pairs_in_runs, runs, spread_lists
+from lodestar.llm.common import connected_components, forest, join_hot, pairs_in_runs, runs, spread_lists
 from lodestar.session import cut, prepare
 
 
@@ -190,8 +190,9 @@ def near_vectors(
     tree = connected_components(found.where("v is not null").select("u", "v"), "pivot-tree").withColumnRenamed("id", "cls")
     named = classes.select("cls", "h1", "h2", "members", "first_id").join(counts, "cls", "left").join(tree, "cls", "left")
     named = named.select("h1", "h2", "first_id", F.coalesce("root", "cls").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("members") - 1).alias("n_links"))
-    first = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_class = named.join(first, "root").select("h1", "h2", "n_links", "component_id")
-    out = ids.join(of_class, ["h1", "h2"], "left")
+    named = cut(named, "pivot-named")
+    first = cut(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "pivot-first")
+    of_class = cut(join_hot(named, first, ["root"]).select("h1", "h2", "n_links", "component_id"), "pivot-components")
+    out = join_hot(ids.where("h1 is not null"), of_class, ["h1", "h2"]).unionByName(ids.where("h1 is null"), allowMissingColumns=True)
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import connected_components, forest, gathered, nest, pairs_in_runs, runs, spread_lists, unnest, utf8_of
+from lodestar.llm.common import connected_components, forest, gathered, join_hot, nest, pairs_in_runs, runs, spread_lists, unnest, utf8_of
 from lodestar.session import cut, prepare
 
 TRIPLES = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
@@ -114,9 +114,10 @@ def simhash_groups(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFr
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
     tree = connected_components(linked(classes.select("fp"), max_bits), "simhash-links")
     named = classes.join(tree, classes.fp == tree.id, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    first = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_print = named.join(first, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    named = cut(named, "simhash-named")
+    first = cut(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-first")
+    of_print = cut(join_hot(named, first, ["root"]).select("fp", "component_id"), "simhash-components")
+    return join_hot(prints, of_print, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def shingles(text: bytes, words: int = 5) -> np.ndarray:
@@ -257,15 +258,15 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, bl
 
     exact = spread.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(verify, "u long, v long")
     tree = connected_components(exact, "wide-links")
-    named = classes.join(tree, classes.node == tree.id, "left").select("a", "b", F.coalesce("root", "node").alias("root"))
-    return prints.select("doc_id", "mark", "a", "b").join(named, ["a", "b"]).select("doc_id", "mark", "root")
+    named = cut(classes.join(tree, classes.node == tree.id, "left").select("a", "b", F.coalesce("root", "node").alias("root")), "wide-named")
+    return join_hot(prints.select("doc_id", "mark", "a", "b"), named, ["a", "b"]).select("doc_id", "mark", "root")
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) for each row of `docs`: groups linked at the similarity or more."""
     rows = cut(similar_classes(docs, words, similarity), "wide-groups")
-    first = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(first, "root").select("doc_id", "component_id")
+    first = cut(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "wide-first")
+    return join_hot(rows, first, ["root"]).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import nest, unnest
+from lodestar.llm.common import join_hot, nest, unnest
 from lodestar.session import cut
 
 WORDS = r"\S+"
@@ -84,7 +84,7 @@ def select_rows(docs: DataFrame, entropy: float = 0.95, repeats: float = 2.0, bu
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.col("tokens"))).otherwise(1).cast("int")
     plan = plan.withColumns({"whole": whole, "blocks": F.greatest(F.lit(1), F.ceil(F.col("rows") / F.lit(block))).cast("long")})
     plan = plan.select("src", "tokens", "weight", "quota", "whole", "blocks")
-    dealt = items.join(plan, "src").withColumn("block", F.pmod(F.xxhash64("key", F.lit(seed)), F.col("blocks")))
+    dealt = join_hot(items, plan, ["src"]).withColumn("block", F.pmod(F.xxhash64("key", F.lit(seed)), F.col("blocks")))
     epochs = dealt.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole"))))
     inside = Window.partitionBy("src", "epoch", "block").orderBy(F.xxhash64("key", "epoch", F.lit(seed + 1)), "key").rowsBetween(Window.unboundedPreceding, -1)
     placed = epochs.withColumn("before", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))

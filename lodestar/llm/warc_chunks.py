@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import tasks_for
+from lodestar.llm.common import join_hot, tasks_for
 from lodestar.llm.storage import fresh, locate
 from lodestar.session import cut, prepare, scratch
 
@@ -39,8 +39,9 @@ def plan(pages: DataFrame, least: int = 100) -> DataFrame:
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
     long = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(payload, 256).alias("digest"), F.length(payload).alias("n")).where(F.col("n") >= least)
+    long = cut(long.select("page_id", "digest"), "warc-digests")
     first = long.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null").drop("n")
-    later = long.join(first, "digest").where("page_id is null or page_id <> first_id").select(F.col("page_id").alias("__id"), F.col("digest").alias("__digest"), F.col("first_id").alias("refers_to")).distinct()
+    later = join_hot(long, cut(first, "warc-first"), ["digest"]).where("page_id is null or page_id <> first_id").select(F.col("page_id").alias("__id"), F.col("digest").alias("__digest"), F.col("first_id").alias("refers_to")).distinct()
     return rows.join(later, rows.page_id.eqNullSafe(later["__id"]) & (rows.digest == later["__digest"]), "left").drop("__id", "__digest")
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodestar.llm import bwt_dedup, media_shards, nbsvm, packing, pivot_index, rank_lang, simhash, temperature_mix, token_table, warc_chunks
-from lodestar.session import scratch
+from lodestar.llm.common import join_hot
+from lodestar.session import cut, scratch
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 
@@ -195,3 +196,11 @@ def test_vectors_with_null_ids_and_many_lengths(spark):
     got = sorted(((-1 if r.vec_id is None else r.vec_id, r.n_links, r.component_id) for r in pivot_index.near_vectors(df).collect()))
     want = sorted([(-1, 2, 0), (0, 2, 0), (1, 2, 0), (4, 0, 4)] + [(i, 1, i // 2 * 2) for i in range(2, 30)])
     assert got == want
+
+
+def test_hot_keys_are_joined_like_others(spark):
+    big = cut(spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 50).alias("k")), "big")
+    small = cut(spark.range(-1, 45).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")), "small")
+    for how in ("inner", "left"):
+        got = sorted(map(tuple, join_hot(big, small, ["k"], how, hot=100).select("id", "k", "v").na.fill(-99).collect()))
+        assert got == sorted(map(tuple, big.join(small, "k", how).select("id", "k", "v").na.fill(-99).collect()))
