@@ -204,3 +204,17 @@ def test_hot_keys_are_joined_like_others(spark):
     for how in ("inner", "left"):
         got = sorted(map(tuple, join_hot(big, small, ["k"], how, hot=100).select("id", "k", "v").na.fill(-99).collect()))
         assert got == sorted(map(tuple, big.join(small, "k", how).select("id", "k", "v").na.fill(-99).collect()))
+
+
+def test_ties_thresholds_and_few_labels(spark):
+    docs = spark.createDataFrame([(1, "aa bb", "xx"), (3, "aa bb", "ww"), (4, "aa", None)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in rank_lang.identify(docs).collect()} == {"ww"}  # equally far: the first by name
+    rows = [(i, ("good words " * (i % 5 + 1)) if i % 2 else ("xx " * 30), "s") for i in range(40)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")  # under five of a class: not divided
+    model = nbsvm.fit(texts, labels)
+    scored = nbsvm.score(texts, model).collect()
+    assert {r.predicted for r in scored if r.doc_id % 2} == {1} and {r.predicted for r in scored if r.doc_id % 2 == 0} == {0}
+    at = max(r.score for r in scored if r.doc_id % 2 == 0)
+    assert {r.predicted for r in nbsvm.score(texts, model, threshold=at).collect() if r.score == at} == {1}
+    assert nbsvm.fit(texts, labels.where("quality = 1"))["slope"] == 0.0
