@@ -33,7 +33,7 @@ def unnest(df: DataFrame, like: DataFrame, *own: str) -> DataFrame:
     return df.select(*(F.col(quoted(c)) if c in own else F.col("rest").getField(c).alias(c) for c in like.columns))
 
 
-def tasks_for(spark: SparkSession, size: int, items: int, per_task: int = 64 << 20) -> int:
+def tasks_for(spark: SparkSession, size: int, items: int, per_task: int = 16 << 20) -> int:
     """How many tasks read `items` files or ranges of `size` bytes in all: all cores if there is enough, `per_task` bytes each beyond.
 
     Given as a number to repartition(), which adaptive execution leaves alone: it would judge by the size of the paths.

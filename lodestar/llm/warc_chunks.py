@@ -195,7 +195,7 @@ def read_chunks(archives: DataFrame, chunk: int = 1 << 20, batch_bytes: int = 4
                     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=names)
 
     size, ranges = archives.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
-    tasks = tasks_for(archives.sparkSession, size, ranges, 32 << 20)
+    tasks = tasks_for(archives.sparkSession, size, ranges)
     return archives.select("archive", "offset", "bytes").repartition(tasks).mapInArrow(each, CHUNKS)
 
 
