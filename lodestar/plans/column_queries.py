@@ -184,10 +184,10 @@ def j6_file_number(spark, d):
     return table(spark, d, "part").select("p_partkey", tx.file_number(t).alias("file_num"), tx.sheet_of(t).alias("sheet"))
 
 
-@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'CUSTOMER' WHEN 1 THEN 'E & B' WHEN 2 THEN 'AMOK' ELSE 'UNKNOWN' END AS company FROM customer")
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'CUSTOMER' WHEN 1 THEN 'K & L' WHEN 2 THEN 'NORD' ELSE 'UNKNOWN' END AS company FROM customer")
 def j15_company_key(spark, d):
     k = F.col("c_custkey") % 4
-    name = F.when(k == 0, F.concat(F.lit("The Customer Co. Ltd, no. "), F.col("c_custkey").cast("string"))).when(k == 1, "E & B Explorations Inc").when(k == 2, "AMOK LTD-MOKTA CANADA LTD").otherwise("(tenure holder)")
+    name = F.when(k == 0, F.concat(F.lit("The Customer Co. Ltd, no. "), F.col("c_custkey").cast("string"))).when(k == 1, "K & L Surveys Inc").when(k == 2, "NORD LTD-SUED MINES LTD").otherwise("(tenure holder)")
     return table(spark, d, "customer").select("c_custkey", tx.company_key(name).alias("company"))
 
 
