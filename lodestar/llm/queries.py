@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import (
     bwt_dedup,
+    conversation_repair,
     media_shards,
     nbsvm,
     packing,
+    periodic_runs,
     pivot_index,
+    prefix_counts,
     rank_lang,
     simhash,
     temperature_mix,
@@ -83,6 +86,29 @@ def op10_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (split_of(F.col("doc_id")) == 2).alias("held_out"), "score", "predicted")
 
 
+def op11_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of all texts are written first; the counts and how a text stands to the limit are read from them."""
+    counts = prefix_counts.store(prefix_counts.prefix_counts(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")))
+    return prefix_counts.within_budget(counts, 2048)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation of the table, its rows damaged by their ids first; one that lost all rows has an empty repair."""
+    conversations = table(spark, sf_dir, "conversations")
+    plans = conversation_repair.plans(conversation_repair.faults(conversation_repair.damaged(conversations)))
+    every = conversations.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    joined = every.alias("e").join(plans.alias("p"), F.col("e.conv_id").eqNullSafe(F.col("p.conv_id")), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return joined.select(
+        "e.conv_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"),
+    )
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.summaries(table(spark, sf_dir, "documents"), plant=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pivot_index": op1_pivot_index,
@@ -95,6 +121,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_rank_lang": op9_rank_lang,
         "op10_nbsvm": op10_nbsvm,
+        "op11_prefix_counts": op11_prefix_counts,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
