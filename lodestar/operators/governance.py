@@ -47,16 +47,25 @@ def replace_prefix(old: DataFrame, key: str, prefix: str, new: DataFrame) -> Dat
 
 
 def snapshot(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, n, content): rows, and a sum of row hashes that no order of rows changes."""
+    """(table_name, n, content): rows, and a sum of row hashes that no order of rows changes.
+
+    A row is hashed over the hashes of its cells, an unknown cell over a mark that no hash is, so neither nulls nor separators can
+    make two rows alike.
+    """
     out = None
     for name, df in sorted(tables.items()):
-        row = F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in df.columns)).cast("binary"))
+        row = F.md5(F.concat_ws(",", *(F.coalesce(F.md5(F.col(f"`{c}`").cast("string").cast("binary")), F.lit("-")) for c in df.columns)).cast("binary"))
         content = F.sum(F.conv(F.substring(row, 1, 12), 16, 10).cast("decimal(38,0)")).cast("string")
         one = df.agg(F.count("*").alias("n"), content.alias("content")).select(F.lit(name).alias("table_name"), "n", "content")
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def verify(pinned: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, change) of the tables that are no longer what a pinned snapshot() says; no rows if all are."""
+    return changed(pinned, snapshot(tables))
+
+
 def changed(before: DataFrame, after: DataFrame) -> DataFrame:
     """(table_name, change) between two snapshots: added, removed or changed."""
     b, a = before.select("table_name", F.struct("n", "content").alias("b")), after.select("table_name", F.struct("n", "content").alias("a"))

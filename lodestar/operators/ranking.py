@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.session import cut
+
 
 def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     cond = F.lit(True)
@@ -66,8 +68,22 @@ def ranking_metrics(df: DataFrame, score: str, label: str, by: list[str] | None
     return t.groupBy(*by).agg(n.alias("n"), p.alias("positives"), F.when(both, ap).alias("average_precision"), F.when(both, roc).alias("roc_auc"))
 
 
+def places(df: DataFrame, order: str, name: str) -> DataFrame:
+    """`df` with its place from 1 in ascending order of a column of any type, nulls last; equal values in no set order.
+
+    Rows are dealt out by ranges of the value itself and written with the number of their range; a row's place is the rows of the
+    ranges before plus its place in its own, so no window holds all rows.
+    """
+    way = F.col(order).asc_nulls_last()
+    dealt = cut(df.repartitionByRange(way).withColumn("__part", F.spark_partition_id()), "places")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(way))
+    return dealt.withColumn("__in", inside).join(F.broadcast(sizes), "__part").select(*df.columns, (F.col("__before") + F.col("__in")).alias(name))
+
+
 def capture(df: DataFrame, score: str, label: str, tiebreak: str, share: float) -> DataFrame:
-    """Share of the positives among the best round(share * rows) rows; ties by a distinct `tiebreak`, ascending, nulls last.
+    """Share of the positives among the best round(share * rows) rows; ties by a distinct `tiebreak` of any type, ascending, nulls last.
 
     The cut falls at one score, found from the counts of the scores; only the rows of that score are ordered.
     """
@@ -75,11 +91,11 @@ def capture(df: DataFrame, score: str, label: str, tiebreak: str, share: float)
     rows = df.select(s.alias("s"), F.col(label).cast("long").alias("pos"), F.col(tiebreak).alias("tie"))
     at = running(rows.groupBy("s").agg(F.count("*").alias("n"), F.sum("pos").alias("pos")), "s", {"seen": "n", "hits": "pos"}, descending=True)
     total = rows.agg(F.count("*").alias("rows"), F.sum("pos").alias("p")).withColumn("k", F.round(F.col("rows") * share))
-    cut = at.crossJoin(F.broadcast(total)).where((F.col("seen") >= F.col("k")) & (F.col("seen") - F.col("n") < F.col("k")))
-    cut = cut.select("s", (F.col("seen") - F.col("n")).alias("above"), (F.col("hits") - F.col("pos")).alias("above_hits"), "k")
-    tied = rows.join(F.broadcast(cut), "s").withColumn("one", F.lit(1))
-    tied = running(tied, "tie", {"place": "one"}).where(F.col("above") + F.col("place") <= F.col("k")).agg(F.count("*").alias("n"), F.coalesce(F.sum("pos"), F.lit(0)).alias("hits"))
-    first = cut.agg(F.coalesce(F.max("above"), F.lit(0)).alias("above"), F.coalesce(F.max("above_hits"), F.lit(0)).alias("above_hits"))
+    limit = at.crossJoin(F.broadcast(total)).where((F.col("seen") >= F.col("k")) & (F.col("seen") - F.col("n") < F.col("k")))
+    limit = limit.select("s", (F.col("seen") - F.col("n")).alias("above"), (F.col("hits") - F.col("pos")).alias("above_hits"), "k")
+    tied = rows.join(F.broadcast(limit), "s")
+    tied = places(tied, "tie", "place").where(F.col("above") + F.col("place") <= F.col("k")).agg(F.count("*").alias("n"), F.coalesce(F.sum("pos"), F.lit(0)).alias("hits"))
+    first = limit.agg(F.coalesce(F.max("above"), F.lit(0)).alias("above"), F.coalesce(F.max("above_hits"), F.lit(0)).alias("above_hits"))
     hits = F.col("above_hits") + F.col("hits")
     return total.crossJoin(tied).crossJoin(first).select((F.col("above") + F.col("n")).alias("taken"), hits.alias("hits"), (hits.cast("double") / F.col("p")).alias("captured"))
 

@@ -320,19 +320,44 @@ def edge_distance(cells: DataFrame, ring: DataFrame) -> DataFrame:
     return far.join(odd, "cell_id", "left").select("cell_id", F.when(F.col("odd") == 1, F.col("far")).otherwise(-F.col("far")).alias("value"))
 
 
-def layer_pairs(cells: DataFrame, left: DataFrame, right: DataFrame, radius: float, least: int = 3) -> DataFrame:
-    """For each cell the state of two point layers within the radius and how near they come to one another.
+def nearest_pairs(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
+    """(cell_id, gap): the smallest distance between a left and a right point (cell_id, x, y) of the same cell, none of which exceeds `reach`.
 
-    A layer is known where it has `least` records, thin where it has fewer, absent where it has none; `gap` is the smallest
-    distance between a record of one and of the other, over the records within the radius.
+    Points of a cell meet in small square bins; bins double for the cells that have found no pair as near as a bin is wide.
     """
-    sides = {}
+    a, b = left.select("cell_id", F.col("x").alias("ax"), F.col("y").alias("ay")).distinct(), right.select("cell_id", F.col("x").alias("bx"), F.col("y").alias("by")).distinct()
+    a, b = cut(a, "left-points"), cut(b, "right-points")
+    todo = cut(a.select("cell_id").distinct().join(b.select("cell_id").distinct(), "cell_id", "left_semi"), "pair-cells")
+    size, found, around = reach / 32, None, F.sequence(F.lit(-1), F.lit(1))
+    while True:
+        here = a.join(todo, "cell_id", "left_semi").withColumn("__i", F.explode(F.transform(around, lambda k: _bin(F.col("ax"), size) + k)))
+        here = here.withColumn("__j", F.explode(F.transform(around, lambda k: _bin(F.col("ay"), size) + k)))
+        there = b.join(todo, "cell_id", "left_semi").withColumns({"__i": _bin(F.col("bx"), size), "__j": _bin(F.col("by"), size)})
+        d2 = F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2)
+        near = cut(here.join(there, ["cell_id", "__i", "__j"]).groupBy("cell_id").agg(F.sqrt(F.min(d2)).alias("gap")).where(F.col("gap") <= size), "nearest-pairs")
+        found = near if found is None else found.unionByName(near)
+        todo = cut(todo.join(near, "cell_id", "left_anti"), "pair-cells-left")
+        if size > reach or todo.isEmpty():
+            return found
+        size *= 2
+
+
+def layer_pairs(cells: DataFrame, left: DataFrame, right: DataFrame, radius: float, least: int = 3, footprint: float | None = None) -> DataFrame:
+    """For each cell the state of two point layers within the radius and how near they come to one another there.
+
+    A layer is known where it has `least` records, thin where it has fewer, absent where it has none. The pair is known where both have
+    records; else absent if every side without one covers the cell (has a record within `footprint`, twice the radius if not given), and unknown if
+    one does not. `gap` is the smallest distance between a record of one and of the other, both within the radius.
+    """
+    place = cells.select("cell_id", "cx", "cy")
+    near, out = {}, cells.select("cell_id")
     for name, layer in (("a", left), ("b", right)):
-        sides[name] = radius_join(cells.select("cell_id", "cx", "cy"), layer.select("id", "x", "y"), radius).select("cell_id", F.col("x").alias(f"{name}x"), F.col("y").alias(f"{name}y"))
-    state = lambda n: F.when(n >= least, "known").when(n > 0, "thin").otherwise("absent")
-    counts = {k: v.groupBy("cell_id").agg(F.count("*").alias(f"n_{k}")) for k, v in sides.items()}
-    nearest = knn_join(sides["a"].select("ax", "ay").distinct().select(F.concat_ws("_", "ax", "ay").alias("cell_id"), F.col("ax").alias("cx"), F.col("ay").alias("cy")), right.select("id", "x", "y"), 1, radius)
-    near = nearest.select(F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.sqrt("d2").alias("gap"))
-    gap = sides["a"].join(near, ["ax", "ay"]).groupBy("cell_id").agg(F.min("gap").alias("gap"))
-    out = cells.select("cell_id").join(counts["a"], "cell_id", "left").join(counts["b"], "cell_id", "left").join(gap, "cell_id", "left").na.fill(0, ["n_a", "n_b"])
-    return out.select("cell_id", state(F.col("n_a")).alias("state_a"), state(F.col("n_b")).alias("state_b"), F.when((F.col("n_a") > 0) & (F.col("n_b") > 0), F.col("gap")).alias("gap"))
+        points = layer.select("id", "x", "y")
+        near[name] = radius_join(place, points, radius).select("cell_id", "x", "y")
+        covers = radius_join(place, points, footprint or 2 * radius).select("cell_id").distinct().withColumn(f"in_{name}", F.lit(True))
+        out = out.join(near[name].groupBy("cell_id").agg(F.count("*").alias(f"n_{name}")), "cell_id", "left").join(covers, "cell_id", "left")
+    out = out.join(nearest_pairs(near["a"], near["b"], 2 * radius), "cell_id", "left").na.fill(0, ["n_a", "n_b"]).na.fill(False, ["in_a", "in_b"])
+    side = lambda n: F.when(n >= least, "known").when(n > 0, "thin").otherwise("absent")
+    blank = ((F.col("n_a") == 0) & ~F.col("in_a")) | ((F.col("n_b") == 0) & ~F.col("in_b"))
+    state = F.when((F.col("n_a") > 0) & (F.col("n_b") > 0), "known").when(blank, "unknown").otherwise("absent")
+    return out.select("cell_id", side(F.col("n_a")).alias("state_a"), side(F.col("n_b")).alias("state_b"), state.alias("state"), "gap")

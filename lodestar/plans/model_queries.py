@@ -108,7 +108,7 @@ def a16_replace_prefix(spark, d):
     return governance.replace_prefix(old, "p_brand", "Brand#1", spark.createDataFrame([("Brand#1/new", 0, "Brand#1")], old.schema)).drop("p_brand")
 
 
-SNAP = "count(*) AS n, sum(CAST(CAST('0x' || substr(md5(CAST({0} AS VARCHAR) || '|' || {1}), 1, 12) AS UBIGINT) AS BIGINT)) AS content"
+SNAP = "count(*) AS n, sum(CAST(CAST('0x' || substr(md5(coalesce(md5(CAST({0} AS VARCHAR)), '-') || ',' || coalesce(md5(CAST({1} AS VARCHAR)), '-')), 1, 12) AS UBIGINT) AS BIGINT)) AS content"
 
 
 @query(f"SELECT 'customer' AS table_name, n, CAST(content AS VARCHAR) AS content FROM (SELECT {SNAP.format('c_custkey', 'c_name')} FROM customer) UNION ALL SELECT 'supplier', n, CAST(content AS VARCHAR) FROM (SELECT {SNAP.format('s_suppkey', 's_name')} FROM supplier)")
@@ -118,6 +118,17 @@ def o3_snapshot(spark, d):
     return governance.snapshot({"customer": t["customer"].select("c_custkey", "c_name"), "supplier": t["supplier"].select("s_suppkey", "s_name")})
 
 
+@query(f"""WITH s AS (SELECT 'customer' AS t, {SNAP.format('c_custkey', 'c_mktsegment')} FROM customer), w AS (SELECT {SNAP.format('c_custkey', "CASE WHEN c_custkey % 100 = 7 THEN NULL ELSE c_mktsegment END")} FROM customer)
+SELECT t AS table_name, 'changed' AS change FROM s WHERE n <> (SELECT n FROM w) OR content <> (SELECT content FROM w) UNION ALL SELECT 'supplier', 'removed' UNION ALL SELECT 'nation', 'added'""")
+def o3_verify(spark, d):
+    """Against a pinned snapshot: one table has lost cells, one is gone, one is new, one is as it was."""
+    t = {n: table(spark, d, n) for n in ("customer", "supplier", "nation", "region")}
+    segments = t["customer"].select("c_custkey", "c_mktsegment")
+    pinned = governance.snapshot({"customer": segments, "supplier": t["supplier"], "region": t["region"]})
+    lost = segments.withColumn("c_mktsegment", F.when(F.col("c_custkey") % 100 != 7, F.col("c_mktsegment")))
+    return governance.verify(pinned, {"customer": lost, "nation": t["nation"], "region": t["region"]})
+
+
 @query(BM.replace("2.5 / (tf + 1.5 *", "2.2 / (tf + 1.2 *").replace("least(qf, 3)", "qf"))
 def m3_bm25_repeats(spark, d):
     """The second scoring: k1 1.2, and a query term counts as often as it is repeated."""

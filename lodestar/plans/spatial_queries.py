@@ -299,9 +299,11 @@ def d19_edge_distance(spark: SparkSession, d: str) -> DataFrame:
     return spatial.edge_distance(cells(spark), ring).withColumn("value", F.round("value", 6))
 
 
-@query(f"""{CTE}, n AS (SELECT cell_id, count(*) FILTER (WHERE label = 1) AS na, count(*) FILTER (WHERE label = 2) AS nb FROM near GROUP BY cell_id), w AS (SELECT a.x, a.y, sqrt(min((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS gap FROM p a, p b WHERE a.label = 1 AND b.label = 2 GROUP BY a.x, a.y),
-g AS (SELECT cell_id, min(gap) AS gap FROM near JOIN w USING (x, y) WHERE label = 1 GROUP BY cell_id), k AS (SELECT c.cell_id, coalesce(na, 0) AS na, coalesce(nb, 0) AS nb, gap FROM c LEFT JOIN n USING (cell_id) LEFT JOIN g USING (cell_id))
-SELECT cell_id, CASE WHEN na >= 3 THEN 'known' WHEN na > 0 THEN 'thin' ELSE 'absent' END AS state_a, CASE WHEN nb >= 3 THEN 'known' WHEN nb > 0 THEN 'thin' ELSE 'absent' END AS state_b, round(CASE WHEN na > 0 AND nb > 0 THEN gap END, 6) AS gap FROM k""")
+@query(f"""{CTE}, n AS (SELECT cell_id, count(*) FILTER (WHERE label = 1) AS na, count(*) FILTER (WHERE label = 2) AS nb FROM near GROUP BY cell_id), f AS (SELECT cell_id, bool_or(label = 1) AS ia, bool_or(label = 2) AS ib FROM j WHERE d2 <= {4 * R * R} GROUP BY cell_id),
+g AS (SELECT a.cell_id, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS gap FROM near a JOIN near b USING (cell_id) WHERE a.label = 1 AND b.label = 2 GROUP BY a.cell_id),
+k AS (SELECT c.cell_id, coalesce(na, 0) AS na, coalesce(nb, 0) AS nb, coalesce(ia, false) AS ia, coalesce(ib, false) AS ib, gap FROM c LEFT JOIN n USING (cell_id) LEFT JOIN f USING (cell_id) LEFT JOIN g USING (cell_id))
+SELECT cell_id, CASE WHEN na >= 3 THEN 'known' WHEN na > 0 THEN 'thin' ELSE 'absent' END AS state_a, CASE WHEN nb >= 3 THEN 'known' WHEN nb > 0 THEN 'thin' ELSE 'absent' END AS state_b,
+CASE WHEN na > 0 AND nb > 0 THEN 'known' WHEN (na = 0 AND NOT ia) OR (nb = 0 AND NOT ib) THEN 'unknown' ELSE 'absent' END AS state, round(gap, 6) AS gap FROM k""")
 def d33_layer_pairs(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d)
     out = spatial.layer_pairs(cells(spark), p.where("label = 1"), p.where("label = 2"), R)

@@ -263,3 +263,28 @@ def test_snapshots_tell_changes(spark):
     before = governance.snapshot({"t": a, "u": a, "w": a})
     after = governance.snapshot({"t": a.orderBy("k", ascending=False), "u": a.withColumn("v", F.lit("z")), "n": a})
     assert {r.table_name: r.change for r in governance.changed(before, after).collect()} == {"u": "changed", "w": "removed", "n": "added"}
+
+
+def test_capture_takes_a_tiebreak_of_any_type(spark):
+    rows = [("0002_0001", 5.0, 1), ("0001_0001", 5.0, 0), ("0001_0002", 5.0, 1), (None, 5.0, 1), ("0009_0009", 9.0, 0), ("0000_0000", 1.0, 1)]
+    df = spark.createDataFrame(rows, "cell string, s double, y int")
+    assert tuple(ranking.capture(df, "s", "y", "cell", 0.5).first()) == (3, 1, 0.25)
+    assert tuple(ranking.capture(df, "s", "y", "cell", 0.67).first()) == (4, 2, 0.5)
+    many = spark.range(5000).select(F.format_string("%05d", F.col("id")).alias("cell"), F.lit(1.0).alias("s"), (F.col("id") < 700).cast("int").alias("y"))
+    assert tuple(ranking.capture(many, "s", "y", "cell", 0.1).first()) == (500, 500, 500 / 700)
+    assert [r.p for r in ranking.places(many, "cell", "p").orderBy("cell").collect()] == list(range(1, 5001))
+
+
+def test_snapshots_tell_nulls_and_separators_apart(spark):
+    of = lambda *rows: {"t": spark.createDataFrame(rows, "a string, b string")}
+    for one, two in ((("a", None), (None, "a")), (("a|b", "c"), ("a", "b|c")), (("-", "x"), (None, "x"))):
+        assert [tuple(r) for r in governance.verify(governance.snapshot(of(one)), of(two)).collect()] == [("t", "changed")]
+    assert governance.verify(governance.snapshot(of(("a", None), ("b", "c"))), of(("b", "c"), ("a", None))).count() == 0
+
+
+def test_layer_pairs_stay_within_the_radius(spark):
+    cells = spark.createDataFrame([("a", 0.0, 0.0), ("b", 100.0, 0.0), ("c", 15.0, 0.0), ("d", 300.0, 0.0)], "cell_id string, cx double, cy double")
+    left = spark.createDataFrame([(1, 9.0, 0.0), (2, 101.0, 0.0), (5, 301.0, 0.0)], "id long, x double, y double")
+    right = spark.createDataFrame([(3, -9.0, 0.0), (4, 11.0, 0.0), (6, 318.0, 0.0)], "id long, x double, y double")
+    got = {r.cell_id: (r.state, r.gap) for r in spatial.layer_pairs(cells, left, right, 10.0).collect()}
+    assert got == {"a": ("known", 18.0), "b": ("unknown", None), "c": ("known", 2.0), "d": ("absent", None)}
