@@ -1,9 +1,9 @@
 """Where a value or a row of text stands among the words that a second reader found on a page.
 
 Words are (pool, no, text, line, x0, y0, x1, y1): a pool is a page, or one row of it, `no` the order in it; boxes are shares of the
-page. Values are (value_id, pool, value). A value's candidates are spans of up to six words of its own pool, and they are found through indexes:
-equality of the letters, of the letters once look-alikes are folded, of the start or end of a word, and for the rest pieces of
-the value, of which every span that is alike enough has one at nearly the same place. No value meets all spans of its page.
+page. Values are (value_id, pool, value). A value's candidates are spans of up to six words of its own pool, found by its letters: the page's
+letters are one string with the offsets of its words, in which the value, or for likeness pieces of it, are looked up in an index. So a value
+meets neither other pages nor all spans of its own; the spans found are ranked by Spark. A group is one page with the values asked of it.
 
 Only the second reader's words are folded, never the value. A page without words, a value without letters and a null value are not located.
 """
@@ -11,11 +11,15 @@ Only the second reader's words are folded, never the value. A page without words
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lodestar.session import cut, prepare
 
@@ -26,7 +30,6 @@ FOLD = {
 }
 EXACT, SEPARATORS, FOLDED, MERGED, LEAST, ROW_LEAST = 100.0, 99.0, 98.0, 90.0, 82.0, 40.0
 WIDEST, TALLEST, APART, PAD, LONGEST = 0.60, 0.03, 0.012, 0.003, 6
-KEY, LONG = 8, 64  # letters of a key at most; letters of a long value
 
 _ONE = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(128, 0x10000) if not 0xD800 <= c < 0xE000}
 _ONE = {c: k for c, k in _ONE.items() if k != c and len(k) == 1}
@@ -73,22 +76,6 @@ def digit_agreement(value: Column, read: Column) -> Column:
     return F.when(want == "", "na").when(got == "", "mismatch").when(F.contains(got, want), "exact").when((folded != "") & F.contains(folded, want), "confusable").otherwise("mismatch")
 
 
-def spans(words: DataFrame) -> DataFrame:
-    """(pool, first, size, text, lines, box) of every run of one to six words that stays on a line or on lines that nearly touch."""
-    seen = words.where(F.trim(F.coalesce("text", F.lit(""))) != "")
-    ahead = Window.partitionBy("pool").orderBy("no").rowsBetween(0, LONGEST - 1)
-    word = F.struct("text", "line", "x0", "y0", "x1", "y1")
-    runs = seen.select("pool", F.col("no").alias("first"), F.collect_list(word).over(ahead).alias("w"))
-    runs = runs.withColumn("size", F.explode(F.sequence(F.lit(1), F.size("w")))).withColumn("w", F.slice("w", 1, F.col("size")))
-    of = lambda f: F.transform("w", f)
-    middle = of(lambda w: (w.y0 + w.y1) / 2)
-    lines = F.array_sort(F.array_distinct(of(lambda w: w.line)))
-    near = (F.size(lines) < 2) | (F.array_max(middle) - F.array_min(middle) <= APART)
-    box = F.struct(F.array_min(of(lambda w: w.x0)).alias("x0"), F.array_min(of(lambda w: w.y0)).alias("y0"), F.array_max(of(lambda w: w.x1)).alias("x1"), F.array_max(of(lambda w: w.y1)).alias("y1"))
-    centre = F.aggregate(of(lambda w: (w.x0 + w.x1) / 2), F.lit(0.0), lambda a, x: a + x) / F.col("size")
-    return runs.where(near).select("pool", "first", "size", F.array_join(of(lambda w: w.text), " ").alias("text"), lines.alias("lines"), box.alias("box"), centre.alias("centre"))
-
-
 def padded(box: Column) -> Column:
     low, high = (lambda c: F.round(F.greatest(F.lit(0.0), c - PAD), 5)), (lambda c: F.round(F.least(F.lit(1.0), c + PAD), 5))
     return F.struct(low(box.x0).alias("x0"), low(box.y0).alias("y0"), high(box.x1).alias("x1"), high(box.y1).alias("y1"))
@@ -109,8 +96,6 @@ def common_letters(a: str, b: str) -> int:
 def likeness(pairs: DataFrame, left: str, right: list[str]) -> DataFrame:
     """`pairs` with `score`: 100 times twice the common letters over all letters, the best of the right columns."""
     prepare(pairs.sparkSession)
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
     schema = StructType([*pairs.schema.fields, StructField("score", DoubleType())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,69 +107,154 @@ def likeness(pairs: DataFrame, left: str, right: list[str]) -> DataFrame:
     return pairs.mapInArrow(each, schema)
 
 
-def _pieces(c: Column, size: Column) -> Column:
-    """The value cut in one piece more than the letters that may differ: a span that is alike enough has one of them whole."""
-    parts = F.floor(size * 0.44).cast("int") + 1
-    start = lambda k: F.floor(k * size / parts).cast("int")
-    return F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.substring(c, start(k) + 1, start(k + 1) - start(k)).alias("gram"), start(k).alias("at")))
-
-
-def _grams(c: Column) -> Column:
-    """Every string of one to three letters and its place."""
-
-    def of(n: int) -> Column:
-        all_ = F.transform(F.sequence(F.lit(0), F.length(c) - n), lambda k: F.struct(F.substring(c, k + 1, F.lit(n)).alias("gram"), k.alias("at")))
-        return F.when(F.length(c) >= n, all_).otherwise(F.array().cast("array<struct<gram:string,at:int>>"))
-
-    return F.flatten(F.array(of(1), of(2), of(3)))
-
-
-def keyed_spans(words: DataFrame) -> DataFrame:
-    """spans() with the forms that values are compared with, written once."""
+FOUND = (
+    "value_id {id}, pool {pool}, first {no}, size int, score double, method string, text string, lines array<{line}>,"
+    " box struct<x0 double, y0 double, x1 double, y1 double>, centre double"
+)
+
+
+def _starts(offsets: list[int], low: float, high: float) -> range:
+    """Words that start at an offset from `low` to `high`."""
+    return range(bisect_left(offsets, low), bisect_right(offsets, high))
+
+
+def _occurrences(text: str, part: str) -> Iterator[int]:
+    at = text.find(part)
+    while at >= 0:
+        yield at
+        at = text.find(part, at + 1)
+
+
+class _Page:
+    """The words of one pool as three strings of letters, each with the offset at which every word starts, and an index of short strings."""
+
+    def __init__(self, columns: dict[str, list]):
+        self.c, self.n = columns, len(columns["no"])
+        self.text, self.at, self.grams = {}, {}, {}
+        for form in ("ws", "wb", "wf"):
+            self.text[form] = "".join(columns[form])
+            self.at[form] = [0, *accumulate(map(len, columns[form]))]
+
+    def allowed(self, i: int, size: int) -> bool:
+        """Words on one line, or on lines that nearly touch."""
+        if size < 1 or size > LONGEST or i + size > self.n:
+            return False
+        span = slice(i, i + size)
+        middle = [(a + b) / 2 for a, b in zip(self.c["y0"][span], self.c["y1"][span], strict=True)]
+        return len(set(self.c["line"][span])) < 2 or max(middle) - min(middle) <= APART
+
+    def equal(self, form: str, value: str) -> Iterator[tuple[int, int]]:
+        """Runs of words whose letters are the value's."""
+        offsets = self.at[form]
+        for at in _occurrences(self.text[form], value):
+            for i in _starts(offsets[:-1], at, at):
+                for size in range(1, LONGEST + 1):
+                    if i + size <= self.n and offsets[i + size] == at + len(value) and self.allowed(i, size):
+                        yield i, size
+
+    def ends(self, value: str) -> Iterator[tuple[int, int]]:
+        """Single words that start or end with the value."""
+        for form in ("wb", "wf"):
+            offsets = self.at[form]
+            for at in _occurrences(self.text[form], value):
+                i = bisect_right(offsets, at) - 1
+                whole = offsets[i + 1] - offsets[i]
+                if len(value) < whole and at + len(value) <= offsets[i + 1] and (at == offsets[i] or at + len(value) == offsets[i + 1]):
+                    yield i, 1
+
+    def places(self, form: str, gram: str) -> list[int]:
+        key = form, len(gram)
+        if key not in self.grams:
+            index: dict[str, list[int]] = {}
+            text = self.text[form]
+            for k in range(len(text) - len(gram) + 1):
+                index.setdefault(text[k : k + len(gram)], []).append(k)
+            self.grams[key] = index
+        return self.grams[key].get(gram, [])
+
+    def alike(self, value: str) -> set[tuple[int, int]]:
+        """Runs of words that may be like the value: they hold a piece of it at nearly its place, and are nearly as long.
+
+        Of a score of 82 follows that 18 % of all letters differ at most, so 44 % of the value's: of one piece more than these, one is whole.
+        """
+        n, out = len(value), set()
+        parts = int(n * 0.44) + 1
+        for form in ("wb", "wf"):
+            offsets, seen = self.at[form], set()
+            for k in range(parts):
+                start = k * n // parts
+                for at in self.places(form, value[start : (k + 1) * n // parts]):
+                    seen.update(_starts(offsets[:-1], at - start - 0.44 * n, at - start + 0.44 * n) if len(seen) < self.n else ())
+            for i in seen:
+                for size in range(1, min(LONGEST, self.n - i) + 1):
+                    a = offsets[i + size] - offsets[i]
+                    if abs(a - n) <= 0.18 * (a + n) and self.allowed(i, size):
+                        out.add((i, size))
+        return out
+
+    def score(self, value: str, i: int, size: int) -> float:
+        best = 0.0
+        for form in ("wb", "wf"):
+            got = self.text[form][self.at[form][i] : self.at[form][i + size]]
+            if got:
+                best = max(best, 200.0 * common_letters(value, got) / (len(value) + len(got)))
+        return best
+
+    def row(self, i: int, size: int) -> tuple:
+        span = slice(i, i + size)
+        c = {k: self.c[k][span] for k in ("text", "line", "x0", "y0", "x1", "y1")}
+        box = {"x0": min(c["x0"]), "y0": min(c["y0"]), "x1": max(c["x1"]), "y1": max(c["y1"])}
+        centre = sum((a + b) / 2 for a, b in zip(c["x0"], c["x1"], strict=True)) / size
+        return self.c["no"][i], size, " ".join(c["text"]), sorted(set(c["line"])), box, centre
+
+
+def _spans_of(page: _Page, squashed: str, letters: str) -> dict[tuple[int, int], tuple[float, str]]:
+    """Every run of words that is the value, with its score: the kinds of match in their order, and likeness where none is equal."""
+    found: dict[tuple[int, int], tuple[float, str]] = {}
+    for at in page.equal("ws", squashed):
+        found[at] = (EXACT, "exact")
+    if letters:
+        for at in page.equal("wb", letters):
+            found.setdefault(at, (SEPARATORS, "exact"))
+        for at in page.equal("wf", letters):
+            found.setdefault(at, (FOLDED, "fuzzy"))
+        if len(letters) > 1:
+            for at in page.ends(letters):
+                found.setdefault(at, (MERGED, "fuzzy"))
+        if not any(score == EXACT for score, _ in found.values()):
+            for at in page.alike(letters) - found.keys():
+                score = page.score(letters, *at)
+                if score >= LEAST:
+                    found[at] = (score, "fuzzy")
+    return found
+
+
+def candidates(words: DataFrame, values: DataFrame) -> DataFrame:
+    """(value_id, pool, first, size, score, method, text, lines, box, centre): every span that is its value by a score of 82 at least.
+
+    A page's words and the values asked of it meet in one group, which is as large as the page: runs of words are not made, but
+    found at the places of the value's letters in the page's.
+    """
+    prepare(words.sparkSession)
+    asked = values.where(F.col("value").isNotNull()).select("value_id", "pool", squash(F.col("value")).alias("vs"), bare(F.col("value")).alias("vb")).where("vs <> ''")
+    seen = words.where(F.trim(F.coalesce("text", F.lit(""))) != "").join(asked.select("pool").distinct(), "pool", "left_semi")
     text = F.col("text")
-    return cut(spans(words).withColumns({"ss": squash(text), "sb": bare(text), "sf": foldbare(text)}), "spans")
+    seen = seen.select("pool", "no", "text", "line", "x0", "y0", "x1", "y1", squash(text).alias("ws"), bare(text).alias("wb"), foldbare(text).alias("wf"))
+    kind = lambda c, df=seen: df.schema[c].dataType.simpleString()
+    schema = FOUND.format(id=kind("value_id", asked), pool=kind("pool"), no=kind("no"), line=kind("line"))
+    names, own = ["value_id", "pool", "first", "size", "score", "method", "text", "lines", "box", "centre"], to_arrow_schema(StructType.fromDDL(schema))
 
+    def one(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        if left.num_rows and right.num_rows:
+            page = _Page(left.sort_by("no").to_pydict())
+            for vid, squashed, letters in zip(*(right.column(c).to_pylist() for c in ("value_id", "vs", "vb")), strict=True):
+                for (i, size), (score, method) in _spans_of(page, squashed, letters).items():
+                    first, n, told, lines, box, centre = page.row(i, size)
+                    rows.append((vid, key[0].as_py(), first, n, score, method, told, lines, box, centre))
+        return pa.table([pa.array([r[k] for r in rows], own.field(n).type) for k, n in enumerate(names)], schema=own)
 
-def candidates(keyed: DataFrame, values: DataFrame) -> DataFrame:
-    """(value_id, first, size, score, method) of every span of keyed_spans() that is its value by a score of 82 at least."""
-    asked = values.where(F.col("value").isNotNull()).select("value_id", "pool", squash(F.col("value")).alias("vs"), bare(F.col("value")).alias("vb")).where("vs <> ''")
-    asked = cut(asked, "asked-values")
-    row = ["value_id", "first", "size"]
-
-    def kind(found: DataFrame, score: float, method: str) -> DataFrame:
-        return found.select(*row, F.lit(score).alias("score"), F.lit(method).alias("method"))
-
-    lettered = asked.where("vb <> ''")
-    out = kind(keyed.join(asked, (keyed.pool == asked.pool) & (keyed.ss == asked.vs)), EXACT, "exact")
-    out = out.unionByName(kind(keyed.join(lettered, (keyed.pool == lettered.pool) & (keyed.sb == lettered.vb)), SEPARATORS, "exact"))
-    out = out.unionByName(kind(keyed.join(lettered, (keyed.pool == lettered.pool) & (keyed.sf == lettered.vb)), FOLDED, "fuzzy"))
-    # A word that the reader has run together with another: the value is its start or its end. Up to eight letters are the key, all are tested.
-    ends = keyed.where("size = 1").withColumn("form", F.explode(F.array_distinct(F.array("sb", "sf")))).where(F.length("form") > 2)
-    lengths = F.sequence(F.lit(2), F.least(F.lit(KEY), F.length("form") - 1))
-    tips = F.flatten(F.transform(lengths, lambda n: F.array(F.concat(F.lit("<"), F.substring(F.col("form"), F.lit(1), n)), F.concat(F.lit(">"), F.substring(F.col("form"), -n, n)))))
-    own = F.least(F.lit(KEY), F.length("vb"))
-    keys = F.array(F.concat(F.lit("<"), F.substring(F.col("vb"), F.lit(1), own)), F.concat(F.lit(">"), F.substring(F.col("vb"), -own, own)))
-    asks = lettered.where(F.length("vb") >= 2).select("value_id", "pool", "vb", F.explode(keys).alias("tip"))
-    merged = ends.select("pool", "first", "size", "form", F.explode(tips).alias("tip")).join(asks, ["pool", "tip"])
-    merged = merged.where((F.length("form") > F.length("vb")) & F.when(F.col("tip").startswith("<"), F.startswith("form", "vb")).otherwise(F.endswith("form", "vb")))
-    out = out.unionByName(kind(merged, MERGED, "fuzzy"))
-    # Values without an exact span may be like one. Score s >= 82 leaves 18 % of all letters to differ, and so at most 44 % of the value's.
-    whole = cut(out.groupBy(*row).agg(F.max_by("method", "score").alias("method"), F.max("score").alias("score")), "equal-spans")
-    open_ = lettered.join(whole.where(F.col("score") == EXACT).select("value_id").distinct(), "value_id", "left_anti")
-    size = F.length("vb")
-    pieces = open_.where(size <= LONG).withColumn("p", F.explode(_pieces(F.col("vb"), size))).select("value_id", "pool", "vb", F.col("p.gram").alias("gram"), F.col("p.at").alias("at"))
-    reading = keyed.join(open_.select("pool").distinct(), "pool", "left_semi").withColumn("form", F.explode(F.array_distinct(F.array("sb", "sf")))).where("form <> ''")
-    grams = reading.where(F.length("form") <= 1.5 * LONG).withColumn("g", F.explode(_grams(F.col("form")))).select("pool", "first", "size", "form", F.col("g.gram").alias("gram"), F.col("g.at").alias("place"))
-    a, b = F.length("vb"), F.length("form")
-    sized = F.abs(a - b) <= 0.18 * (a + b)
-    pairs = pieces.join(grams, ["pool", "gram"]).where(sized & (F.abs(F.col("at") - F.col("place")) <= 0.18 * (a + b))).select(*row, "vb", "form")
-    # Few spans of a page are as long as a long value: their lengths are index enough.
-    far = reading.where(F.length("form") > 0.69 * LONG).select("pool", "first", "size", "form").join(open_.where(size > LONG), "pool").where(sized)
-    pairs = pairs.unionByName(far.select(*row, "vb", "form")).distinct()
-    fuzzy = likeness(pairs, "vb", ["form"]).where(F.col("score") >= LEAST).select(*row, "score", F.lit("fuzzy").alias("method"))
-    # The kinds of match are told in their order; a span that is none of them has its likeness.
-    kinds = fuzzy.groupBy(*row).agg(F.max("score").alias("score"), F.first("method").alias("method")).join(whole, row, "left_anti")
-    return whole.unionByName(kinds)
+    return seen.groupBy("pool").cogroup(asked.groupBy("pool")).applyInArrow(one, schema)
 
 
 def locate_values(words: DataFrame, values: DataFrame, columns: DataFrame | None = None, many_lines: bool = False) -> DataFrame:
@@ -194,8 +264,7 @@ def locate_values(words: DataFrame, values: DataFrame, columns: DataFrame | None
     one, then the fewest words, then the first. Another span that is as good in all three makes it ambiguous. A box of most of the page's
     width, or across lines and tall, is no cell: it is refused with a note. A value that is not found has method none and score 0.
     """
-    keyed = keyed_spans(words)
-    found = candidates(keyed, values).join(values.select("value_id", "pool"), "value_id").join(keyed, ["pool", "first", "size"])
+    found = candidates(words, values).drop("pool")
     if columns is None:
         found = found.withColumn("off", F.lit(0.0))
     else:
@@ -232,6 +301,39 @@ def rivals(words: DataFrame, values: DataFrame) -> DataFrame:
     return found.groupBy("value_id").agg(F.max_by(F.struct("no", "text", "score"), F.struct("score", -F.col("no"))).alias("b")).select("value_id", "b.*")
 
 
+def _lines_met(words: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(row_id, pool, line) of the lines with a word that holds a word of the quote, or (of two letters at least) is held by one.
+
+    Tokens are (row_id, pool, t). Words of a page are one string, in which a token is looked for; its own parts are looked up among the words.
+    """
+    prepare(words.sparkSession)
+    kind = lambda c, df: df.schema[c].dataType.simpleString()
+    schema = f"row_id {kind('row_id', tokens)}, pool {kind('pool', words)}, line {kind('line', words)}"
+    own = to_arrow_schema(StructType.fromDDL(schema))
+
+    def one(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        met = set()
+        if left.num_rows and right.num_rows:
+            line, wb, wf = (left.column(c).to_pylist() for c in ("line", "wb", "wf"))
+            known: dict[str, set] = {}
+            for w, x in zip(wb, line, strict=True):
+                known.setdefault(w, set()).add(x)
+            strings = []
+            for form in (wb, wf):
+                strings.append(("\n".join(form), [0, *accumulate(len(w) + 1 for w in form)]))
+            lines_of: dict[str, set] = {}
+            for row, t in zip(right.column("row_id").to_pylist(), right.column("t").to_pylist(), strict=True):
+                if t not in lines_of:
+                    found = {line[bisect_right(offsets, at) - 1] for text, offsets in strings for at in _occurrences(text, t)}
+                    parts = {t[a:b] for a in range(len(t)) for b in range(a + 2, len(t) + 1)} if len(t) * len(t) < 2 * len(known) + 200 else {w for w in known if len(w) > 1 and w in t}
+                    lines_of[t] = found.union(*(known[p] for p in parts if p in known))
+                met |= {(row, x) for x in lines_of[t]}
+        return pa.table([pa.array([r for r, _ in met], own.field(0).type), pa.array([key[0].as_py()] * len(met), own.field(1).type), pa.array([x for _, x in met], own.field(2).type)], schema=own)
+
+    asked = words.join(tokens.select("pool").distinct(), "pool", "left_semi").where("wb <> ''").select("pool", "line", "wb", "wf")
+    return asked.groupBy("pool").cogroup(tokens.groupBy("pool")).applyInArrow(one, schema)
+
+
 def locate_rows(words: DataFrame, quotes: DataFrame) -> DataFrame:
     """(row_id, score, method, lines, words, box, ambiguous): the printed line, or two lines in a row, that explains a quoted row best.
 
@@ -244,15 +346,7 @@ def locate_rows(words: DataFrame, quotes: DataFrame) -> DataFrame:
     tokens = F.filter(F.transform(F.split(norm(F.col("quote")), " "), lambda t: F.regexp_replace(t, "[^0-9a-z]+", "")), lambda t: t != "")
     asked = quotes.where("quote IS NOT NULL").select("row_id", "pool", tokens.alias("tokens")).where(F.size("tokens") > 0)
     token = asked.select("row_id", "pool", F.explode(F.array_distinct("tokens")).alias("t"))
-    forms = seen.select("pool", "line", F.explode(F.array_distinct(F.array("wb", "wf"))).alias("f")).where("f <> ''").distinct()
-
-    # One string holds another: the held one's first letters, three at most, are among the grams of the other; then all are tested.
-    grams = lambda c, least: F.explode(F.array_distinct(F.filter(F.transform(_grams(F.col(c)), lambda g: g.gram), lambda g: F.length(g) >= least)))
-    head = lambda c: F.substring(F.col(c), F.lit(1), F.least(F.lit(3), F.length(c)))
-    holds = forms.withColumn("g", grams("f", 1)).join(token.withColumn("g", head("t")), ["pool", "g"]).where(F.contains("f", "t")).select("row_id", "pool", "line")
-    whole = seen.where(F.length("wb") >= 2).select("pool", "line", "wb").distinct().withColumn("g", head("wb"))
-    held = token.where(F.length("t") >= 2).withColumn("g", grams("t", 2)).join(whole, ["pool", "g"]).where(F.contains("t", "wb")).select("row_id", "pool", "line")
-    hit = holds.unionByName(held).distinct()
+    hit = _lines_met(seen, token)
     # Bands in order of the page, each alone and with the next.
     word = F.struct("no", "wb", "wf", "x0", "y0", "x1", "y1")
     bands = seen.groupBy("pool", "line").agg(F.array_sort(F.collect_list(word)).alias("words"), F.min("no").alias("start"))

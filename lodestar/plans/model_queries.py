@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import geo
 from lodestar.functions import text as tx
-from lodestar.operators import compare, governance, ranking, retrieval, sampling, spatial
+from lodestar.operators import applicability, compare, governance, ranking, retrieval, sampling, spatial
 from lodestar.plans.registry import query
 from lodestar.plans.spatial_queries import CTE, R, cells, points, rects
 from lodestar.plans.stat_queries import M, marked, portable_sql, precision_sql
@@ -214,3 +214,17 @@ def s25_cascade_delete(spark, d):
 def s42_inventory(spark, d):
     """Counts by source and language, with totals."""
     return table(spark, d, "documents").rollup("source", "lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+AOA = """WITH f AS (SELECT vec_id, label IN (1, 4) AS train, CAST(floor(CAST(embedding[1] AS DOUBLE) * 40) AS DOUBLE) AS a, CAST(floor(CAST(embedding[2] AS DOUBLE) * 40) AS DOUBLE) AS b, CASE WHEN vec_id % 17 = 0 THEN NULL ELSE CAST(floor(CAST(embedding[3] AS DOUBLE) * 40) AS DOUBLE) END AS c FROM embeddings),
+m AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb, avg(c) AS mc, stddev_pop(c) AS sc FROM f WHERE train AND c IS NOT NULL), z AS (SELECT vec_id, train, (a - ma) / sa AS a, (b - mb) / sb AS b, (c - mc) / sc AS c FROM f, m WHERE f.c IS NOT NULL),
+n AS (SELECT p.vec_id, p.train, min(sqrt((p.a - q.a) ** 2 + (p.b - q.b) ** 2 + (p.c - q.c) ** 2)) FILTER (WHERE q.vec_id <> p.vec_id) AS other FROM z p, z q WHERE q.train GROUP BY p.vec_id, p.train), t AS (SELECT 2 * quantile_cont(other, 0.95) AS t FROM n WHERE train)
+SELECT f.vec_id, CASE WHEN n.train THEN 0.0 ELSE round(other, 6) END AS distance, CASE WHEN n.vec_id IS NOT NULL THEN round(t, 6) END AS threshold, CAST(CASE WHEN n.train THEN true ELSE other <= t END AS VARCHAR) AS applicable FROM f LEFT JOIN n USING (vec_id), t"""
+
+
+@query(AOA)
+def i6_area_of_applicability(spark, d):
+    e = lambda k: F.floor(F.col("embedding")[k].cast("double") * 40).cast("double")
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("label").isin(1, 4).alias("train"), e(0).alias("a"), e(1).alias("b"), F.when(F.col("vec_id") % 17 != 0, e(2)).alias("c"))
+    out = applicability.area_of_applicability(rows, "vec_id", ["a", "b", "c"], "train")
+    return out.select("vec_id", F.round("distance", 6).alias("distance"), F.round("threshold", 6).alias("threshold"), F.col("applicable").cast("string").alias("applicable"))
