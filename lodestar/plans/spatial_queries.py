@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import geo
-from lodestar.operators import spatial
+from lodestar.operators import footprints, spatial
 from lodestar.plans.registry import query
 from lodestar.session import table
 
@@ -308,3 +308,38 @@ def d33_layer_pairs(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d)
     out = spatial.layer_pairs(cells(spark), p.where("label = 1"), p.where("label = 2"), R)
     return out.withColumn("gap", F.round("gap", 6))
+
+
+def _geodesic_sql(rounds: int) -> str:
+    """Vincenty's iteration as a chain of tables, one for each round."""
+    f, b = 1 / 298.257223563, 6378137.0 * (1 - 1 / 298.257223563)
+    angles = "SELECT *, atan2(ss, cs) AS s, 1 - sa * sa AS c2, coalesce(cs - 2 * s1 * s2 / nullif(1 - sa * sa, 0), 0) AS m FROM (SELECT *, c1 * c2_ * sin(lam) / nullif(ss, 0) AS sa FROM (SELECT *, sqrt((c2_ * sin(lam)) ** 2 + (c1 * s2 - s1 * c2_ * cos(lam)) ** 2) AS ss, s1 * s2 + c1 * c2_ * cos(lam) AS cs FROM {0}))"
+    out = [f"g0 AS (SELECT *, l AS lam, CAST(9 AS DOUBLE) AS prev FROM (SELECT id, sin(u1) AS s1, cos(u1) AS c1, sin(u2) AS s2, cos(u2) AS c2_, radians(lon - 20) AS l FROM (SELECT *, atan({1 - f!r} * tan(radians(10))) AS u1, atan({1 - f!r} * tan(radians(lat))) AS u2 FROM ll)))"]
+    for k in range(rounds):
+        out.append(f"g{k + 1} AS (SELECT id, s1, c1, s2, c2_, l, l + (1 - c) * {f!r} * sa * (s + c * ss * (m + c * cs * (2 * m * m - 1))) AS lam, lam AS prev FROM (SELECT *, {f / 16!r} * c2 * (4 + {f!r} * (4 - 3 * c2)) AS c FROM ({angles.format(f'g{k}')})))")
+    out.append(f"done AS (SELECT *, c2 * {(6378137.0**2 - b**2) / b**2!r} AS u FROM ({angles.format(f'g{rounds}')}))")
+    out.append("big AS (SELECT *, 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u))) AS aa, u / 1024 * (256 + u * (-128 + u * (74 - 47 * u))) AS bb FROM done)")
+    metres = f"{b!r} * aa * (s - bb * ss * (m + bb / 4 * (cs * (2 * m * m - 1) - bb / 6 * m * (4 * ss * ss - 3) * (4 * m * m - 3))))"
+    return ", ".join(out) + f" SELECT id, CASE WHEN abs(lam - prev) < 1e-11 THEN round({metres}, 3) END AS metres, CASE WHEN abs(lam - prev) < 1e-11 THEN round((degrees(atan2(c2_ * sin(lam), c1 * s2 - s1 * c2_ * cos(lam))) + 360) % 360, 6) END AS bearing FROM big"
+
+
+@query(f"{CTE}, ll AS (SELECT id, 20 + x / 70.0 AS lon, y / 110.0 + 5 AS lat FROM p WHERE abs(x / 70.0) < 120 AND abs(y / 110.0) < 80), {_geodesic_sql(24)}")
+def d30_geodesic(spark: SparkSession, d: str) -> DataFrame:
+    lon, lat = 20 + F.col("x") / 70.0, F.col("y") / 110.0 + 5
+    p = points(spark, d).where("abs(x / 70.0) < 120 AND abs(y / 110.0) < 80").select("id", geo.geodesic(F.lit(20.0), F.lit(10.0), lon, lat).alias("g"))
+    return p.select("id", F.round("g.metres", 3).alias("metres"), F.round("g.bearing", 6).alias("bearing"))
+
+
+_EDGES = """k AS (SELECT DISTINCT label, x, y FROM p), e AS (SELECT a.label, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM k a JOIN k b ON a.label = b.label AND (a.x <> b.x OR a.y <> b.y)
+WHERE NOT EXISTS (SELECT 1 FROM k c WHERE c.label = a.label AND ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0 OR ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0 AND (c.x - a.x) * (c.x - b.x) + (c.y - a.y) * (c.y - b.y) > 0))))"""
+
+
+@query(f"{CTE}, {_EDGES} SELECT label, count(*) AS vertices, CAST(sum(ax * by_ - bx * ay) AS DOUBLE) / 2 AS area, round(sum(sqrt((bx - ax) ** 2 + (by_ - ay) ** 2)), 4) AS perimeter, CAST(min(ax) AS DOUBLE) AS west FROM e GROUP BY label")
+def d42_hull(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    ring = footprints.hulls(points(spark, d), "label")
+    w = Window.partitionBy("label").orderBy("seq")
+    nxt = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    s = ring.select("label", "x", "y", nxt("x").alias("u"), nxt("y").alias("v"))
+    return s.groupBy("label").agg(F.count("*").alias("vertices"), (F.sum(F.col("x") * F.col("v") - F.col("u") * F.col("y")) / 2).alias("area"), F.round(F.sum(F.sqrt(F.pow(F.col("u") - F.col("x"), 2) + F.pow(F.col("v") - F.col("y"), 2))), 4).alias("perimeter"), F.min("x").alias("west"))

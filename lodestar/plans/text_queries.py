@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as tx
-from lodestar.operators import gates, retrieval
+from lodestar.operators import gates, leakaudit, retrieval
 from lodestar.plans.registry import query
 from lodestar.session import table
 
@@ -132,3 +132,21 @@ def n3_unknown_citations(spark, d):
 def m11_redact_numbers(spark, d):
     t = table(spark, d, "benchmark").select("item_id", F.concat(F.regexp_replace("text", "[0-9]", ""), F.lit(" 12,500 and 3.5 m")).alias("t"))
     return t.select("item_id", tx.redact_numbers(F.col("t")).alias("redacted"))
+
+
+@query(r"""WITH n AS (SELECT count(*) AS n FROM benchmark), w AS (SELECT item_id, lower(unnest(regexp_extract_all(coalesce(text, ''), '[a-zA-ZÀ-ÿ0-9_]+'))) AS term FROM benchmark), t AS (SELECT item_id, term, count(*) AS tf FROM w WHERE regexp_full_match(term, '[a-z]{2,}') GROUP BY item_id, term),
+v AS (SELECT term, count(*) AS df FROM t GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.9 * (SELECT n FROM n)), x AS (SELECT item_id, term, (1 + ln(tf)) * (ln((1 + n) / (1.0 + df)) + 1) AS w FROM t JOIN v USING (term), n)
+SELECT item_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY item_id)), 6) AS weight FROM x""")
+def i28_term_weights(spark, d):
+    weights, _ = leakaudit.term_weights(table(spark, d, "benchmark"), "item_id", "text")
+    return weights.select(F.col("id").alias("item_id"), "term", F.round("weight", 6).alias("weight"))
+
+
+@query()
+def i28_leak_audit(spark, d):
+    """Do the words of the user's and the system's turns tell which conversations are short? The fit is beyond SQL."""
+    c = table(spark, d, "conversations")
+    texts = c.where("role <> 'assistant'").groupBy("conv_id").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda r: r.text)).alias("text"))
+    labels = c.groupBy("conv_id").agg((F.count("*") <= 5).cast("int").alias("label"))
+    rows = texts.join(labels, "conv_id").withColumn("fold", F.crc32(F.col("conv_id").cast("string").cast("binary")) % 5)
+    return leakaudit.audit(rows, "conv_id", "text", "label", "fold")[0]
