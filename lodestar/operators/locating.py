@@ -15,6 +15,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +32,7 @@ FOLD = {
 EXACT, SEPARATORS, FOLDED, MERGED, LEAST, ROW_LEAST = 100.0, 99.0, 98.0, 90.0, 82.0, 40.0
 WIDEST, TALLEST, APART, PAD, LONGEST = 0.60, 0.03, 0.012, 0.003, 6
 
+NOWHERE = np.empty(0, np.int64)
 _ONE = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(128, 0x10000) if not 0xD800 <= c < 0xE000}
 _ONE = {c: k for c, k in _ONE.items() if k != c and len(k) == 1}
 _MORE = {c: unicodedata.normalize("NFKC", c) for c in "ﬀﬁﬂﬃﬄﬅﬆ½¼¾№℡㎡㎞㎏…"}
@@ -162,34 +164,43 @@ class _Page:
                 if len(value) < whole and at + len(value) <= offsets[i + 1] and (at == offsets[i] or at + len(value) == offsets[i + 1]):
                     yield i, 1
 
-    def places(self, form: str, gram: str) -> list[int]:
+    def places(self, form: str, gram: str) -> np.ndarray:
         key = form, len(gram)
         if key not in self.grams:
             index: dict[str, list[int]] = {}
             text = self.text[form]
             for k in range(len(text) - len(gram) + 1):
                 index.setdefault(text[k : k + len(gram)], []).append(k)
-            self.grams[key] = index
-        return self.grams[key].get(gram, [])
+            self.grams[key] = {g: np.array(at) for g, at in index.items()}
+        return self.grams[key].get(gram, NOWHERE)
 
     def alike(self, value: str) -> set[tuple[int, int]]:
-        """Runs of words that may be like the value: they hold a piece of it at nearly its place, and are nearly as long.
+        """Runs of words that may be like the value: nearly as long, with enough of its pieces at nearly their places.
 
-        Of a score of 82 follows that 18 % of all letters differ at most, so 44 % of the value's: of one piece more than these, one is whole.
+        Of a score of 82 follows that at most d = 18 % of all letters differ. A difference spoils one piece at most, and moves the others by
+        d at most, so of m pieces m - d are whole. Pieces are two letters, or one where two would not leave any.
         """
         n, out = len(value), set()
-        parts = int(n * 0.44) + 1
+        most = int(0.18 * (n + int(n * 1.18 / 0.82)))  # differences, of the longest run that can be like the value
+        if not most:
+            return out  # only an equal run is like it
+        width = 2 if n // 2 > most else 1
+        pieces = [(k, value[k : k + width]) for k in range(0, n - width + 1, width)]
         for form in ("wb", "wf"):
-            offsets, seen = self.at[form], set()
-            for k in range(parts):
-                start = k * n // parts
-                for at in self.places(form, value[start : (k + 1) * n // parts]):
-                    seen.update(_starts(offsets[:-1], at - start - 0.44 * n, at - start + 0.44 * n) if len(seen) < self.n else ())
-            for i in seen:
-                for size in range(1, min(LONGEST, self.n - i) + 1):
-                    a = offsets[i + size] - offsets[i]
-                    if abs(a - n) <= 0.18 * (a + n) and self.allowed(i, size):
-                        out.add((i, size))
+            offsets = np.array(self.at[form])
+            starts, whole = offsets[:-1], np.zeros(self.n, np.int32)
+            for k, piece in pieces:
+                at = self.places(form, piece) - k
+                if len(at):
+                    edge = np.zeros(self.n + 1, np.int32)
+                    np.add.at(edge, np.searchsorted(starts, at - most), 1)
+                    np.add.at(edge, np.searchsorted(starts, at + most, "right"), -1)
+                    whole += np.cumsum(edge[:-1]) > 0
+            for size in range(1, min(LONGEST, self.n) + 1):
+                i = np.arange(self.n - size + 1)
+                a = offsets[size:] - starts[: len(i)]
+                close = (np.abs(a - n) <= 0.18 * (a + n)) & (whole[: len(i)] >= len(pieces) - np.floor(0.18 * (a + n)))
+                out.update((int(k), size) for k in np.flatnonzero(close) if self.allowed(int(k), size))
         return out
 
     def score(self, value: str, i: int, size: int) -> float:
