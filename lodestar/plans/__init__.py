@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.plans import check_queries, column_queries, composed_queries, layout_queries, model_queries, polygon_queries, raster_queries, record_queries, sheet_queries, spatial_queries, stat_queries, table_queries, text_queries  # noqa: F401
+from lodestar.plans import check_queries, column_queries, composed_queries, gate_queries, layout_queries, model_queries, polygon_queries, raster_queries, record_queries, sheet_queries, spatial_queries, stat_queries, table_queries, text_queries  # noqa: F401
 from lodestar.plans.registry import ORACLES, QUERIES, Query
 
 
