@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.operators import ranking, sampling, scoring
+from lodestar.operators import picking, ranking, sampling, scoring
 from lodestar.plans.registry import query
 from lodestar.session import table
 
@@ -299,3 +299,22 @@ def e14_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     long = scoring.contributions(scoring.memberships(part_features(spark, d), CRITERIA), "p_partkey", CRITERIA)
     out = scoring.sensitivity(long, "p_partkey")
     return out.select("p_partkey", "criterion", *(F.round(c, 9).alias(c) for c in ("score_if_met", "score_if_not", "span")))
+
+
+@query()
+def h20_constrained_pick(spark: SparkSession, d: str) -> DataFrame:
+    """Four documents of each language, two of a publisher at most, three of the zone at least; the sequential pick is beyond SQL, tests hold it."""
+    docs = table(spark, d, "documents")
+    company = F.concat_ws("-", "source", (F.col("doc_id") % 23).cast("string"))
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("era"), company.alias("company"), (F.col("doc_id") % 41 == 0).alias("zone"), (F.col("n_chars") % 1000).cast("double").alias("score"))
+    return picking.greedy_pick(rows, ["de", "en", "es", "fr"], 4, 2, 3)
+
+
+@query("""WITH r AS (SELECT doc_id AS id, coalesce(lang, 'none') || '-' || (doc_id % 5) AS era, row_number() OVER (PARTITION BY coalesce(lang, 'none') || '-' || (doc_id % 5) ORDER BY n_chars DESC, doc_id) AS rank, doc_id % 6 = 0 AS passes FROM documents),
+g AS (SELECT *, count(*) FILTER (WHERE passes) OVER (PARTITION BY era ORDER BY rank) AS good FROM r), l AS (SELECT era, min(rank) AS last FROM g WHERE rank >= 5 AND (rank - 5) % 3 = 0 AND (good >= 3 OR rank >= 20) GROUP BY era)
+SELECT id, g.era, CAST(rank AS INTEGER) AS rank, passes, rank > 5 AS extended FROM g LEFT JOIN l USING (era) WHERE rank <= coalesce(last, rank)""")
+def s35_reserve_extension(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    era = F.concat(F.coalesce("lang", F.lit("none")), F.lit("-"), (F.col("doc_id") % 5).cast("string"))
+    rows = docs.select(F.col("doc_id").alias("id"), era.alias("era"), F.col("n_chars").alias("score"), (F.col("doc_id") % 6 == 0).alias("passes"))
+    return picking.extended(rows, 5, 3, 3, 20)
