@@ -75,10 +75,10 @@ def utf8_of(col: pa.Array, step: int = 64) -> Iterator[bytes]:
             yield b"" if b is None else b
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 65536) -> Iterator[pa.Table]:
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 65536, size: int = 32 << 20) -> Iterator[pa.Table]:
     """Regroup a stream sorted by `keys` into tables that never split a run of equal keys.
 
-    A table holds at least `rows` rows unless the stream ends; what is carried over is one run.
+    A table holds at least `rows` rows or `size` bytes unless the stream ends; what is carried over is one run.
     """
 
     def last_start(t: pa.Table) -> int:
@@ -89,18 +89,18 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 65536)
         return t.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
 
     held: list[pa.RecordBatch] = []
-    count = 0
+    count = weight = 0
     for b in batches:
         if b.num_rows:
             held.append(b)
-            count += b.num_rows
-        if count >= rows:
+            count, weight = count + b.num_rows, weight + b.nbytes
+        if count >= rows or weight >= size:
             t = pa.Table.from_batches(held).combine_chunks()
             at = last_start(t)
             if at:
                 yield t.slice(0, at)
             rest = t.slice(at).combine_chunks()
-            held, count = rest.to_batches(), rest.num_rows if at else 0
+            held, count, weight = rest.to_batches(), rest.num_rows if at else 0, rest.nbytes if at else 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
@@ -155,14 +155,14 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = None)
     return label
 
 
-def spread_lists(postings: DataFrame, key: str, item: str, block: int, most: int = 100_000) -> DataFrame:
+def spread_lists(postings: DataFrame, key: str, item: str, block: int, most: int = 100_000, weight: Column | None = None) -> DataFrame:
     """Give every list of an inverted index groups (key, `i`, `j`) of about two blocks in which each pair meets.
 
-    A list of more than `block` items is cut by a hash of the item into blocks (`own`); an item goes to the group of every
+    A list of more than `block` items (or of items that weigh more together) is cut by a hash of the item into blocks (`own`); an item goes to the group of every
     pair of blocks that has its own, so no group outgrows two blocks however long the list is. The long lists
     are sent to every task if they are `most` at most (counted), else joined by a shuffle.
     """
-    sizes = postings.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > block)
+    sizes = postings.groupBy(key).agg((F.count("*") if weight is None else F.sum(weight)).alias("__n")).where(F.col("__n") > block)
     long = cut(sizes, "lists").withColumn("__b", F.ceil(F.col("__n") / F.lit(block)).cast("int")).drop("__n")
     if long.limit(most + 1).count() <= most:
         long = F.broadcast(long)

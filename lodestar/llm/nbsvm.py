@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
@@ -48,18 +48,16 @@ def features(text: str | None, bits: int) -> np.ndarray:
 def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: float, epochs: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(weights with the bias last, dual variables) of the hinge-loss model on unit rows ratio[buckets], by dual coordinate descent."""
     w = np.zeros(len(ratio) + 1)
-    values = []
-    for r in rows:
-        v = ratio[r]
-        values.append(v / max(np.sqrt(v @ v), 1e-12))
+    length = np.array([max(np.sqrt(ratio[r] @ ratio[r]), 1e-12) for r in rows])
     most = np.where(y > 0, cost * len(y) / (2 * max(1, (y > 0).sum())), cost * len(y) / (2 * max(1, (y < 0).sum())))
-    norm = np.array([v @ v + 1 for v in values])
+    norm = np.array([(ratio[r] / k) @ (ratio[r] / k) + 1 for r, k in zip(rows, length, strict=True)])
     alpha = np.zeros(len(rows))
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            r, v = rows[i], values[i]
+            r = rows[i]
+            v = ratio[r] / length[i]  # made again each time: kept, the values would be twice the rows
             slope = y[i] * (w[r] @ v + w[-1]) - 1
             new = min(max(alpha[i] - slope / norm[i], 0.0), most[i])
             step = (new - alpha[i]) * y[i]
@@ -94,8 +92,12 @@ def margin(row: np.ndarray, ratio: np.ndarray, w: np.ndarray) -> float:
     return float(w[row] @ v / max(np.sqrt(v @ v), 1e-12) + w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, bits: int = 17, cost: float = 1.0, epochs: int = 20, seed: int = 17) -> dict | None:
-    """The model, or None if there is no labelled training text: ratio and weights by bucket, slope and intercept."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, bits: int = 17, most: int = 32 << 20, cost: float = 1.0, epochs: int = 20, seed: int = 17) -> dict | None:
+    """The model, or None if there is no labelled training text: ratio and weights by bucket, slope and intercept.
+
+    Two documented bounds let one task fit: at most `sample` labelled ids, one row each (of an id's rows that with the least hash of its features), in order of
+    a hash of the id; and of these the first whose features, `most` in all, make up four bytes each.
+    """
     spark = prepare(docs.sparkSession)
     marks = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("quality").cast("int").alias("__y"))
     marks = marks.where(F.col("__id").isNotNull() & F.col("__y").isin(0, 1) & (split_of(F.col("__id")) != 2))
@@ -109,10 +111,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, bits: int = 17,
             yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("__y"), found], names=["id", "y", "x"])
 
     def learn(t: pa.Table) -> pa.Table:
-        ids, blobs = t.column("id").to_pylist(), t.column("x").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], blobs[i]))
+        order = np.argsort(t.column("id").to_numpy(), kind="stable")  # an id is one row
         y = t.column("y").to_numpy()[order] * 2 - 1
-        rows = [np.frombuffer(blobs[i], "<i4") for i in order]
+        blobs = t.column("x").combine_chunks()
+        rows = [np.frombuffer(blobs[int(i)].as_buffer(), "<i4") for i in order]
         size = 1 << bits
         part = np.random.default_rng(seed).random(len(y)) < 0.8
         few = min((part & (y > 0)).sum(), (part & (y < 0)).sum(), (~part & (y > 0)).sum(), (~part & (y < 0)).sum()) < 5
@@ -132,7 +134,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, bits: int = 17,
         bucket = np.r_[used, -1, -2, -3]
         return pa.table({"bucket": bucket, "ratio": np.r_[ratio[used], 0, 0, 0], "weight": np.r_[w[used], w[-1], slope, base]})
 
-    one = texts.mapInArrow(extract, "id long, y int, x binary").groupBy(F.lit("sample")).applyInArrow(learn, "bucket long, ratio double, weight double")
+    own = texts.mapInArrow(extract, "id long, y int, x binary")
+    own = cut(own.groupBy("id", "y").agg(F.min_by("x", F.struct(F.xxhash64("x"), "x")).alias("x")), "nbsvm-rows")
+    size = Window.orderBy(F.xxhash64("id", F.lit(seed)), "id").rowsBetween(Window.unboundedPreceding, 0)  # `sample` rows of two numbers
+    within = own.select("id", F.sum(F.length("x") / 4).over(size).alias("n")).where(F.col("n") <= most).select("id")
+    one = own.join(F.broadcast(within), "id").groupBy(F.lit("sample")).applyInArrow(learn, "bucket long, ratio double, weight double")
     found = cut(one, "nbsvm-model").toArrow()
     if not found.num_rows:
         return None

@@ -38,6 +38,8 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 FACTORS = np.random.default_rng(42).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
+SET_BYTES = 12 << 20  # of the shingle sets that meet in one block
+
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     """64-bit SimHash of the word shingles, repeats included; bit set if set in over half of the hashes."""
@@ -249,7 +251,8 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, bl
                 yield pa.RecordBatch.from_arrays([b.column(3), b.column(4), pa.array([x.tobytes() for x in h], pa.binary())], names=["node", "root", "h"]).filter(pa.array(right))
 
     members = cut(texts.mapInArrow(sets, "node long, root long, h binary").dropDuplicates(["node"]), "wide-sets")
-    spread = spread_lists(members, "root", "node", block).select("root", "i", "j", "own", "node", "h")
+    # Sets are cut into blocks by their bytes: a group of long texts is more blocks, not larger ones.
+    spread = spread_lists(members, "root", "node", SET_BYTES, weight=F.length("h") + 64).select("root", "i", "j", "own", "node", "h")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["root", "i", "j"], 1024):

@@ -153,3 +153,18 @@ def test_pipeline_stages(spark, tmp_path):
     none = docs.where(F.lit(False))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+def test_the_classifier_keeps_its_bounds(spark):
+    """An id that many rows repeat is one row, and the features of all rows are bounded."""
+    text = F.concat_ws(" ", F.lit("word"), (F.col("id") % 50).cast("string"), F.md5((F.col("id") % 50).cast("string")))
+    docs = spark.range(600).select((F.col("id") % 2).alias("doc_id"), text.alias("text"))
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    many, once = nbsvm.fit(docs, labels), nbsvm.fit(docs.repartition(3), labels)
+    few = sum(len(nbsvm.features(r.text, 17)) for r in docs.groupBy("doc_id").agg(F.min("text").alias("text")).collect())
+    assert np.count_nonzero(many["weights"][:-1]) <= few + 40 and many["slope"] == once["slope"]
+    wide = spark.range(400).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.md5((F.col("id") * 7 + k).cast("string")) for k in range(20))).alias("text"))
+    marks = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    small, whole = nbsvm.fit(wide, marks, most=20_000), nbsvm.fit(wide, marks)
+    assert np.count_nonzero(small["weights"]) < np.count_nonzero(whole["weights"])
+    assert nbsvm.fit(wide, marks, most=1) is None
