@@ -54,7 +54,7 @@ def _fit(rows: DataFrame, c: float):
     if not pos or pos == n:
         return None
     weighed = rows.withColumn("weight", F.when(F.col("label") == 1, n / (2.0 * pos)).otherwise(n / (2.0 * (n - pos))))
-    fit = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=1.0 / (c * n), standardization=False, maxIter=300, tol=1e-9)
+    fit = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=1.0 / (c * n), standardization=False, maxIter=300, tol=1e-7)
     return fit.fit(weighed.withColumn("label", F.col("label").cast("double")))
 
 
