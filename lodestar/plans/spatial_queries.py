@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import geo
-from lodestar.operators import footprints, spatial
+from lodestar.operators import footprints, positions, spatial
 from lodestar.plans.registry import query
 from lodestar.session import table
 
@@ -343,3 +343,31 @@ def d42_hull(spark: SparkSession, d: str) -> DataFrame:
     nxt = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     s = ring.select("label", "x", "y", nxt("x").alias("u"), nxt("y").alias("v"))
     return s.groupBy("label").agg(F.count("*").alias("vertices"), (F.sum(F.col("x") * F.col("v") - F.col("u") * F.col("y")) / 2).alias("area"), F.round(F.sum(F.sqrt(F.pow(F.col("u") - F.col("x"), 2) + F.pow(F.col("v") - F.col("y"), 2))), 4).alias("perimeter"), F.min("x").alias("west"))
+
+
+@query("""WITH v AS (SELECT vec_id AS i, vec_id % 9 AS k, vec_id % 4 = 0 AS named FROM embeddings)
+SELECT i AS hole_id, CASE WHEN k = 0 THEN 'no_coordinates' WHEN k IN (1, 2) THEN 'not_transformable_local_grid' WHEN k = 3 THEN 'not_transformable_no_datum' WHEN k = 4 AND i % 2 = 0 THEN 'transform_failed' ELSE 'transformed' END AS status,
+CASE WHEN k >= 5 THEN 'extracted_nad83' WHEN k = 4 AND i % 2 = 1 THEN 'extracted_transformed' WHEN named AND i % 8 = 0 THEN 'provincial_geods' WHEN named THEN 'provincial_compilation' ELSE 'none' END AS source,
+CASE WHEN k >= 5 OR (k = 4 AND i % 2 = 1) OR NOT named THEN 'none' WHEN i % 8 = 0 THEN 'g' || i ELSE 'c' || i END AS record,
+CASE WHEN k = 7 THEN true ELSE false END AS zone_inferred FROM v""")
+def k11_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Nine kinds of printed coordinates; every fourth hole is in the province's records under another spelling; half of the file pairs have no grid of shifts."""
+    i = F.col("vec_id")
+    e = table(spark, d, "embeddings").select(i, (i % 9).alias("k"), (F.col("embedding")[0].cast("double") * 50_000).alias("dx"), (F.col("embedding")[1].cast("double") * 50_000).alias("dy"))
+    k = F.col("k")
+    when = lambda cond, v: F.when(cond, v)
+    file = F.concat(F.lit("f"), (i % 50).cast("string"))
+    holes = e.select(
+        i.alias("hole_id"), file.alias("file"), F.concat(F.lit("AB-0"), i.cast("string")).alias("name"),
+        F.when(k.isin(3, 5, 7), 500_000 + F.col("dx")).when(k == 2, 1000.0).alias("easting"), F.when(k.isin(3, 5, 7), 6_400_000 + F.col("dy")).when(k == 2, 200.0).alias("northing"),
+        when(k.isin(4, 6, 8), 57.75 + F.col("dy") / 1e6 + F.when((k == 4) & (i % 2 == 0), 20).otherwise(0)).alias("lat"), when(k.isin(4, 6, 8), 105.0 + F.col("dx") / 1e6).alias("lon"), when(k == 1, 12.0).alias("grid_x"), F.lit(None).cast("double").alias("grid_y"),
+        F.when(k == 4, "N.A.D. 27").when(k.isin(5, 7), "UTM NAD 83").when(k == 6, "WGS84").when(k == 8, "north american datum 1983").alias("datum"), F.when(k == 3, "13").when(k == 5, "Zone 13V").alias("zone"), (k == 2).alias("local_page"),
+    )
+    named = e.where("vec_id % 4 = 0").select(file.alias("file"), F.concat(F.lit("ab "), i.cast("string")).alias("name"), F.lit(-105.0).alias("lon"), F.lit(57.7).alias("lat"), i)
+    province = named.where("vec_id % 8 = 0").select("file", "name", F.lit(1).alias("source"), F.concat(F.lit("g"), i.cast("string")).alias("record"), "lon", "lat")
+    province = province.unionByName(named.select("file", "name", F.lit(2).alias("source"), F.concat(F.lit("c"), i.cast("string")).alias("record"), "lon", "lat"))
+    sheets = e.select(file.alias("file")).distinct().select("file", F.lit(-106.5).alias("x0"), F.lit(57.0).alias("y0"), F.lit(-103.5).alias("x1"), F.lit(58.5).alias("y1"))
+    nodes = spark.range(-1100, -1000).select(F.col("id").alias("gx")).crossJoin(spark.range(550, 610).select(F.col("id").alias("gy")))  # a fixed grid of shifts
+    grid = nodes.select("gx", "gy", F.lit(-0.0006).alias("dlon"), (F.col("gy") * 1e-7).alias("dlat"))
+    out = positions.positions(holes, province, sheets, grid)
+    return out.select("hole_id", "status", "source", F.coalesce("record", F.lit("none")).alias("record"), "zone_inferred")
