@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lodestar.session import cut, prepare
+from lodestar.session import prepare
 
 # What a reader may print for the sign on the right, the scores of the kinds of match, and the least scores.
 FOLD = {
@@ -312,86 +312,100 @@ def rivals(words: DataFrame, values: DataFrame) -> DataFrame:
     return found.groupBy("value_id").agg(F.max_by(F.struct("no", "text", "score"), F.struct("score", -F.col("no"))).alias("b")).select("value_id", "b.*")
 
 
-def _lines_met(words: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(row_id, pool, line) of the lines with a word that holds a word of the quote, or (of two letters at least) is held by one.
+class _Lines:
+    """The words of one page by printed line, and a search for words that hold a word of a quote or are held by it."""
 
-    Tokens are (row_id, pool, t). Words of a page are one string, in which a token is looked for; its own parts are looked up among the words.
-    """
-    prepare(words.sparkSession)
-    kind = lambda c, df: df.schema[c].dataType.simpleString()
-    schema = f"row_id {kind('row_id', tokens)}, pool {kind('pool', words)}, line {kind('line', words)}"
-    own = to_arrow_schema(StructType.fromDDL(schema))
-
-    def one(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        met = set()
-        if left.num_rows and right.num_rows:
-            line, wb, wf = (left.column(c).to_pylist() for c in ("line", "wb", "wf"))
-            known: dict[str, set] = {}
-            for w, x in zip(wb, line, strict=True):
-                known.setdefault(w, set()).add(x)
-            strings = []
-            for form in (wb, wf):
-                strings.append(("\n".join(form), [0, *accumulate(len(w) + 1 for w in form)]))
-            lines_of: dict[str, set] = {}
-            for row, t in zip(right.column("row_id").to_pylist(), right.column("t").to_pylist(), strict=True):
-                if t not in lines_of:
-                    found = {line[bisect_right(offsets, at) - 1] for text, offsets in strings for at in _occurrences(text, t)}
-                    parts = {t[a:b] for a in range(len(t)) for b in range(a + 2, len(t) + 1)} if len(t) * len(t) < 2 * len(known) + 200 else {w for w in known if len(w) > 1 and w in t}
-                    lines_of[t] = found.union(*(known[p] for p in parts if p in known))
-                met |= {(row, x) for x in lines_of[t]}
-        return pa.table([pa.array([r for r, _ in met], own.field(0).type), pa.array([key[0].as_py()] * len(met), own.field(1).type), pa.array([x for _, x in met], own.field(2).type)], schema=own)
-
-    asked = words.join(tokens.select("pool").distinct(), "pool", "left_semi").where("wb <> ''").select("pool", "line", "wb", "wf")
-    return asked.groupBy("pool").cogroup(tokens.groupBy("pool")).applyInArrow(one, schema)
+    def __init__(self, columns: dict[str, list]):
+        self.c = columns
+        self.bands: dict = {}
+        for k, line in enumerate(columns["line"]):
+            self.bands.setdefault(line, []).append(k)
+        self.order = sorted(self.bands, key=lambda x: self.bands[x][0])
+        self.letters = {x: sum(len(columns["wb"][k]) for k in rows) for x, rows in self.bands.items()}
+        self.known: dict[str, list[int]] = {}
+        for k, w in enumerate(columns["wb"]):
+            if w:
+                self.known.setdefault(w, []).append(k)
+        self.strings = [("\n".join(columns[f]), [0, *accumulate(len(w) + 1 for w in columns[f])]) for f in ("wb", "wf")]
+        self.found: dict[str, set[int]] = {}
+
+    def related(self, t: str) -> set[int]:
+        """Words that hold `t` in either form, or of two letters at least and are held by it."""
+        if t not in self.found:
+            hit = {bisect_right(offsets, at) - 1 for text, offsets in self.strings for at in _occurrences(text, t)}
+            few = len(t) * len(t) < 2 * len(self.known) + 200
+            parts = {t[a:b] for a in range(len(t)) for b in range(a + 2, len(t) + 1)} if few else {w for w in self.known if len(w) > 1 and w in t}
+            self.found[t] = {k for k in hit.union(*(self.known[p] for p in parts if p in self.known)) if self.c["wb"][k]}
+        return self.found[t]
+
+    def score(self, tokens: list[str], lines: tuple) -> tuple[float, list[int]]:
+        """F1 of a line or two, and the words that are matched: from left to right, each uses up the first word of the quote that it goes with."""
+        left, chars, hits = list(tokens), 0, []
+        any_ = set().union(*(self.related(t) for t in tokens))
+        for k in (k for x in lines for k in self.bands[x] if k in any_):
+            t = next((t for t in left if k in self.related(t)), None)
+            if t is not None:
+                left.remove(t)
+                chars += min(len(t), len(self.c["wb"][k]))
+                hits.append(k)
+        total = sum(self.letters[x] for x in lines)
+        recall, precision = (len(tokens) - len(left)) / len(tokens), min(1.0, chars / total) if total else 0.0
+        return (200 * precision * recall / (precision + recall) if precision + recall else 0.0), hits
+
+    def best(self, tokens: list[str]) -> tuple | None:
+        """(score, second score, lines, words, box) of the best line or two neighbours; lines that share nothing with the quote are not scored."""
+        met = {self.c["line"][k] for t in tokens for k in self.related(t)}
+        top, second = None, 0.0
+        for at, line in enumerate(self.order):
+            for lines in ((line,), (line, self.order[at + 1])) if at + 1 < len(self.order) else ((line,),):
+                if met.isdisjoint(lines):
+                    continue
+                score, hits = self.score(tokens, lines)
+                if top is None or score > top[0]:
+                    second = top[0] if top else 0.0
+                    top = (score, lines, hits)
+                else:
+                    second = max(second, score)
+        if top is None:
+            return None
+        score, lines, hits = top
+        whole = [k for x in lines for k in self.bands[x]]
+        shown, c = hits or whole, self.c
+        box = {"x0": min(c["x0"][k] for k in shown), "y0": min(c["y0"][k] for k in whole), "x1": max(c["x1"][k] for k in shown), "y1": max(c["y1"][k] for k in whole)}
+        return score, second, list(lines), len(shown), box
 
 
 def locate_rows(words: DataFrame, quotes: DataFrame) -> DataFrame:
     """(row_id, score, method, lines, words, box, ambiguous): the printed line, or two lines in a row, that explains a quoted row best.
 
     The score is the F1 of the quote's words that are found and of the line's letters that they explain. A line's words are taken from left to right; each uses up
-    the first word of the quote that it holds, or that holds it. Lines that share nothing with a quote are never met: words are found by their parts.
+    the first word of the quote that it holds, or that holds it. A page and the rows quoted from it are one group; lines that share nothing with a quote are not scored.
     Quotes are (row_id, pool, quote). Best is the highest score, then the first line, one line before two.
     """
-    seen = words.where(F.trim(F.coalesce("text", F.lit(""))) != "").select("pool", "line", "no", "text", bare(F.col("text")).alias("wb"), foldbare(F.col("text")).alias("wf"), "x0", "y0", "x1", "y1")
-    seen = cut(seen, "row-words")
+    prepare(words.sparkSession)
     tokens = F.filter(F.transform(F.split(norm(F.col("quote")), " "), lambda t: F.regexp_replace(t, "[^0-9a-z]+", "")), lambda t: t != "")
     asked = quotes.where("quote IS NOT NULL").select("row_id", "pool", tokens.alias("tokens")).where(F.size("tokens") > 0)
-    token = asked.select("row_id", "pool", F.explode(F.array_distinct("tokens")).alias("t"))
-    hit = _lines_met(seen, token)
-    # Bands in order of the page, each alone and with the next.
-    word = F.struct("no", "wb", "wf", "x0", "y0", "x1", "y1")
-    bands = seen.groupBy("pool", "line").agg(F.array_sort(F.collect_list(word)).alias("words"), F.min("no").alias("start"))
-    bands = bands.withColumn("next", F.lead("words").over(Window.partitionBy("pool").orderBy("start"))).withColumn("next_line", F.lead("line").over(Window.partitionBy("pool").orderBy("start")))
-    two = bands.where("next IS NOT NULL")
-    groups = bands.select("pool", "start", F.lit(1).alias("bands"), "words", F.array("line").alias("lines")).unionByName(
-        two.select("pool", "start", F.lit(2).alias("bands"), F.concat("words", "next").alias("words"), F.array("line", "next_line").alias("lines"))
-    )
-    met = groups.select("pool", "start", "bands", F.explode("lines").alias("line")).join(hit, ["pool", "line"]).select("row_id", "pool", "start", "bands").distinct()
-    full = met.join(groups, ["pool", "start", "bands"]).join(asked, ["row_id", "pool"])
-    none = F.struct(F.col("tokens").alias("left"), F.lit(0).alias("chars"), F.array().cast(full.schema["words"].dataType).alias("words"))
-
-    def take(state: Column, w: Column) -> Column:
-        use = F.filter(state.left, lambda t: (w.wb != "") & (F.contains(w.wb, t) | F.contains(w.wf, t) | ((F.length(w.wb) >= 2) & F.contains(t, w.wb))))
-        first = F.get(use, F.lit(0))
-        at = F.array_position(state.left, first).cast("int")
-        rest = F.concat(F.slice(state.left, F.lit(1), at - 1), F.slice(state.left, at + 1, F.size(state.left)))
-        return F.when(F.size(use) == 0, state).otherwise(F.struct(rest.alias("left"), (state.chars + F.least(F.length(first), F.length(w.wb))).alias("chars"), F.concat(state.words, F.array(w)).alias("words")))
-
-    full = full.withColumn("s", F.aggregate("words", none, take))
-    letters = F.aggregate(F.transform("words", lambda w: F.length(w.wb)), F.lit(0), lambda a, x: a + x)
-    recall = 1 - F.size("s.left") / F.size("tokens")
-    precision = F.when(letters > 0, F.least(F.lit(1.0), F.col("s.chars") / letters)).otherwise(0.0)
-    f1 = F.when(recall + precision > 0, 200 * precision * recall / (precision + recall)).otherwise(0.0)
-    scored = full.select("row_id", "start", "bands", "lines", f1.alias("score"), F.col("s.words").alias("hits"), "words")
-    best = scored.groupBy("row_id").agg(F.min_by(F.struct("score", "lines", "hits", "words"), F.struct(-F.col("score"), "start", "bands")).alias("b"), F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, 2).alias("top"))
-    shown = F.when(F.size("b.hits") > 0, F.col("b.hits")).otherwise(F.col("b.words"))
-    over = lambda rows, f, c: f(F.transform(rows, lambda w: w[c]))
-    box = F.struct(over(shown, F.array_min, "x0").alias("x0"), over(F.col("b.words"), F.array_min, "y0").alias("y0"), over(shown, F.array_max, "x1").alias("x1"), over(F.col("b.words"), F.array_max, "y1").alias("y1"))
-    ok, second = F.coalesce(F.col("b.score") >= ROW_LEAST, F.lit(False)), F.coalesce(F.get("top", F.lit(1)), F.lit(0.0))
-    out = quotes.select("row_id").join(best, "row_id", "left")
-    return out.select(
-        "row_id", F.coalesce("b.score", F.lit(0.0)).alias("score"), F.when(~ok, "none").when(F.col("b.score") >= 99, "exact").otherwise("fuzzy").alias("method"),
-        F.when(ok, F.col("b.lines")).alias("lines"), F.when(ok, F.size(shown)).alias("words"), F.when(ok, padded(box)).alias("box"), (ok & (second > 0) & (F.col("b.score") - second < 3)).alias("ambiguous"),
+    seen = words.where(F.trim(F.coalesce("text", F.lit(""))) != "").join(asked.select("pool").distinct(), "pool", "left_semi")
+    seen = seen.select("pool", "line", "no", bare(F.col("text")).alias("wb"), foldbare(F.col("text")).alias("wf"), "x0", "y0", "x1", "y1")
+    kind = lambda c, df: df.schema[c].dataType.simpleString()
+    schema = f"row_id {kind('row_id', quotes)}, score double, second double, lines array<{kind('line', words)}>, words int, box struct<x0 double, y0 double, x1 double, y1 double>"
+    own = to_arrow_schema(StructType.fromDDL(schema))
+
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        if left.num_rows and right.num_rows:
+            page = _Lines(left.sort_by("no").to_pydict())
+            for row, told in zip(right.column("row_id").to_pylist(), right.column("tokens").to_pylist(), strict=True):
+                found = page.best(told)
+                if found:
+                    rows.append((row, *found))
+        return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(own)], schema=own)
+
+    best = seen.groupBy("pool").cogroup(asked.groupBy("pool")).applyInArrow(one, schema)
+    ok = F.coalesce(F.col("score") >= ROW_LEAST, F.lit(False))
+    return quotes.select("row_id").join(best, "row_id", "left").select(
+        "row_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.when(~ok, "none").when(F.col("score") >= 99, "exact").otherwise("fuzzy").alias("method"),
+        F.when(ok, F.col("lines")).alias("lines"), F.when(ok, F.col("words")).alias("words"), F.when(ok, padded(F.col("box"))).alias("box"), (ok & (F.col("second") > 0) & (F.col("score") - F.col("second") < 3)).alias("ambiguous"),
     )
 
 
