@@ -109,6 +109,51 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.summaries(table(spark, sf_dir, "documents"), plant=True)
 
 
+def _repair_sql() -> str:
+    """The damage, the faults and the least edits in DuckDB SQL.
+
+    A state is one string: six digits of cost, the audit, a mark, the turns kept so far. So the least of two strings is the cheaper one, of equal costs
+    that with the lesser audit. Rows are gone through by recursion, one of each conversation at a time.
+    """
+
+    def edit(state: str, cost: str, letter: str, turn: str | None) -> str:
+        rep = f"substr({state}, strpos({state}, chr(1)) + 1)"
+        kept = rep if turn is None else f"{rep} || CASE WHEN {rep} = '' THEN '' ELSE chr(10) END || {turn}"
+        return f"(lpad(CAST(CAST(substr({state}, 1, 6) AS BIGINT) + {cost} AS VARCHAR), 6, '0') || substr({state}, 7, strpos({state}, chr(1)) - 7) || '{letter}' || chr(1) || {kept})"
+
+    def closed(inner: str) -> str:
+        user, assistant = (f"'{r}:'" for r in ("user", "assistant"))
+        puts = ", ".join(edit(s, "3", "I", user) for s in ("s0", "s1", "s3"))
+        return f"(SELECT * REPLACE (least(s2, {puts}) AS s2, least(s3, {edit('s2', '3', 'I', assistant)}) AS s3) FROM {inner})"
+
+    def stays(states: tuple[str, ...], initial: str, name: str) -> list[str]:
+        keep = [f"CASE WHEN ok AND substr(role, 1, 1) = '{initial}' THEN {edit(s, 'more', 'K', 'said')} END" for s in states]
+        return keep + ([f"CASE WHEN ok THEN {edit(s, '(3 + more)', 'R', repr(name + ':') + ' || text')} END" for s in states] if name else [])
+
+    moved = {"s0": [], "s1": stays(("s0",), "s", ""), "s2": stays(("s0", "s1", "s3"), "u", "user"), "s3": stays(("s2",), "a", "assistant")}
+    step = ", ".join(f"least({edit(s, '4', 'D', None)}, {', '.join([*m, 'NULL'])}) AS {s}" for s, m in moved.items())
+    crc = (
+        "xor(list_reduce(list_concat([CAST(4294967295 AS UBIGINT)], list_transform(string_split(key, ''), lambda ch: CAST(ord(ch) AS UBIGINT))), lambda c, b:"
+        " list_reduce(list_concat([xor(c, b)], list_transform(range(8), lambda k: CAST(k AS UBIGINT))), lambda a, i: xor(a >> 1, CAST(3988292384 AS UBIGINT) * (a & 1)))), CAST(4294967295 AS UBIGINT)) % 20"
+    )
+    start = closed(closed("(SELECT conv_id, CAST(0 AS BIGINT) AS rn, '000000' || chr(1) AS s0, CAST(NULL AS VARCHAR) AS s1, CAST(NULL AS VARCHAR) AS s2, CAST(NULL AS VARCHAR) AS s3 FROM (SELECT DISTINCT conv_id FROM conversations))"))
+    later = closed(closed(f"(SELECT v.conv_id, v.rn + 1 AS rn, {step} FROM v JOIN f ON f.conv_id = v.conv_id AND f.rn = v.rn + 1)"))
+    return rf"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+h AS (SELECT *, {crc} AS how FROM k), d AS (SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE WHEN how = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE how <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS rn, regexp_replace(text, '[ 	-]+$', '') AS seen FROM d),
+m AS (SELECT *, CASE WHEN seen = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 THEN 'd' WHEN right(seen, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS mark,
+  substr(lag(role) OVER (PARTITION BY conv_id ORDER BY rn), 1, 1) || substr(role, 1, 1) AS pair FROM o),
+f AS (SELECT conv_id, rn, role, text, role || ':' || text AS said, mark NOT IN ('b', 'd') AS ok, CASE WHEN mark = 't' THEN 3 ELSE 0 END AS more FROM m),
+v AS (SELECT * FROM {start} UNION ALL SELECT * FROM {later}),
+e AS (SELECT conv_id, arg_max(least(s0, s3), rn) AS s FROM v GROUP BY conv_id),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE mark = 'b') AS blank, count(*) FILTER (WHERE mark = 'd') AS duplicate,
+  count(*) FILTER (WHERE mark = 't') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM m GROUP BY conv_id)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(substr(s, 1, 6) AS BIGINT) AS cost, substr(s, 7, strpos(s, chr(1)) - 7) AS audit, sha256(substr(s, strpos(s, chr(1)) + 1)) AS repaired_sha256 FROM e LEFT JOIN n USING (conv_id)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pivot_index": op1_pivot_index,
@@ -129,6 +174,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op12_conversation_repair": _repair_sql(),
         # All pairs by cosine in double precision; the components by label spreading.
         "op1_pivot_index": """
 WITH RECURSIVE v AS (
