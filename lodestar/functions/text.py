@@ -107,10 +107,10 @@ def redact_numbers(c: Column) -> Column:
 
 
 def file_number(c: Column) -> Column:
-    """A file number in its joining form: MAW and five digits, or a sheet and four; others without blanks."""
+    """A file number in its joining form: MAW and five digits at least, or a sheet and four; others without blanks."""
     t = F.upper(F.regexp_replace(F.trim(c), r"\s+", ""))
     maw, old = F.regexp_extract(t, r"^MAW0*(\d+)$", 1), r"^(\d{2}[A-P]\d{2})-?(\d{3,4})$"
-    return F.when(maw != "", F.concat(F.lit("MAW"), F.lpad(maw, 5, "0"))).when(t.rlike(old), F.concat(F.regexp_extract(t, old, 1), F.lit("-"), F.lpad(F.regexp_extract(t, old, 2), 4, "0"))).otherwise(t)
+    return F.when(maw != "", F.concat(F.lit("MAW"), F.lpad(maw, F.greatest(F.length(maw), F.lit(5)), "0"))).when(t.rlike(old), F.concat(F.regexp_extract(t, old, 1), F.lit("-"), F.lpad(F.regexp_extract(t, old, 2), 4, "0"))).otherwise(t)
 
 
 def file_numbers_in(c: Column) -> Column:
