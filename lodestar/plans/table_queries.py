@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.operators import tables
+from lodestar.operators.ranking import running
 from lodestar.plans.registry import query
-from lodestar.session import table
+from lodestar.session import cut, table
 
 KINDS = ["click", "error", "purchase", "signup", "view"]
 
@@ -301,11 +302,16 @@ def g6_subset_test(spark, d):
 
 @query("SELECT c_custkey, sum(coalesce(hit, 0)) AS later, round(avg(share), 9) AS share FROM (SELECT c_custkey, hit, (rank() OVER (ORDER BY early DESC) + count(*) OVER (PARTITION BY early) - 1) / CAST(count(*) OVER () AS DOUBLE) AS share FROM (SELECT c_custkey, coalesce(sum(o_totalprice) FILTER (WHERE o_orderdate < TIMESTAMP '1999-01-01'), 0) AS early, count(*) FILTER (WHERE o_orderdate >= TIMESTAMP '1999-01-01') AS hit FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)) GROUP BY c_custkey HAVING sum(hit) > 0")
 def i26_hindcast(spark, d):
-    """Freeze at a cutoff, rank by what was known then, and see where the later ones stood."""
+    """Freeze at a cutoff, rank by what was known then, and see where the later ones stood.
+
+    Totals are summed as decimals: equal ones tie, whatever the order in which tasks add their rows.
+    """
     c, o = T(spark, d, "customer", "orders")
-    cut = F.lit("1999-01-01").cast("timestamp_ntz")
-    per = o.groupBy("o_custkey").agg(F.sum(F.when(F.col("o_orderdate") < cut, F.col("o_totalprice"))).alias("early"), F.count_if(F.col("o_orderdate") >= cut).alias("later"))
-    all_ = c.join(per, c.c_custkey == per.o_custkey, "left").select("c_custkey", F.coalesce("early", F.lit(0.0)).alias("early"), F.coalesce("later", F.lit(0)).cast("long").alias("later"))
-    at = all_.groupBy("early").agg(F.count("*").alias("n")).withColumn("seen", F.sum("n").over(Window.orderBy(F.desc("early")).rowsBetween(Window.unboundedPreceding, 0))).select("early", "seen")
+    end = F.lit("1999-01-01").cast("timestamp_ntz")
+    price = F.col("o_totalprice").cast("decimal(28,6)")
+    per = o.groupBy("o_custkey").agg(F.sum(F.when(F.col("o_orderdate") < end, price)).alias("early"), F.count_if(F.col("o_orderdate") >= end).alias("later"))
+    all_ = c.join(per, c.c_custkey == per.o_custkey, "left").select("c_custkey", F.coalesce("early", F.lit(0)).alias("early"), F.coalesce("later", F.lit(0)).cast("long").alias("later"))
+    all_ = cut(all_, "hindcast")
+    at = running(all_.groupBy("early").agg(F.count("*").alias("n")), "early", {"seen": "n"}, descending=True).select("early", "seen")
     total = all_.agg(F.count("*").alias("total"))
     return all_.where("later > 0").join(at, "early").crossJoin(F.broadcast(total)).select("c_custkey", "later", F.round(F.col("seen") / F.col("total"), 9).alias("share"))
