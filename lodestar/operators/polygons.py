@@ -11,10 +11,15 @@ filled in from it. Rows grow with the pieces and with the cells covered, however
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.operators.spatial import line_distance, radius_join
+from lodestar.session import cut, prepare
 
 
 def sides(vertices: DataFrame, *carry: str) -> DataFrame:
@@ -122,59 +127,74 @@ def outline(vertices: DataFrame, domain: str) -> DataFrame:
     return s.groupBy("domain", "x1", "y1", "x2", "y2").agg(F.count("*").alias("n")).where("n % 2 = 1").drop("n")
 
 
-def _stay(a: list[Column], b: list[Column], r: float) -> tuple[Column, Column]:
-    """Range of the parameter of segment `a` within the distance `r` of segment `b` (first > last: none).
+def _stay(a: list[np.ndarray], b: list[np.ndarray], r: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges of the parameter of segments `a` within the distance `r` of segments `b` (first > last: none).
 
     The points within `r` of a segment are a convex set of a rectangle and two discs, so the range is from the least to the
     greatest of the three ranges.
     """
     ax, ay, bx, by = a[2] - a[0], a[3] - a[1], b[2] - b[0], b[3] - b[1]
-    n = F.sqrt(bx * bx + by * by)
-    far, ox, oy = F.lit(2.0), a[0] - b[0], a[1] - b[1]
+    n, m = np.sqrt(bx * bx + by * by), ax * ax + ay * ay
+    far, ox, oy = 2.0, a[0] - b[0], a[1] - b[1]
 
-    def between(start: Column, step: Column, low: Column, high: Column) -> tuple[Column, Column]:
+    def between(start: np.ndarray, step: np.ndarray, low: float | np.ndarray, high: float | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         inside = (start >= low) & (start <= high)
-        p, q = F.try_divide(low - start, step), F.try_divide(high - start, step)
-        return F.when(step != 0, F.least(p, q)).when(inside, F.lit(0.0)).otherwise(far), F.when(step != 0, F.greatest(p, q)).when(inside, F.lit(1.0)).otherwise(-far)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            p, q = (low - start) / step, (high - start) / step
+        return np.where(step != 0, np.minimum(p, q), np.where(inside, 0.0, far)), np.where(step != 0, np.maximum(p, q), np.where(inside, 1.0, -far))
 
-    along = between((ox * bx + oy * by) / n, (ax * bx + ay * by) / n, F.lit(0.0), n)
-    across = between((oy * bx - ox * by) / n, (ay * bx - ax * by) / n, F.lit(-r), F.lit(r))
-    first, last = F.greatest(F.lit(0.0), along[0], across[0]), F.least(F.lit(1.0), along[1], across[1])
-    ranges = [(first, last)]
+    along = between((ox * bx + oy * by) / n, (ax * bx + ay * by) / n, 0.0, n)
+    across = between((oy * bx - ox * by) / n, (ay * bx - ax * by) / n, -r, r)
+    ranges = [(np.maximum(0.0, np.maximum(along[0], across[0])), np.minimum(1.0, np.minimum(along[1], across[1])))]
     for px, py in ((b[0], b[1]), (b[2], b[3])):
-        dx, dy, m = a[0] - px, a[1] - py, ax * ax + ay * ay
+        dx, dy = a[0] - px, a[1] - py
         half, d = (dx * ax + dy * ay) / m, dx * dx + dy * dy - r * r
         root = half * half - d / m
-        s = F.sqrt(F.greatest(root, F.lit(0.0)))
-        ranges.append((F.when(root >= 0, F.greatest(F.lit(0.0), -half - s)).otherwise(far), F.when(root >= 0, F.least(F.lit(1.0), -half + s)).otherwise(-far)))
-    starts = [F.when(p <= q, p).otherwise(far) for p, q in ranges]
-    ends = [F.when(p <= q, q).otherwise(-far) for p, q in ranges]
-    return F.least(*starts), F.greatest(*ends)
+        s = np.sqrt(np.maximum(root, 0.0))
+        ranges.append((np.where(root >= 0, np.maximum(0.0, -half - s), far), np.where(root >= 0, np.minimum(1.0, -half + s), -far)))
+    first, last = np.full(len(m), far), np.full(len(m), -far)
+    for p, q in ranges:
+        first, last = np.where(p <= q, np.minimum(first, p), first), np.where(p <= q, np.maximum(last, q), last)
+    return first, last
 
 
 def contacts(outlines: DataFrame, tolerance: float, size: float) -> DataFrame:
     """(domain, other, x1, y1, x2, y2): the pieces of a domain's outline that are within twice `tolerance` of another domain's.
 
     This is where the two, both grown by the tolerance, meet: gaps and overlaps that digitising leaves along a contact are bridged.
-    Sides are posted to the square bins of their boxes grown by the reach, and a pair is tested in one bin only.
+    Sides are posted to the square bins of their boxes grown by the reach, and a pair is tested in one bin only, if its boxes come that near.
+    The geometry is numpy on batches: as column expressions its generated code does not fit the driver.
     """
     r = 2.0 * tolerance
+    outlines = cut(outlines, "outline")
+    prepare(outlines.sparkSession)
     low, high = (lambda a, b: F.floor((F.least(a, b) - r) / size)), (lambda a, b: F.floor((F.greatest(a, b) + r) / size))
     posted = outlines.withColumns({"i0": low("x1", "x2"), "j0": low("y1", "y2")})
     posted = posted.withColumn("i", F.explode(F.sequence("i0", high("x1", "x2")))).withColumn("j", F.explode(F.sequence("j0", high("y1", "y2"))))
     p, q = posted.alias("p"), posted.alias("q")
     pairs = p.join(q, (F.col("p.i") == F.col("q.i")) & (F.col("p.j") == F.col("q.j")) & (F.col("p.domain") != F.col("q.domain")))
     pairs = pairs.where((F.col("p.i") == F.greatest("p.i0", "q.i0")) & (F.col("p.j") == F.greatest("p.j0", "q.j0")))
-    a, b = ([F.col(f"{k}.{c}") for c in ("x1", "y1", "x2", "y2")] for k in "pq")
-    t0, t1 = _stay(a, b, r)
-    found = pairs.select(F.col("p.domain").alias("domain"), F.col("q.domain").alias("other"), *(c.alias(n) for c, n in zip(a, ("x1", "y1", "x2", "y2"), strict=True)), t0.alias("t0"), t1.alias("t1")).where("t1 > t0")
-    at = lambda u, v, t: F.col(u) + F.col(t) * (F.col(v) - F.col(u))
-    return found.select("domain", "other", at("x1", "x2", "t0").alias("x1"), at("y1", "y2", "t0").alias("y1"), at("x1", "x2", "t1").alias("x2"), at("y1", "y2", "t1").alias("y2"))
+    for u, v in (("x1", "x2"), ("y1", "y2")):
+        for k, o in ("pq", "qp"):
+            pairs = pairs.where(F.least(f"{k}.{u}", f"{k}.{v}") - F.greatest(f"{o}.{u}", f"{o}.{v}") <= 2 * r)
+    ends = ("x1", "y1", "x2", "y2")
+    pairs = pairs.select(F.col("p.domain").alias("domain"), F.col("q.domain").alias("other"), *(F.col(f"{k}.{c}").alias(f"{k}{c}") for k in "pq" for c in ends))
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(2, 10)]
+            a = v[:4]
+            t0, t1 = _stay(a, v[4:], r)
+            at = [u + t * (w - u) for t in (t0, t1) for u, w in ((a[0], a[2]), (a[1], a[3]))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, at)], names=["domain", "other", *ends]).filter(pa.array(t1 > t0))
+
+    kind = outlines.schema["domain"].dataType.simpleString()
+    return pairs.mapInArrow(pieces, f"domain {kind}, other {kind}, x1 double, y1 double, x2 double, y2 double")
 
 
 def boundary_distance(cells: DataFrame, vertices: DataFrame, domain: str, tolerance: float, size: float) -> DataFrame:
     """(cell_id, value): distance of each cell's centre to the nearest contact of two domains; null if no two domains meet."""
-    lines = contacts(outline(vertices, domain), tolerance, size)
+    lines = cut(contacts(outline(vertices, domain), tolerance, size), "contacts")
     return line_distance(cells, lines)
 
 
