@@ -67,6 +67,31 @@ def added_information(df: DataFrame, base: str, extra: str, label: str) -> tuple
     return ratio, large[0][2], two / 2 if large[0][2] > 0 else 1 - two / 2
 
 
+def binomial_tail(df: DataFrame, n: str, k: str, block: int = 4096) -> DataFrame:
+    """`df` with `tail`: the chance of at most `k` heads (at most half of `n`) in `n` throws of a fair coin.
+
+    One row for each term of the sum, made in blocks. A term is taken from Stirling's formula with its correction, so that no
+    two large logarithms are subtracted: n log 2 less the entropy is a function of the distance from one half.
+    """
+    exact = F.array(*(F.lit(math.lgamma(x + 1) - (x + 0.5) * math.log(x) + x - 0.5 * math.log(2 * math.pi) if x else 0.0) for x in range(16)))
+
+    def correction(x: Column) -> Column:
+        y = 1 / (x * x)
+        return F.when(x < 16, F.get(exact, F.least(x, F.lit(15.0)).cast("int"))).otherwise((1 / 12 - y * (1 / 360 - y * (1 / 1260 - y / 1680))) / x)
+
+    rows = df.withColumn("__id", F.monotonically_increasing_id())
+    rows = cut(rows, "tails")
+    terms = rows.select("__id", F.col(n).cast("double").alias("n"), F.col(k).cast("long").alias("k"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(k).cast("long"), F.lit(block).cast("long"))).alias("at"))
+    terms = terms.repartition("__id", "at").select("__id", "n", F.explode(F.sequence("at", F.least(F.col("at") + block - 1, F.col("k")))).alias("x"))
+    terms = terms.withColumn("x", F.col("x").cast("double")).withColumns({"y": F.col("n") - F.col("x")}).withColumn("d", F.when(F.col("n") > 0, (F.col("y") - F.col("x")) / F.col("n")))
+    u, v = 1 + F.col("d"), 1 - F.col("d")
+    entropy = F.col("n") / 2 * (u * F.log1p("d") + v * F.log1p(-F.col("d")))
+    log = correction(F.col("n")) - correction(F.col("x")) - correction(F.col("y")) - entropy + 0.5 * F.log(F.col("n") / (2 * math.pi * F.col("x") * F.col("y")))
+    term = F.when(F.col("x") > 0, F.exp(log)).otherwise(F.exp(F.col("n") * -math.log(2.0)))
+    tails = terms.groupBy("__id").agg(F.sum(term).alias("tail"))
+    return rows.join(tails, "__id").drop("__id")
+
+
 def answer_view(df: DataFrame, own: bool = False, abstain: str = "abstain") -> DataFrame:
     """`df` with p, v and abstained from published, probability, verdict: what a refused answer counts as.
 

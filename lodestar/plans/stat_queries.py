@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.operators import picking, ranking, sampling, scoring
+from lodestar.operators import compare, picking, ranking, sampling, scoring
 from lodestar.plans.registry import query
 from lodestar.session import table
 
@@ -119,10 +119,8 @@ def i18_mcnemar(spark: SparkSession, d: str) -> DataFrame:
     right = lambda c: c == (F.col("label") == 1)
     one, two = right(F.col("prob") >= 0.5), right(F.col("score") >= 3)
     c = marked(spark, d).groupBy("lang").agg(F.count_if(one & ~two).alias("only_first"), F.count_if(~one & two).alias("only_second"))
-    n, least = F.col("only_first") + F.col("only_second"), F.least("only_first", "only_second")
-    fact = lambda x: F.aggregate(F.sequence(F.lit(1), F.greatest(x, F.lit(1)).cast("int")), F.lit(0.0), lambda a, i: a + F.log(i.cast("double")))
-    tail = F.aggregate(F.sequence(F.lit(0), least.cast("int")), F.lit(0.0), lambda a, k: a + F.exp(fact(n) - fact(k) - fact(n - k) - n * F.log(F.lit(2.0))))
-    return c.select("lang", "only_first", "only_second", F.round(F.least(F.lit(1.0), 2 * tail), 9).alias("p_value"))
+    tail = compare.binomial_tail(c.withColumns({"n": F.col("only_first") + F.col("only_second"), "k": F.least("only_first", "only_second")}), "n", "k")
+    return tail.select("lang", "only_first", "only_second", F.round(F.least(F.lit(1.0), 2 * F.col("tail")), 9).alias("p_value"))
 
 
 @query(f"""{M}, p AS (SELECT source, avg(prob) AS p FROM m GROUP BY source), r AS (SELECT *, row_number() OVER (ORDER BY p, source) AS k, count(*) OVER () AS n FROM p)
