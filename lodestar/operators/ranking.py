@@ -103,13 +103,13 @@ def capture(df: DataFrame, score: str, label: str, tiebreak: str, share: float)
 def weighted_precision(df: DataFrame, score: str, label: str, weight: str, by: list[str]) -> DataFrame:
     """(by, average_precision) with the classes' weights brought to their numbers of rows, ties grouped; null with one class only."""
     w, pos = F.col(weight).cast("double"), F.col(label) == 1
-    size = df.groupBy(*by).agg(F.count_if(pos).alias("__p"), F.count_if(~pos).alias("__q"), F.sum(F.when(pos, w)).alias("__wp"), F.sum(F.when(~pos, w)).alias("__wq"))
-    at = df.groupBy(*by, F.col(score).alias("s")).agg(F.sum(F.when(pos, w).otherwise(0.0)).alias("a"), F.sum(F.when(~pos, w).otherwise(0.0)).alias("b"))
-    order = Window.partitionBy(*by).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)  # a replicate's distinct scores
-    at = at.withColumns({"ta": F.sum("a").over(order), "tb": F.sum("b").over(order)}).join(size, by)
+    at = df.groupBy(*by, F.col(score).alias("s")).agg(F.sum(F.when(pos, w).otherwise(0.0)).alias("a"), F.sum(F.when(~pos, w).otherwise(0.0)).alias("b"), F.count_if(pos).alias("n"), F.count_if(~pos).alias("m"))
+    order, all_ = Window.partitionBy(*by).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)  # a replicate's distinct scores
+    sizes = {"__p": F.sum("n").over(all_), "__q": F.sum("m").over(all_), "__wp": F.nullif(F.sum("a").over(all_), F.lit(0.0)), "__wq": F.nullif(F.sum("b").over(all_), F.lit(0.0))}
+    at = at.withColumns({"ta": F.sum("a").over(order), "tb": F.sum("b").over(order)} | sizes)
     hits, misses = F.col("ta") * F.col("__p") / F.col("__wp"), F.col("tb") * F.col("__q") / F.col("__wq")
     gain = F.when(F.col("a") > 0, F.col("a") / F.col("__wp") * hits / (hits + misses)).otherwise(0.0)
-    both = F.min((F.col("__wp") > 0) & (F.col("__wq") > 0))
+    both = F.min(F.col("__wp").isNotNull() & F.col("__wq").isNotNull())
     return at.groupBy(*by).agg(F.when(both, F.sum(gain)).alias("average_precision"))
 
 

@@ -5,12 +5,16 @@ An id's place is (id * 1103515245 + salt) mod 2^31: the same rule everywhere, no
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.operators import ranking
+from lodestar.session import cut
+
+Draw = Callable[[Column, Column, int], Column]
 
 
 def draw(id_: Column, salt: int | Column = 12345) -> Column:
@@ -26,8 +30,21 @@ def uniform(id_: Column, rep: Column, seed: int) -> Column:
 
 def portable(id_: Column, rep: Column, seed: int) -> Column:
     """The same from MD5, which every engine has."""
-    digest = F.md5(F.concat_ws("-", id_.cast("string"), rep.cast("string"), F.lit(str(seed))).cast("binary"))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
+    return F.conv(F.substring(_digest(id_, rep, seed), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def _digest(id_: Column, rep: Column, seed: int) -> Column:
+    return F.md5(F.concat_ws("-", id_.cast("string"), rep.cast("string"), F.lit(str(seed))).cast("binary"))
+
+
+def _ordered(draw_of: Draw, id_: Column, rep: Column, seed: int) -> tuple[Column, Callable[[float], Column]]:
+    """A column in the order of the draws, and what a number in [0, 1) is in that order.
+
+    A portable draw is the first 13 of the digest's hexadecimal digits, so the digest itself is compared as text and no number is made of it.
+    """
+    if draw_of is portable:
+        return _digest(id_, rep, seed), lambda c: F.lit(format(math.ceil(c * (1 << 52)), "013x"))
+    return draw_of(id_, rep, seed), F.lit
 
 
 def poisson_steps() -> list[float]:
@@ -41,8 +58,9 @@ def poisson_steps() -> list[float]:
 
 
 def replicates(df: DataFrame, draws: int) -> DataFrame:
-    """Each row once in each of `rep` 0 .. draws - 1."""
-    return df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    """Each row once in each of `rep` 0 .. draws - 1, spread over all cores first: a few rows are many once repeated."""
+    spread = df.repartition(max(64, 4 * df.sparkSession.sparkContext.defaultParallelism))
+    return spread.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
 
 
 def folds(df: DataFrame, key: str, k: int, salt: int = 12345) -> DataFrame:
@@ -72,37 +90,43 @@ def stratified(df: DataFrame, stratum: str, id_: str, sizes: dict[str, int]) ->
     return df.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= want).drop("__k")
 
 
-def resample(df: DataFrame, id_: str, draws: int, seed: int, draw_of: Callable[[Column, Column, int], Column] = uniform) -> DataFrame:
+def resample(df: DataFrame, id_: str, draws: int, seed: int, draw_of: Draw = uniform) -> DataFrame:
     """`df` in `draws` Poisson(1) resamples: `w` is a row's weight in the replicate `rep`.
 
     A weight is looked up in the Poisson distribution by the row's own draw, so nothing is gathered: rows are
     exploded and aggregated map-side.
     """
-    steps = F.array(*map(F.lit, poisson_steps()))
-    out = replicates(df, draws).withColumn("__u", draw_of(F.col(id_), F.col("rep"), seed))
-    return out.withColumn("w", F.size(F.filter(steps, lambda c: c <= F.col("__u")))).drop("__u")
+    out = replicates(df, draws)
+    key, mark = _ordered(draw_of, F.col(id_), F.col("rep"), seed)
+    steps = poisson_steps()
+    weight = F.when(F.col("__u") < mark(steps[0]), 0)
+    for k, c in enumerate(steps[1:], 1):
+        weight = weight.when(F.col("__u") < mark(c), k)
+    return out.withColumn("__u", key).withColumn("w", weight.otherwise(len(steps))).drop("__u")
 
 
-def bootstrap_precision(df: DataFrame, id_: str, score: str, label: str, draws: int = 200, seed: int = 7, draw_of: Callable[[Column, Column, int], Column] = uniform) -> DataFrame:
+def bootstrap_precision(df: DataFrame, id_: str, score: str, label: str, draws: int = 200, seed: int = 7, draw_of: Draw = uniform) -> DataFrame:
     """(rep, average_precision) of resamples with positives and negatives apart: each class keeps its weight."""
-    return ranking.weighted_precision(resample(df, id_, draws, seed, draw_of), score, label, "w", ["rep"])
+    return ranking.weighted_precision(resample(df.select(id_, score, label), id_, draws, seed, draw_of), score, label, "w", ["rep"])
 
 
-def paired_bootstrap(df: DataFrame, id_: str, scores: tuple[str, str], label: str, draws: int = 200, seed: int = 7, draw_of: Callable[[Column, Column, int], Column] = uniform) -> DataFrame:
+def paired_bootstrap(df: DataFrame, id_: str, scores: tuple[str, str], label: str, draws: int = 200, seed: int = 7, draw_of: Draw = uniform) -> DataFrame:
     """(rep, difference) of the average precision of two scores under the same draws."""
-    reps = resample(df, id_, draws, seed, draw_of)
+    reps = resample(df.select(id_, *scores, label), id_, draws, seed, draw_of)
     both = reps.select("rep", "w", label, F.explode(F.array(*(F.struct(F.lit(k).alias("which"), F.col(s).cast("double").alias("score")) for k, s in enumerate(scores)))).alias("x")).select("rep", "w", label, "x.*")
     each = ranking.weighted_precision(both, "score", label, "w", ["rep", "which"])
     return each.groupBy("rep").agg((F.max(F.when(F.col("which") == 0, F.col("average_precision"))) - F.max(F.when(F.col("which") == 1, F.col("average_precision")))).alias("difference"))
 
 
-def rank_permutation(df: DataFrame, id_: str, a: str, b: str, label: str, draws: int = 10_000, seed: int = 3, draw_of: Callable[[Column, Column, int], Column] = uniform) -> DataFrame:
+def rank_permutation(df: DataFrame, id_: str, a: str, b: str, label: str, draws: int = 10_000, seed: int = 3, draw_of: Draw = uniform) -> DataFrame:
     """(observed, p_value): is score a better than b in average precision? One-sided, (hits + 1) / (draws + 1).
 
     Both scores become normalised ranks; in a replicate each row swaps its two ranks with probability one half.
     """
     ranked = ranking.average_rank(ranking.average_rank(df, a, "__ra"), b, "__rb").select(id_, label, "__ra", "__rb")
-    reps = replicates(ranked, draws).withColumn("__s", draw_of(F.col(id_), F.col("rep"), seed) < 0.5)
+    ranked = cut(ranked, "ranks")
+    key, mark = _ordered(draw_of, F.col(id_), F.col("rep"), seed)
+    reps = replicates(ranked, draws).withColumn("__s", key < mark(0.5))
     seen = ranked.withColumns({"rep": F.lit(-1), "__s": F.lit(False)})
     first = F.when(F.col("__s"), F.col("__rb")).otherwise(F.col("__ra"))
     second = F.col("__ra") + F.col("__rb") - first
@@ -113,12 +137,12 @@ def rank_permutation(df: DataFrame, id_: str, a: str, b: str, label: str, draws:
     return d.where("rep >= 0").crossJoin(F.broadcast(told)).agg(F.max("observed").alias("observed"), ((F.count_if(F.col("d") >= F.col("observed") - 1e-12) + 1) / (F.count("*") + 1)).alias("p_value"))
 
 
-def two_level_bootstrap(df: DataFrame, run: str, id_: str, value: str, draws: int = 200, seed: int = 5, draw_of: Callable[[Column, Column, int], Column] = uniform) -> DataFrame:
+def two_level_bootstrap(df: DataFrame, run: str, id_: str, value: str, draws: int = 200, seed: int = 5, draw_of: Draw = uniform) -> DataFrame:
     """(rep, mean) where runs are resampled first, then rows: a row's weight is the product of its run's and its own."""
     runs = resample(df.select(run).distinct(), run, draws, seed, draw_of).withColumnRenamed("w", "wr")
-    rows = resample(df.select(run, id_, value), id_, draws, seed + 1, draw_of).join(runs, [run, "rep"])
-    w = (F.col("w") * F.col("wr")).cast("double")
-    return rows.groupBy("rep").agg((F.sum(w * F.col(value)) / F.nullif(F.sum(w), F.lit(0.0))).alias("mean"))
+    rows = resample(df.select(run, id_, value), id_, draws, seed + 1, draw_of)
+    rows = rows.groupBy(run, "rep").agg(F.sum(F.col("w") * F.col(value)).alias("__wv"), F.sum("w").alias("__w")).join(runs, [run, "rep"])
+    return rows.groupBy("rep").agg((F.sum(F.col("wr") * F.col("__wv")) / F.nullif(F.sum((F.col("wr") * F.col("__w")).cast("double")), F.lit(0.0))).alias("mean"))
 
 
 def components(nodes: DataFrame, edges: DataFrame, folder: str, most: int = 60) -> DataFrame:
