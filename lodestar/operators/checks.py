@@ -35,6 +35,22 @@ def worst(results: DataFrame) -> DataFrame:
     return results.groupBy("scope_id").agg(F.max_by("outcome", "severity").alias("outcome"), bad.alias("rules"))
 
 
+def worst_of(df: DataFrame, names: list[str], scope: str = "row_id") -> DataFrame:
+    """`worst(run(df, names, scope))` with each record's rules settled before the shuffle: a number for the worst and a bit for each rule that did not pass."""
+    if len(names) > 62:
+        raise ValueError(f"{len(names)} rules are more than the 62 bits of a long")
+    names = sorted(names)
+    level = lambda outcome: F.coalesce(*(F.when(outcome == k, v) for k, v in SEVERITY.items()))
+    rows = df.select(F.col(scope).cast("string").alias("scope_id"), *(level(REGISTRY[n]()[0]).alias(f"__{k}") for k, n in enumerate(names)))
+    levels = [F.col(f"__{k}") for k in range(len(names))]
+    bits = sum((F.when(x > 0, F.lit(1 << k)).otherwise(0).cast("long") for k, x in enumerate(levels)), F.lit(0).cast("long"))
+    rows = rows.select("scope_id", (F.greatest(*levels) if len(levels) > 1 else levels[0]).alias("severity"), bits.alias("bits")).where("severity IS NOT NULL")
+    told = rows.groupBy("scope_id").agg(F.max("severity").alias("severity"), F.bit_or("bits").alias("bits"))
+    bad = F.array_compact(F.array(*(F.when(F.col("bits").bitwiseAND(F.lit(1 << k)) != 0, n) for k, n in enumerate(names))))
+    outcome = F.coalesce(*(F.when(F.col("severity") == v, k) for k, v in SEVERITY.items()))
+    return told.select("scope_id", outcome.alias("outcome"), bad.alias("rules"))
+
+
 @rule
 def positive_quantity() -> tuple[Column, Column]:
     return F.when(F.col("quantity") > 0, "pass").otherwise("fail"), F.col("quantity")

@@ -36,7 +36,7 @@ def l_rule_outcomes(spark, d):
 @query(f"{L}, s AS (SELECT *, CASE outcome WHEN 'pass' THEN 0 WHEN 'note' THEN 1 WHEN 'warn' THEN 2 ELSE 3 END AS v FROM r) SELECT scope_id, arg_max(outcome, v) AS outcome, coalesce(string_agg(DISTINCT rule, ',' ORDER BY rule) FILTER (WHERE v > 0), '') AS rules FROM s GROUP BY scope_id")
 def l_worst_outcome(spark, d):
     """The worst outcome travels up to the record."""
-    return checks.worst(checks.run(records(spark, d), NAMES)).select("scope_id", "outcome", F.array_join("rules", ",").alias("rules"))
+    return checks.worst_of(records(spark, d), NAMES).select("scope_id", "outcome", F.array_join("rules", ",").alias("rules"))
 
 
 @query("SELECT sha256(text) AS digest, count(*) AS copies, count(DISTINCT lang) AS langs, min(doc_id) AS first_id FROM documents GROUP BY sha256(text) HAVING count(*) > 1")
