@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType
@@ -95,18 +97,23 @@ def fuzzy_join(left: DataFrame, right: DataFrame, left_name: str, right_name: st
 def greedy_pairs(candidates: DataFrame, group: str) -> DataFrame:
     """One-to-one pairs (group, a, b, score) taken best first within each group; ties by a, then b.
 
-    Sequential by nature, so a group is one Arrow batch: groups are pages or fields, small by what they are.
+    Sequential by nature, so a group is in one task; its rows stream by in order, and only the ends already taken are held.
     """
-
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "a", "b"], ascending=[False, True, True])
-        used_a, used_b, keep = set(), set(), []
-        for r in pdf.itertuples():
-            if r.a not in used_a and r.b not in used_b:
-                used_a.add(r.a)
-                used_b.add(r.b)
-                keep.append(r.Index)
-        return pdf.loc[keep, [group, "a", "b", "score"]]
-
-    kind = dict(candidates.dtypes)
-    return candidates.groupBy(group).applyInPandas(pair, f"`{group}` {kind[group]}, a {kind['a']}, b {kind['b']}, score double")
+    best = F.when(~F.isnan("score"), F.col("score")).desc_nulls_last()
+    rows = candidates.select(group, "a", "b", F.col("score").cast("double").alias("score")).repartition(group)
+    rows = rows.sortWithinPartitions(group, best, F.asc_nulls_last("a"), F.asc_nulls_last("b"))
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used_a, used_b = object(), set(), set()
+        for batch in batches:
+            keep = []
+            for k, (g, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                if g != now:
+                    now, used_a, used_b = g, set(), set()
+                if a not in used_a and b not in used_b:
+                    used_a.add(a)
+                    used_b.add(b)
+                    keep.append(k)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    return rows.mapInArrow(pair, rows.schema)
