@@ -13,6 +13,18 @@ def postings(docs: DataFrame, id_: str, tokens: Column) -> DataFrame:
     return docs.select(F.col(id_).alias("id"), F.explode(tokens).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
+def shared_terms(docs: DataFrame, id_: str, tokens: Column, queries: DataFrame, carry: list[str]) -> DataFrame:
+    """(query_id, id, *carry, hits): different terms that a document shares with a query (distinct query_id, term).
+
+    Only the queries' terms of a document are shuffled, by document; the pairs of documents and queries are counted where they lie.
+    """
+    few = _small(queries)
+    held = lambda df: F.broadcast(df) if few else df
+    words = docs.select(F.col(id_).alias("id"), *carry, F.explode(F.array_distinct(tokens)).alias("term"))
+    words = words.join(held(queries.select("term").distinct()), "term", "left_semi").repartition("id").distinct()
+    return words.join(held(queries), "term").groupBy("query_id", "id", *carry).agg(F.count("*").alias("hits"))
+
+
 def bm25(docs: DataFrame, id_: str, tokens: Column, queries: DataFrame, k1: float = 1.5, b: float = 0.75, cap: int | None = 3, top: int = 5) -> DataFrame:
     """(query_id, id, score, rank) of the best `top` documents for each query; queries are (query_id, term, qf).
 

@@ -159,9 +159,8 @@ def m7_tiered_retrieval(spark, d):
     """The best of each tier of trust, tiers in order."""
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
     q = items.select(F.col("item_id").alias("query_id"), F.explode(tx.tokens(F.col("text"))).alias("term")).distinct()
-    p = retrieval.postings(docs.withColumn("tier", F.when(F.col("lang") == "en", 1).otherwise(2)), "doc_id", tx.tokens(F.col("text")))
-    tier = docs.select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "en", 1).otherwise(2).alias("tier"))
-    hits = p.join(q, "term").groupBy("query_id", "id").agg(F.count("*").alias("hits")).join(tier, "id")
+    tier = F.when(F.col("lang") == "en", 1).otherwise(2)
+    hits = retrieval.shared_terms(docs.withColumn("tier", tier), "doc_id", tx.tokens(F.col("text")), q, ["tier"])
     place = F.row_number().over(Window.partitionBy("query_id", "tier").orderBy(F.desc("hits"), "id"))
     return hits.withColumn("place", place).where("place <= 3").select("query_id", "id", "tier", "hits", "place")
 
