@@ -18,6 +18,7 @@ from lodestar.operators.ranking import running
 from lodestar.session import cut, prepare
 
 BLOCK, PIVOTS = 4096, 1024  # points of a block; pivots at most
+ROUNDING = 1e-12  # share of the limit by which an equal distance may come out greater
 
 
 def standardised(rows: DataFrame, features: list[str], train: str) -> DataFrame:
@@ -139,7 +140,8 @@ def area_of_applicability(rows: DataFrame, id_: str, features: list[str], train:
     of the training rows' own distances.
 
     A training row's own distance is that to the nearest other training row (0 if another is equal); it is itself at 0 and so always
-    applicable. Rows with an unknown feature are unknown in all three; without training rows all are.
+    applicable. Rows with an unknown feature are unknown in all three; without training rows all are. On a grid many distances equal the limit but for
+    rounding, which changes with the order of the sums: they count as equal.
     """
     z = standardised(rows, features, train)
     z = cut(z.select(F.col(id_).alias("id"), "z", F.coalesce(F.col(train), F.lit(False)).alias("train")), "standardised")
@@ -152,4 +154,4 @@ def area_of_applicability(rows: DataFrame, id_: str, features: list[str], train:
     far = near.select("z", F.when(F.col("n") > 0, 0.0).otherwise(F.col("distance")).alias("distance"))
     out = z.select("id", "z").join(far, "z", "left")
     unknown = F.col("z").isNull() | F.col("distance").isNull()
-    return out.select(F.col("id").alias(id_), "distance", F.when(~unknown, limit).alias("threshold"), F.when(~unknown, F.col("distance") <= limit).alias("applicable"))
+    return out.select(F.col("id").alias(id_), "distance", F.when(~unknown, limit).alias("threshold"), F.when(~unknown, F.col("distance") <= limit * (1 + ROUNDING)).alias("applicable"))
