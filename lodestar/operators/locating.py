@@ -83,15 +83,22 @@ def padded(box: Column) -> Column:
     return F.struct(low(box.x0).alias("x0"), low(box.y0).alias("y0"), high(box.x1).alias("x1"), high(box.y1).alias("y1"))
 
 
-def common_letters(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a column of bits for each letter of `b`."""
+def letter_bits(a: str) -> dict[str, int]:
+    """The places of each letter as bits."""
     where: dict[str, int] = {}
     for k, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << k
+    return where
+
+
+def common_letters(a: str, b: str, where: dict[str, int] | None = None) -> int:
+    """Length of the longest common subsequence, a column of bits for each letter of `b`; `where` is letter_bits(a) if it is known."""
+    where = letter_bits(a) if where is None else where
     full = row = (1 << len(a)) - 1
     for c in b:
-        u = row & where.get(c, 0)
-        row = (row + u | row - u) & full
+        if c in where:
+            u = row & where[c]
+            row = (row + u | row - u) & full
     return len(a) - row.bit_count()
 
 
@@ -171,8 +178,8 @@ class _Page:
             text = self.text[form]
             for k in range(len(text) - len(gram) + 1):
                 index.setdefault(text[k : k + len(gram)], []).append(k)
-            self.grams[key] = {g: np.array(at) for g, at in index.items()}
-        return self.grams[key].get(gram, NOWHERE)
+            self.grams[key] = index
+        return np.array(self.grams[key].get(gram, NOWHERE))
 
     def alike(self, value: str) -> set[tuple[int, int]]:
         """Runs of words that may be like the value: nearly as long, with enough of its pieces at nearly their places.
@@ -203,12 +210,12 @@ class _Page:
                 out.update((int(k), size) for k in np.flatnonzero(close) if self.allowed(int(k), size))
         return out
 
-    def score(self, value: str, i: int, size: int) -> float:
+    def score(self, value: str, where: dict[str, int], i: int, size: int) -> float:
         best = 0.0
         for form in ("wb", "wf"):
             got = self.text[form][self.at[form][i] : self.at[form][i + size]]
             if got:
-                best = max(best, 200.0 * common_letters(value, got) / (len(value) + len(got)))
+                best = max(best, 200.0 * common_letters(value, got, where) / (len(value) + len(got)))
         return best
 
     def row(self, i: int, size: int) -> tuple:
@@ -233,8 +240,9 @@ def _spans_of(page: _Page, squashed: str, letters: str) -> dict[tuple[int, int],
             for at in page.ends(letters):
                 found.setdefault(at, (MERGED, "fuzzy"))
         if not any(score == EXACT for score, _ in found.values()):
+            where = letter_bits(letters)
             for at in page.alike(letters) - found.keys():
-                score = page.score(letters, *at)
+                score = page.score(letters, where, *at)
                 if score >= LEAST:
                     found[at] = (score, "fuzzy")
     return found
@@ -281,10 +289,10 @@ def locate_values(words: DataFrame, values: DataFrame, columns: DataFrame | None
     else:
         found = found.join(columns.select("value_id", "left", "right"), "value_id", "left").withColumn("off", F.coalesce(F.round(F.abs(F.col("centre") - (F.col("left") + F.col("right")) / 2), 3), F.lit(0.0)))
     rank = F.struct(-F.col("score"), F.col("off"), F.col("size"))
-    order = F.struct(rank.alias("rank"), F.col("first").alias("first"))
-    best = found.groupBy("value_id").agg(F.min_by(F.struct("score", "method", "first", "size", "text", "box", "lines"), order).alias("b"), F.min(rank).alias("top"))
-    ties = found.withColumn("rank", rank).join(best.select("value_id", "top"), "value_id").where("rank = top").groupBy("value_id").agg((F.count("*") > 1).alias("ambiguous"))
-    out = values.join(best.select("value_id", "b.*"), "value_id", "left").join(ties, "value_id", "left")
+    # Spans of equal rank first, then the best rank, so that the pages are searched once.
+    level = found.groupBy("value_id", rank.alias("rank")).agg(F.min_by(F.struct("score", "method", "first", "size", "text", "box", "lines"), "first").alias("b"), (F.count("*") > 1).alias("ambiguous"))
+    best = level.groupBy("value_id").agg(F.min_by(F.struct("b", "ambiguous"), "rank").alias("t"))
+    out = values.join(best.select("value_id", "t.b.*", "t.ambiguous"), "value_id", "left")
     out = out.withColumn("box", F.when(F.col("score").isNotNull(), padded(F.col("box"))))
     wide = F.lit(not many_lines) & (F.col("box.x1") - F.col("box.x0") > WIDEST)
     tall = F.lit(not many_lines) & (F.size("lines") > 1) & (F.col("box.y1") - F.col("box.y0") > TALLEST)
