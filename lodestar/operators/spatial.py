@@ -8,11 +8,18 @@ posted to the bins they cross.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.geo import angle_between, axis, bearing
-from lodestar.session import cut
+from lodestar.session import cut, prepare
+
+BLOCK, PAIRS = 16384, 100_000_000  # segments of a bin that meet in one group; pairs of a task
 
 
 def _bin(c: Column, size: float) -> Column:
@@ -203,28 +210,72 @@ def crossings(lines: DataFrame, size: float, end: float = 1.0) -> DataFrame:
     """Points where segments of different lines cross properly, each once, rounded to whole units.
 
     A crossing within `end` of an end of either segment is a touch and left out. Segments meet in the bins that both cross, and
-    a pair counts in the bin of its crossing only; sides are told by cross products.
+    a pair counts in the bin of its crossing only; sides are told by cross products. A bin is cut into blocks of its segments, so a group
+    holds two blocks at most, tests their pairs in numpy and gives each point once.
     """
-    s = along(lines.select(F.col("line_id").alias("l"), F.col("seq").alias("s"), "x1", "y1", "x2", "y2"), size)
-    p, q = s.alias("p"), s.alias("q")
-    pairs = p.join(q, (F.col("p.__i") == F.col("q.__i")) & (F.col("p.__j") == F.col("q.__j")) & (F.col("p.l") < F.col("q.l")))
-
-    def side(o: str, t: str, e: str) -> Column:
-        c = lambda n: F.col(n).cast("double")
-        ax, ay, bx, by = c(f"{o}.x1"), c(f"{o}.y1"), c(f"{o}.x2"), c(f"{o}.y2")
-        return (bx - ax) * (c(f"{t}.y{e}") - ay) - (by - ay) * (c(f"{t}.x{e}") - ax)
-
-    a, b, c, d = side("p", "q", "1"), side("p", "q", "2"), side("q", "p", "1"), side("q", "p", "2")
-    t = F.try_divide(c, c - d)
-    x = F.col("p.x1") + t * (F.col("p.x2") - F.col("p.x1"))
-    y = F.col("p.y1") + t * (F.col("p.y2") - F.col("p.y1"))
-    found = pairs.where((a * b < 0) & (c * d < 0)).select(x.alias("x"), y.alias("y"), F.col("p.__i").alias("i"), F.col("p.__j").alias("j"), *(F.col(f"{o}.{n}").alias(f"{o}{n}") for o in "pq" for n in ("x1", "y1", "x2", "y2")))
-    clear = F.lit(True)
-    for o in "pq":
-        for e in "12":
-            clear = clear & (F.pow(F.col("x") - F.col(f"{o}x{e}"), 2) + F.pow(F.col("y") - F.col(f"{o}y{e}"), 2) > end * end)
-    found = found.where((F.floor(F.col("x") / size) == F.col("i")) & (F.floor(F.col("y") / size) == F.col("j")) & clear)
-    return found.select(F.floor(F.col("x") + 0.5).cast("long").alias("x"), F.floor(F.col("y") + 0.5).cast("long").alias("y")).distinct()
+    spark = prepare(lines.sparkSession)
+    ends = [F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]
+    s = cut(along(lines.select(F.col("line_id").alias("l"), F.xxhash64("line_id", "seq").alias("__h"), *ends).where("l IS NOT NULL"), size), "postings")
+    sizes = cut(s.groupBy("__i", "__j").agg(F.count("*").alias("n")), "bins")
+    pairs = sizes.agg(F.sum(F.pow("n", 2))).first()[0] or 0
+    full = sizes.where(F.col("n") > BLOCK).select("__i", "__j", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))  # one row for BLOCK postings at most
+    s = s.join(F.broadcast(full), ["__i", "__j"], "left").na.fill(1, ["blocks"])
+    s = s.withColumn("own", F.pmod("__h", F.col("blocks").cast("long")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    s = s.select("__i", "__j", F.least("own", "with").alias("__a"), F.greatest("own", "with").alias("__b"), "own", "l", "x1", "y1", "x2", "y2")
+
+    def meet(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        i, j, a, b = (k.as_py() for k in key)
+        line = pc.rank(rows.column("l"), tiebreaker="dense").to_numpy().astype(np.int64)
+        order = np.argsort(line, kind="stable")
+        line, own, at = line[order], rows.column("own").to_numpy()[order], np.stack([rows.column(c).to_numpy()[order] for c in ("x1", "y1", "x2", "y2")])
+        blocks = [(line, at)] if a == b else [(line[own == k], at[:, own == k]) for k in (a, b)]
+        found, seen = [], np.empty((0, 2), np.int64)
+        for p, q in [(0, 0)] if a == b else [(0, 1), (1, 0)]:
+            for x, y in _crossed(*blocks[p], *blocks[q], (i * size, j * size), size, end):
+                found.append(_once(x, y))
+                if sum(map(len, found)) > 1 << 20:
+                    seen = _once(*np.concatenate([seen, *found]).T)
+                    found = []
+        seen = _once(*np.concatenate([seen, *found]).T)
+        return pa.table([pa.array(seen[:, 0]), pa.array(seen[:, 1])], names=["x", "y"])
+
+    keys = ["__i", "__j", "__a", "__b"]
+    tasks = int(max(64, 4 * spark.sparkContext.defaultParallelism, min(10_000, pairs // PAIRS)))  # given, else few bytes would be few tasks
+    return s.repartition(tasks, *keys).groupBy(*keys).applyInArrow(meet, "x long, y long").distinct()
+
+
+def _once(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distinct points, a row each."""
+    if not len(x):
+        return np.empty((0, 2), np.int64)
+    low, wide = y.min(), y.max() - y.min() + 1
+    key = np.unique((x - x.min()) * wide + (y - low))
+    return np.stack([key // wide + x.min(), key % wide + low], axis=1)
+
+
+def _crossed(lp: np.ndarray, p: np.ndarray, lq: np.ndarray, q: np.ndarray, corner: tuple[float, float], size: float, end: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rounded crossings in a bin of segments `p` (x1, y1, x2, y2) with those of `q` whose line is greater; both are ordered by line."""
+    side = lambda o, t, e: (o[2] - o[0]) * (t[e + 1] - o[1]) - (o[3] - o[1]) * (t[e] - o[0])
+    step, slack = max(1, (1 << 18) // max(1, len(lq))), size * 1e-9  # a border's points may be rounded off their bin
+    for k in range(0, len(lp), step):
+        first = np.searchsorted(lq, lp[k], "right")
+        if first == len(lq):
+            return
+        u, v = p[:, k : k + step, None], q[:, None, first:]
+        c, d = side(v, u, 0), side(v, u, 2)
+        apart = ((c < 0) & (d > 0)) | ((c > 0) & (d < 0))
+        a, b = side(u, v, 0), side(u, v, 2)
+        apart &= ((a < 0) & (b > 0)) | ((a > 0) & (b < 0))
+        apart &= lp[k : k + step, None] < lq[None, first:]
+        m, n = np.nonzero(apart)
+        c, d, u, v = c[m, n], d[m, n], p[:, k + m], q[:, first + n]
+        t = c / (c - d)
+        x, y = u[0] + t * (u[2] - u[0]), u[1] + t * (u[3] - u[1])
+        here = (x >= corner[0] - slack) & (x < corner[0] + size + slack) & (y >= corner[1] - slack) & (y < corner[1] + size + slack)
+        for o in (u, v):
+            for e in (0, 2):
+                here &= (x - o[e]) ** 2 + (y - o[e + 1]) ** 2 > end * end
+        yield np.floor(x[here] + 0.5).astype(np.int64), np.floor(y[here] + 0.5).astype(np.int64)
 
 
 def overlap_area(ax0: Column, ay0: Column, ax1: Column, ay1: Column, bx0: Column, by0: Column, bx1: Column, by1: Column) -> Column:
