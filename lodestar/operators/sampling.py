@@ -6,15 +6,20 @@ An id's place is (id * 1103515245 + salt) mod 2^31: the same rule everywhere, no
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions.digests import low_half
 from lodestar.operators import ranking
-from lodestar.session import cut
+from lodestar.session import cut, prepare
 
 Draw = Callable[[Column, Column, int], Column]
+ROWS, COUNTS = 1 << 17, 1 << 21  # rows of a block of a permutation test; counts held at a time
 
 
 def draw(id_: Column, salt: int | Column = 12345) -> Column:
@@ -121,22 +126,85 @@ def paired_bootstrap(df: DataFrame, id_: str, scores: tuple[str, str], label: st
 def rank_permutation(df: DataFrame, id_: str, a: str, b: str, label: str, draws: int = 10_000, seed: int = 3, draw_of: Draw = uniform) -> DataFrame:
     """(observed, p_value): is score a better than b in average precision? One-sided, (hits + 1) / (draws + 1).
 
-    Both scores become normalised ranks; in a replicate each row swaps its two ranks with probability one half.
+    Both scores become normalised ranks; in a replicate each row swaps its two ranks with probability one half. What a replicate needs are the
+    counts of both classes at each rank, first and second; `observed` is the replicate -1, without swaps.
     """
     ranked = ranking.average_rank(ranking.average_rank(df, a, "__ra"), b, "__rb").select(id_, label, "__ra", "__rb")
+    ranked = ranked.where(F.col(label).isNotNull()).select(F.concat_ws("-", F.col(id_).cast("string"), F.lit("")).alias("head"), F.col(id_).alias("id"), (F.col(label) == 1).alias("pos"), "__ra", "__rb")
     ranked = cut(ranked, "ranks")
-    key, mark = _ordered(draw_of, F.col(id_), F.col("rep"), seed)
-    reps = replicates(ranked, draws).withColumn("__s", key < mark(0.5))
-    seen = ranked.withColumns({"rep": F.lit(-1), "__s": F.lit(False)})
-    first = F.when(F.col("__s"), F.col("__rb")).otherwise(F.col("__ra"))
-    second = F.col("__ra") + F.col("__rb") - first
-    rows = reps.unionByName(seen).withColumn("x", F.explode(F.array(F.struct(F.lit(0).alias("which"), first.alias("score")), F.struct(F.lit(1).alias("which"), second.alias("score"))))).select("rep", label, "x.*", F.lit(1).alias("w"))
-    each = ranking.weighted_precision(rows, "score", label, "w", ["rep", "which"])
-    d = each.groupBy("rep").agg(F.sum(F.when(F.col("which") == 0, F.col("average_precision")).otherwise(-F.col("average_precision"))).alias("d"))
+    counts = (_swapped if draw_of is portable else _swapped_rows)(ranked, draws, seed, draw_of)
+    at = counts.groupBy("rep", "score").agg(*(F.sum(c).alias(c) for c in ("a", "b", "c", "d")))
+    order = Window.partitionBy("rep").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)  # a replicate's distinct ranks
+    at = at.withColumns({f"t{c}": F.sum(c).over(order) for c in "abcd"})
+    precision = lambda p, q: F.sum(F.when(F.col(p) > 0, F.col(p) * (F.col(f"t{p}") / (F.col(f"t{p}") + F.col(f"t{q}")))).otherwise(0.0)) / F.sum(p)
+    d = at.groupBy("rep").agg(F.when((F.sum("a") > 0) & (F.sum("b") > 0), precision("a", "b") - precision("c", "d")).alias("d")).where("d IS NOT NULL")
+    d = cut(d, "differences")  # a number for each replicate
     told = d.where("rep = -1").select(F.col("d").alias("observed"))
     return d.where("rep >= 0").crossJoin(F.broadcast(told)).agg(F.max("observed").alias("observed"), ((F.count_if(F.col("d") >= F.col("observed") - 1e-12) + 1) / (F.count("*") + 1)).alias("p_value"))
 
 
+def _swapped_rows(ranked: DataFrame, draws: int, seed: int, draw_of: Draw) -> DataFrame:
+    """(rep, score, a, b, c, d): positives and others with this rank first, and with it second; every draw is a row."""
+    reps = replicates(ranked, draws).withColumn("__s", draw_of(F.col("id"), F.col("rep"), seed) < 0.5)
+    rows = reps.unionByName(ranked.withColumns({"rep": F.lit(-1), "__s": F.lit(False)}))
+    one, none = (F.col("pos").cast("long"), (~F.col("pos")).cast("long")), (F.lit(0).cast("long"), F.lit(0).cast("long"))
+    side = lambda score, *n: F.struct(score.alias("score"), *(x.alias(k) for k, x in zip("abcd", n, strict=True)))
+    first, second = F.when(F.col("__s"), F.col("__rb")).otherwise(F.col("__ra")), F.when(F.col("__s"), F.col("__ra")).otherwise(F.col("__rb"))
+    return rows.select("rep", F.explode(F.array(side(first, *one, *none), side(second, *none, *one))).alias("x")).select("rep", "x.*")
+
+
+def _swapped(ranked: DataFrame, draws: int, seed: int, draw_of: Draw) -> DataFrame:
+    """The same for portable draws, counted in numpy: a task draws a range of the replicates for a block of the rows and gives their counts.
+
+    Its memory is bounded by the block and by COUNTS, however many ranks are distinct.
+    """
+    spark = prepare(ranked.sparkSession)
+    rows = cut(ranked.groupBy("head", "pos", "__ra", "__rb").agg(F.count("*").alias("n")), "ranked-rows")
+    blocks = max(1, -(-rows.count() // ROWS))
+    ranges = max(1, -(-max(64, 4 * spark.sparkContext.defaultParallelism) // blocks))
+    size = -(-draws // ranges)
+    dealt = rows.withColumn("__g", F.pmod(F.xxhash64("head", "pos", "__ra", "__rb"), F.lit(blocks)).cast("int")).withColumn("__h", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        for h in pc.unique(rows.column("__h")).to_pylist():
+            here = rows.filter(pc.equal(rows.column("__h"), h))
+            heads = [t.encode() for t in here.column("head").to_pylist()]
+            score, at = np.unique(np.concatenate([here.column(c).to_numpy() for c in ("__ra", "__rb")]), return_inverse=True)
+            n, other = here.column("n").to_numpy(), 1 - here.column("pos").to_numpy().astype(np.int64)
+            at = (at.reshape(2, -1) * 2 + other).astype(np.int64)  # a line for each rank and class
+            base = np.stack([np.bincount(k, n, 2 * len(score)).astype(np.int64) for k in at])
+            wide = max(1, COUNTS // (2 * len(score)))
+            for low in range(h * size, min(draws, (h + 1) * size), wide):
+                reps = np.arange(low, min(draws, (h + 1) * size, low + wide))
+                yield _told(score, base, reps, _moved(heads, at, n, len(score), [f"{k}-{seed}".encode() for k in reps]))
+            if h == 0:
+                yield _told(score, base, np.array([-1]), np.zeros((2 * len(score), 1), np.int64))
+
+    return dealt.repartitionById(blocks * ranges, F.col("__g") * ranges + F.col("__h")).mapInArrow(count, "rep long, score double, a long, b long, c long, d long")
+
+
+def _moved(heads: list[bytes], at: np.ndarray, n: np.ndarray, ranks: int, tails: list[bytes]) -> np.ndarray:
+    """By rank and class (lines) and replicate (columns): rows that swap to it less those that swap away from it."""
+    out, deep = np.zeros((2 * ranks, len(tails)), np.int64), max(1, (1 << 22) // len(tails))
+    for k in range(0, len(heads), deep):
+        for s, a, b, times in zip(low_half(heads[k : k + deep], tails), *at[:, k : k + deep], n[k : k + deep], strict=True):
+            s = s if times == 1 else s * times
+            out[a] -= s
+            out[b] += s
+    return out
+
+
+def _told(score: np.ndarray, base: np.ndarray, reps: np.ndarray, moved: np.ndarray) -> pa.RecordBatch:
+    """A row for each rank and replicate."""
+    first, second = base[0][:, None] + moved, base[1][:, None] - moved
+    columns = [np.tile(reps, len(score)), np.repeat(score, len(reps)), *(side[k::2].ravel() for side in (first, second) for k in (0, 1))]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rep", "score", "a", "b", "c", "d"])
+
+
 def two_level_bootstrap(df: DataFrame, run: str, id_: str, value: str, draws: int = 200, seed: int = 5, draw_of: Draw = uniform) -> DataFrame:
     """(rep, mean) where runs are resampled first, then rows: a row's weight is the product of its run's and its own."""
     runs = resample(df.select(run).distinct(), run, draws, seed, draw_of).withColumnRenamed("w", "wr")
